@@ -17,6 +17,26 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notemill.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notemill.llm.substring_dedup import duplicate_spans
+
+    return duplicate_spans(_table(spark, sf_dir, "documents")).drop("th")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notemill.llm.langid import held_out, identify, language_samples
+
+    docs = _table(spark, sf_dir, "documents")
+    samples = language_samples(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
+    return identify(docs.select("doc_id", "text"), samples).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits")
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notemill.llm.chat import format_turns, read_back
 
@@ -26,6 +46,16 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(turns.unionByName(more)))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notemill.llm.langid import held_out
+    from notemill.llm.ngram_lm import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    out = held_out(folds=7)
+    scored = score(docs, train(docs.where(~out)))
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notemill.llm.near_dup import near_duplicates
 
