@@ -28,8 +28,8 @@ def _lit(x) -> Column:
 
 
 def items(*values: Cols) -> Column:
-    """Scalars as one list."""
-    return F.array(*map(_lit, values))
+    """Scalars of any types as one list of texts."""
+    return F.array(*[_lit(v).cast("string") for v in values])
 
 
 def numbers(values: Column) -> Column:
