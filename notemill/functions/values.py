@@ -66,7 +66,9 @@ def field_value(value: Column, field_type: str) -> Column:
     text, generated text its value once generated; unknown types keep their JSON.
     """
     at = lambda path: F.get_json_object(value, path)
-    plain = F.coalesce(at("$.name"), at("$.email"), at("$"))
+    # A text may come without its quotes, which is no JSON.
+    whole = F.coalesce(at("$"), F.nullif(value, F.lit("null")))
+    plain = F.coalesce(at("$.name"), at("$.email"), whole)
     if field_type in ("singleCollaborator", "createdBy", "lastModifiedBy"):
         return F.coalesce(F.nullif(at("$.name"), F.lit("")), F.nullif(at("$.email"), F.lit("")))
     if field_type == "barcode":
@@ -85,7 +87,7 @@ def field_value(value: Column, field_type: str) -> Column:
     kind = FIELD_KINDS.get(field_type)
     if kind == "multitext":
         return F.from_json(value, "array<string>")
-    return typed(at("$"), kind) if kind else value
+    return typed(whole, kind) if kind else value
 
 
 def page_value(value: Column, page_type: str) -> Column:

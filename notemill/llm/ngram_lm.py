@@ -20,6 +20,8 @@ U64 = np.uint64
 #: Text bytes tokenised at once, and distinct bigrams that a task holds before it merges them.
 SLICE_BYTES = 2 << 20
 MERGE_AT = 3_000_000
+#: Stands in the array of counts for this count and all higher ones.
+MANY = 255
 #: Training text, in bytes, behind one shard of the model.
 SHARD_BYTES = 24 << 20
 BEGIN, END = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
@@ -251,7 +253,9 @@ def _write_bigrams(folder: str, shards: int):
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         key, before, word, n = key[first], before[first], word[first], np.add.reduceat(n, first)
         _save(f"{folder}/bigram-key-{shard}.npy", key)
-        _save(f"{folder}/bigram-n-{shard}.npy", np.minimum(n, 2**32 - 1).astype(np.uint32))
+        # Counts take a byte; the few over 254 stand in a table of their own.
+        _save(f"{folder}/bigram-n-{shard}.npy", np.minimum(n, MANY).astype(np.uint8))
+        _save(f"{folder}/bigram-many-{shard}.npy", np.stack([np.flatnonzero(n >= MANY), n[n >= MANY]]))
         grams = np.array([(n == 1).sum(), (n == 2).sum(), (n == 3).sum(), (n == 4).sum()])
         yield _rows([(0, "of", _pack(grams))])
         one = np.ones(len(n), np.int64)
@@ -379,7 +383,11 @@ class Model:
                 continue
             at = np.minimum(np.searchsorted(held, keys[a:b]), len(held) - 1)
             hit = np.flatnonzero(held[at] == keys[a:b])
-            out[:, a + hit] = np.atleast_2d(self._map(f"{kind}-{value}", s))[:, at[hit]]
+            found = np.atleast_2d(self._map(f"{kind}-{value}", s))[:, at[hit]].astype(np.int64)
+            if kind == "bigram" and (many := np.flatnonzero(found[0] == MANY)).size:
+                place, n = self._map("bigram-many", s)
+                found[0, many] = n[np.searchsorted(place, at[hit[many]])]
+            out[:, a + hit] = found
         return out
 
     def log10(self, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

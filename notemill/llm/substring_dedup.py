@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -156,17 +157,21 @@ def _units(id_col: str, text_col: str, bands: int, rows: int, names: list[str]):
     return run
 
 
-def _wanted_shingles(id_col: str, text_col: str):
+def _wanted_shingles(text_col: str):
     """Shingles of the paragraphs listed in ``wanted`` (first words and contents)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                p = Paragraphs(batch[text_col].slice(k, 1))
-                unit = {int(b): i for i, b in enumerate(p.begin) if not p.is_part[i]}
-                want = batch["wanted"][k].as_py()
-                sets = [p.shingles(unit[w["w0"]]).view(np.int64) for w in want]
-                yield pa.RecordBatch.from_arrays([pa.array([w["c"] for w in want], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["c", "shingles"])
+            at = 0
+            for texts in slices(batch[text_col]):
+                p = Paragraphs(texts)
+                want = batch["wanted"].slice(at, len(texts))
+                doc = np.repeat(np.arange(len(texts)), want.value_lengths().to_numpy())
+                at += len(texts)
+                first, content = (want.flatten().field(k).to_numpy() for k in ("w0", "c"))
+                whole = p.begin[: len(p.begin) - int(p.is_part.sum())]
+                sets = [p.shingles(u).view(np.int64) for u in np.searchsorted(whole, p.first_word[doc] + first)]
+                yield pa.RecordBatch.from_arrays([pa.array(content), pa.array(sets, pa.list_(pa.int64()))], names=["c", "shingles"])
 
     return run
 
@@ -203,24 +208,49 @@ def similar_pairs(sets: list[np.ndarray], threshold: float) -> Iterator[tuple[in
             met.append(i)
 
 
-def _near_links(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str, keys: list[str], similarity: float) -> DataFrame:
-    """Links between the contents of paragraphs that collide in a band and are similar."""
-    banded = lines.select(F.explode(F.array(*keys)).alias("key"), "c")
-    shared = banded.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    shared = stage(shared, "sd-keys")
-    colliding = stage(banded.join(shared, "key").distinct(), "sd-colliding")
-    places = lines.join(colliding.select("c").distinct(), "c").groupBy("c").agg(F.min(F.struct(id_col, "th", "w0")).alias("at"))
-    wanted = places.groupBy(F.col(f"at.{id_col}").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct(F.col("at.w0").alias("w0"), "c")).alias("wanted"))
-    wanted = stage(wanted, "sd-wanted")
-    source = docs.select(F.col(id_col).alias("id"), text_col, "th").join(wanted, ["id", "th"])
-    sets = stage(source.mapInArrow(_wanted_shingles("id", text_col), "c long, shingles array<long>").dropDuplicates(["c"]), "sd-sets")
+def _linked(similarity: float):
+    """Links within runs of equal ``key``; a partition holds every key whole, sorted."""
 
-    def link(part: pd.DataFrame) -> pd.DataFrame:
-        pairs = list(similar_pairs(list(part["shingles"]), similarity))
-        c = part["c"].to_numpy()
-        return pd.DataFrame({"src": [c[i] for i, _ in pairs], "dst": [c[j] for _, j in pairs]}, dtype="int64")
+    def of(key: np.ndarray, c: np.ndarray, sets: list[np.ndarray], out: list[tuple[int, int]]) -> None:
+        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        for a, b in zip(edges, edges[1:]):
+            if b - a == 2:
+                both = len(np.intersect1d(sets[a], sets[a + 1], assume_unique=True))
+                if both >= similarity * (len(sets[a]) + len(sets[a + 1]) - both) - 1e-9:
+                    out.append((c[a], c[a + 1]))
+            else:
+                out += [(c[a + i], c[a + j]) for i, j in similar_pairs(sets[a:b], similarity)]
 
-    return colliding.join(sets, "c").groupBy("key").applyInPandas(link, "src long, dst long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, c, sets = np.empty(0, np.int64), np.empty(0, np.int64), []
+        for batch in chain(batches, [None]):
+            out: list[tuple[int, int]] = []
+            if batch is None:
+                of(key, c, sets, out)
+            else:
+                flat, ends = batch["shingles"].flatten().to_numpy(), np.cumsum(batch["shingles"].value_lengths().to_numpy())
+                key, c, sets = np.r_[key, batch["key"].to_numpy()], np.r_[c, batch["c"].to_numpy()], [*sets, *np.split(flat, ends[:-1])] if len(ends) else sets
+                done = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on in the next batch
+                of(key[:done], c[:done], sets[:done], out)
+                key, c, sets = key[done:], c[done:], sets[done:]
+            if out:
+                src, dst = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    return run
+
+
+def _near_links(contents: DataFrame, docs: DataFrame, id_col: str, text_col: str, keys: list[str], similarity: float) -> DataFrame:
+    """Links between the contents of paragraphs that collide in a band and are similar."""
+    banded = contents.select(F.explode(F.array(*keys)).alias("key"), "c")
+    shared = stage(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "sd-keys")
+    colliding = stage(banded.join(shared, "key"), "sd-colliding")
+    wanted = contents.join(colliding.select("c").distinct(), "c").groupBy(F.col(f"first.{id_col}").alias("id"), F.col("first.th").alias("th"))
+    wanted = stage(wanted.agg(F.collect_list(F.struct(F.col("first.w0").alias("w0"), "c")).alias("wanted")), "sd-wanted")
+    source = docs.select(F.col(id_col).alias("_id"), text_col, F.col("th").alias("_th"))
+    source = source.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))).select(text_col, "wanted")
+    sets = stage(source.mapInArrow(_wanted_shingles(text_col), "c long, shingles array<long>").dropDuplicates(["c"]), "sd-sets")
+    return colliding.join(sets, "c").repartition("key").sortWithinPartitions("key").mapInArrow(_linked(similarity), "src long, dst long")
 
 
 def duplicate_spans(
@@ -253,11 +283,13 @@ def duplicate_spans(
     repeated = stage(
         units.groupBy("c").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where("n > 1 AND first <> last"), "sd-exact"
     )
+    # Paragraphs by content: what is common counts once from here on.
     lines = units.where(F.col(keys[0]).isNotNull())
-    links = stage(_near_links(lines, docs, id_col, text_col, keys, similarity).distinct(), "sd-links")
+    contents = stage(lines.groupBy("c").agg(F.count("*").alias("n"), F.min(place).alias("first"), *[F.min(k).alias(k) for k in keys]), "sd-contents")
+    links = stage(_near_links(contents, docs, id_col, text_col, keys, similarity).distinct(), "sd-links")
     near = stage(connected_components(links).select(F.col("node").alias("c"), "component"), "sd-near")
     # First place and copies of every component: exact ones by content, near ones over all their contents.
-    near_places = lines.join(near, "c").groupBy("component").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    near_places = contents.join(near, "c").groupBy("component").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     of_near = near.join(stage(near_places, "sd-firsts"), "component").select("c", "component", "n", "first")
     of_exact = repeated.join(near.select("c"), "c", "left_anti").select("c", F.col("c").alias("component"), "n", "first")
     marked = stage(of_exact.unionByName(of_near), "sd-marked")
