@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notemill.llm.tokens import byte_bpe, default_tokenizer
+from notemill.llm.workers import small_batches, tidy
 
 # Control strings of public chat templates.
 CONTROLS = (
@@ -101,7 +102,7 @@ def format_turns(
 
     by_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text_key")
     before = F.coalesce(F.sum("n_tokens").over(by_turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    laid = picked.mapInArrow(encode, encoded).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text_key")
+    laid = small_batches(picked).mapInArrow(tidy(encode), encoded).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text_key")
     laid = laid.withColumn("start", before).withColumn("place", F.row_number().over(by_turn) - 1)
     trained = F.col("role").isin(*template.trained)
     begin = F.col("start") + F.col("text_at")
@@ -164,4 +165,4 @@ def read_back(formatted: DataFrame, template: ChatTemplate = ChatTemplate(), tok
         if done:
             yield flush()
 
-    return formatted.mapInArrow(run, schema)
+    return formatted.mapInArrow(tidy(run), schema)

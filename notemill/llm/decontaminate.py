@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notemill.llm.workers import small_batches, tidy
+
 #: Words of a seed.
 SEED_WORDS = 3
 #: Share of the score of a perfect copy from which an alignment counts.
@@ -199,16 +201,16 @@ def contaminated(
     schema = T.StructType(fields)
     from pyspark.sql.pandas.types import to_arrow_type
 
-    texts = docs.select(id_col, text_col)
+    texts = small_batches(docs).select(id_col, text_col)
     found = None
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).orderBy("item", "text").collect()
         seeds = Seeds([(r["item"], r["text"]) for r in own], seed_words)
-        counts = texts.mapInArrow(_frequencies(seeds, text_col), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        counts = texts.mapInArrow(tidy(_frequencies(seeds, text_col)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         frequency = np.zeros(len(seeds.keys), np.int64)
         for r in counts.toLocalIterator():
             frequency[r.gram] = r.n
         run = _aligned(seeds, seeds.rare(frequency), id_col, text_col, min_score, names, to_arrow_type(schema[item_col].dataType))
-        part = texts.mapInArrow(run, schema)
+        part = texts.mapInArrow(tidy(run), schema)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], schema)

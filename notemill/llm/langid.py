@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notemill.llm.workers import small_batches, tidy
+
 UNKNOWN = "und"
 #: The bounded sample that each language's automaton is built from: so many labelled texts, so many bytes of each, so many bytes in all.
 SAMPLE_TEXTS, TEXT_BYTES, SAMPLE_BYTES = 64, 1024, 32_768
@@ -73,7 +75,7 @@ class CrossParser:
     """Counts the phrases that a text needs, each the longest match in the automaton's text from where the last ended."""
 
     def __init__(self, text: bytes):
-        automaton = SuffixAutomaton(text)
+        automaton = SuffixAutomaton(text)  # let go once the moves are made
         states, width = automaton.table.shape
         self.symbol_of, self.pad = automaton.symbol_of, width
         root = automaton.table[0]
@@ -214,7 +216,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id",
                         score[i] = 1.0 if len(row) == 1 else float(1 - row[k] / np.partition(row, 1)[1])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2):

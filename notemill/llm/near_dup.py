@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notemill.llm.components import connected_components
+from notemill.llm.workers import small_batches, tidy
 from notemill.staging import stage
 
 #: Bits of the five blocks that a fingerprint is cut into. Fingerprints that
@@ -148,7 +149,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = np.fromiter((simhash64(x.as_buffer().to_pybytes() if x.is_valid else None, shingle) for x in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch[id_col], pa.array(out.view(np.int64))], names=[id_col, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def link_fingerprints(codes: DataFrame, max_bits: int = 4, group_limit: int = 4096) -> DataFrame:
@@ -178,7 +179,7 @@ def link_fingerprints(codes: DataFrame, max_bits: int = 4, group_limit: int = 40
     parts = F.array(*[(F.lit(1 + (i << 11)) + cut(rest, 10 * i, 10 if i < 4 else 11)).cast("int") for i in range(5)])
     keyed = keyed.select("fp", "rep", "k", F.explode(F.when(F.col("large"), parts).otherwise(F.array(F.lit(0)))).alias("p"))
     keyed = keyed.select((F.col("k").cast("long") * 65536 + F.col("p")).alias("part"), "fp", "rep")
-    return keyed.repartition("part").mapInArrow(_link_partition(max_bits), _LINK)
+    return keyed.repartition("part").mapInArrow(tidy(_link_partition(max_bits)), _LINK)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4, shingle: int = 4) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notemill.llm.tokens import byte_bpe, default_tokenizer
+from notemill.llm.workers import small_batches, tidy
 from notemill.staging import stage
 
 CAPACITY = 2048
@@ -53,7 +54,7 @@ def token_pieces(
             cols += [pa.array(x, pa.int64()) for x in (a, n, crc)] + [pa.array(part, pa.binary())] * with_ids
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+    return small_batches(docs).select(id_col, text_col).mapInArrow(tidy(run), T.StructType(fields))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from pathlib import Path
 
 import numpy as np
 
 END_OF_TEXT = "<|endoftext|>"
 #: Distinct space-free chunks whose ids a worker keeps.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 120_000
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 _SPACE_RUN = re.compile(r"\s ")
 
@@ -46,9 +46,7 @@ class ByteBpe:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         ranks = Path(path).with_suffix(".tiktoken")
         if ranks.exists():
             import public_tokenizers
@@ -57,10 +55,19 @@ class ByteBpe:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.open("rb"))}
             fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
             self.plain = lambda text: np.array(fast.encode_ordinary(text), "<u4").tobytes()
+            self.decode = lambda ids: fast.decode(ids.tolist())
         else:
             self.plain = self._whole
+            self.decode = lambda ids: self.whole.decode(ids.tolist(), skip_special_tokens=False)
         self.chunks = _Chunks(self.plain)
 
+    @cached_property
+    def whole(self):
+        """Read on first use: few texts need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -80,9 +87,6 @@ class ByteBpe:
             return self.encode(text)
         return b"".join(self.encode(x) for x in re.split(r"(?<=<)(?=\|endoftext)", text))
 
-    def decode(self, ids: np.ndarray) -> str:
-        return self.whole.decode(ids.tolist(), skip_special_tokens=False)
-
 
 @lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:
