@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notemill.llm.workers import small_batches, tidy
 from notemill.staging import new_path
 
 U64 = np.uint64
@@ -339,13 +340,13 @@ def train(docs: DataFrame, text_col: str = "text", folder: str | None = None, sh
     """
     spark = docs.sparkSession
     folder = mounted(folder or new_path(spark, "lm"))
-    texts = docs.select(text_col)
+    texts = small_batches(docs).select(text_col)
     size = texts.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
     shards = max(1, -(-size // shard_bytes))
     _mkdir(spark, folder)
-    counted = texts.mapInArrow(_count(text_col, shards), _BLOB).repartitionById(shards, F.col("shard"))
-    passed = counted.mapInArrow(_write_bigrams(folder, shards), _BLOB).repartitionById(shards, F.col("shard"))
-    s = passed.mapInArrow(_write_words(folder), _STATS).groupBy().sum().first()
+    counted = texts.mapInArrow(tidy(_count(text_col, shards)), _BLOB).repartitionById(shards, F.col("shard"))
+    passed = counted.mapInArrow(tidy(_write_bigrams(folder, shards)), _BLOB).repartitionById(shards, F.col("shard"))
+    s = passed.mapInArrow(tidy(_write_words(folder)), _STATS).groupBy().sum().first()
     words, tokens, c1, c2, c3, c4, contexts_all, k1, k2, k3, k4, k3plus = (x or 0 for x in s)
     lower = discounts(k1, k2, k3, k4)
     spread = (lower[0] * k1 + lower[1] * k2 + lower[2] * k3plus) / contexts_all if contexts_all else 1.0
@@ -441,4 +442,4 @@ def score(docs: DataFrame, info: ModelInfo, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
                 at += len(texts)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(tidy(run), schema)
