@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from notemill.llm.components import connected_components
 from notemill.llm.ngram_lm import U64, mix, slices, word_spans
-from notemill.staging import stage, unstage
+from notemill.llm.workers import small_batches, tidy
+from notemill.staging import stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -24,7 +25,7 @@ CUT_REACH = 5
 #: Paragraphs of more words are cut.
 LONG_PARAGRAPH = 16
 #: Neighbouring duplicate parts count from so many words together.
-MIN_WORDS = 15
+MIN_WORDS = 25
 _MOST = U64(2**64 - 1)
 
 
@@ -249,8 +250,8 @@ def _near_links(contents: DataFrame, docs: DataFrame, id_col: str, text_col: str
     wanted = stage(wanted.agg(F.collect_list(F.struct(F.col("first.w0").alias("w0"), "c")).alias("wanted")), "sd-wanted")
     source = docs.select(F.col(id_col).alias("_id"), text_col, F.col("th").alias("_th"))
     source = source.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))).select(text_col, "wanted")
-    sets = stage(source.mapInArrow(_wanted_shingles(text_col), "c long, shingles array<long>").dropDuplicates(["c"]), "sd-sets")
-    return colliding.join(sets, "c").repartition("key").sortWithinPartitions("key").mapInArrow(_linked(similarity), "src long, dst long")
+    sets = stage(source.mapInArrow(tidy(_wanted_shingles(text_col)), "c long, shingles array<long>").dropDuplicates(["c"]), "sd-sets")
+    return colliding.join(sets, "c").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_linked(similarity)), "src long, dst long")
 
 
 def duplicate_spans(
@@ -274,11 +275,11 @@ def duplicate_spans(
     """
     bands, rows = tune_bands(similarity, recall)
     keys = [f"k{b}" for b in range(bands)]
-    docs = docs.select(id_col, text_col, F.xxhash64(text_col).alias("th"))
+    docs = small_batches(docs).select(id_col, text_col, F.xxhash64(text_col).alias("th"))
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("th", T.LongType())]
     fields += [T.StructField(n, T.IntegerType()) for n in ("w0", "w1", "b0", "b1")] + [T.StructField(n, T.LongType()) for n in ("c", *keys)]
     schema = T.StructType(fields)
-    units = stage(docs.mapInArrow(_units(id_col, text_col, bands, rows, schema.names), schema), "sd-units")
+    units = stage(docs.mapInArrow(tidy(_units(id_col, text_col, bands, rows, schema.names)), schema), "sd-units")
     place = F.struct(id_col, "th", "w0", "w1")
     repeated = stage(
         units.groupBy("c").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where("n > 1 AND first <> last"), "sd-exact"
