@@ -23,10 +23,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group; one of equal rows."""
-    keep = stage(near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct(), "keep")
-    kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
+    keep = stage(near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct(), "keep")
+    # The window's groups lie within the join's: one shuffle of the texts serves both.
     same = Window.partitionBy("doc_id", "_h").orderBy("_h")
-    return kept.withColumn("_h", F.xxhash64("text")).withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*docs.columns)
+    kept = docs.join(keep, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).withColumn("_n", F.row_number().over(same)).where("_n = 1")
+    # Without an id there is nothing to know a document by; such rows stay.
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
