@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -44,6 +45,11 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized_broadcast(staged: DataFrame, most: int = 200_000) -> DataFrame:
+    """A staged table, to be broadcast if it has at most ``most`` rows; beyond that the join shuffles as usual."""
+    return F.broadcast(staged) if staged.count() <= most else staged
+
+
 def unstage(*frames: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in frames:
