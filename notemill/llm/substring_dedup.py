@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from notemill.llm.components import connected_components
 from notemill.llm.ngram_lm import U64, mix, slices, word_spans
 from notemill.llm.workers import small_batches, tidy
-from notemill.staging import stage
+from notemill.staging import sized_broadcast, stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -249,7 +249,7 @@ def _near_links(contents: DataFrame, docs: DataFrame, id_col: str, text_col: str
     wanted = contents.join(colliding.select("c").distinct(), "c").groupBy(F.col(f"first.{id_col}").alias("id"), F.col("first.th").alias("th"))
     wanted = stage(wanted.agg(F.collect_list(F.struct(F.col("first.w0").alias("w0"), "c")).alias("wanted")), "sd-wanted")
     source = docs.select(F.col(id_col).alias("_id"), text_col, F.col("th").alias("_th"))
-    source = source.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))).select(text_col, "wanted")
+    source = source.join(sized_broadcast(wanted), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))).select(text_col, "wanted")
     sets = stage(source.mapInArrow(tidy(_wanted_shingles(text_col)), "c long, shingles array<long>").dropDuplicates(["c"]), "sd-sets")
     return colliding.join(sets, "c").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_linked(similarity)), "src long, dst long")
 
@@ -281,20 +281,23 @@ def duplicate_spans(
     schema = T.StructType(fields)
     units = stage(docs.mapInArrow(tidy(_units(id_col, text_col, bands, rows, schema.names)), schema), "sd-units")
     place = F.struct(id_col, "th", "w0", "w1")
-    repeated = stage(
-        units.groupBy("c").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where("n > 1 AND first <> last"), "sd-exact"
-    )
+    # Most contents stand once, so what finds the others is kept narrow; their places follow.
+    spot = F.xxhash64(id_col, "th", "w0", "w1")
+    twice = units.groupBy("c").agg(F.count("*").alias("n"), F.min(spot).alias("lo"), F.max(spot).alias("hi")).where("lo <> hi").select("c", "n")
+    repeated = stage(twice, "sd-exact")
     # Paragraphs by content: what is common counts once from here on.
     lines = units.where(F.col(keys[0]).isNotNull())
     contents = stage(lines.groupBy("c").agg(F.count("*").alias("n"), F.min(place).alias("first"), *[F.min(k).alias(k) for k in keys]), "sd-contents")
     links = stage(_near_links(contents, docs, id_col, text_col, keys, similarity).distinct(), "sd-links")
     near = stage(connected_components(links).select(F.col("node").alias("c"), "component"), "sd-near")
     # First place and copies of every component: exact ones by content, near ones over all their contents.
-    near_places = contents.join(near, "c").groupBy("component").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-    of_near = near.join(stage(near_places, "sd-firsts"), "component").select("c", "component", "n", "first")
-    of_exact = repeated.join(near.select("c"), "c", "left_anti").select("c", F.col("c").alias("component"), "n", "first")
+    near_places = contents.join(near, "c").groupBy("component").agg(F.sum("n").alias("n"))
+    of_near = near.join(stage(near_places, "sd-firsts"), "component").select("c", "component", "n")
+    of_exact = repeated.join(near.select("c"), "c", "left_anti").select("c", F.col("c").alias("component"), "n")
     marked = stage(of_exact.unionByName(of_near), "sd-marked")
-    hits = units.drop(*keys).join(marked, "c").withColumn("removed", place != F.col("first"))
+    found = stage(units.drop(*keys).join(marked, "c").drop("c"), "sd-found")
+    firsts = stage(found.groupBy("component").agg(F.min(place).alias("first")), "sd-first")
+    hits = found.join(firsts, "component").withColumn("removed", place != F.col("first"))
     hits = hits.select(id_col, "th", "w0", "w1", "b0", "b1", "component", "n", "removed").distinct()
     order = Window.partitionBy(id_col, "th", "removed").orderBy("w0", "w1")
     before = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -329,7 +332,7 @@ def remove_duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: st
     spans = duplicate_spans(docs, id_col, text_col, **options).where("removed")
     cut = spans.groupBy(F.col(id_col).alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("start_byte", "end_byte")).alias("_cut"))
     cut = stage(cut, "sd-cut")
-    there = docs.withColumn("_h", F.xxhash64(text_col)).join(cut, F.col("_h").eqNullSafe(F.col("_th")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    there = docs.withColumn("_h", F.xxhash64(text_col)).join(sized_broadcast(cut), F.col("_h").eqNullSafe(F.col("_th")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
 
     @F.pandas_udf("string")
     def without(text: pd.Series, spans: pd.Series) -> pd.Series:
