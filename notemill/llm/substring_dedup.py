@@ -25,7 +25,7 @@ CUT_REACH = 5
 #: Paragraphs of more words are cut.
 LONG_PARAGRAPH = 16
 #: Neighbouring duplicate parts count from so many words together.
-MIN_WORDS = 25
+MIN_WORDS = 15
 _MOST = U64(2**64 - 1)
 
 
