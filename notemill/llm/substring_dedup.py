@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,6 +25,10 @@ CUT_REACH = 5
 LONG_PARAGRAPH = 16
 #: Neighbouring duplicate parts count from so many words together.
 MIN_WORDS = 15
+#: Contents of one key that are compared in one task; larger keys are dealt again.
+GROUP_ROWS = 2000
+#: Elements of sets compared at once.
+COMPARED = 1 << 20
 _MOST = U64(2**64 - 1)
 
 
@@ -177,63 +180,80 @@ def _wanted_shingles(text_col: str):
     return run
 
 
-def similar_pairs(sets: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int]]:
+def similar_pairs(sets: list[np.ndarray], threshold: float, labels: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """Index pairs, enough to connect all pairs of Jaccard similarity ``threshold`` or more.
 
     Two such sets share one of their first ``n - ceil(threshold * n) + 1``
     elements in an order, here by rarity, so only sets that meet there are
-    compared, and those already connected are passed over.
+    compared, all earlier ones at once. Those already connected (of equal
+    ``labels`` at first) are passed over.
     """
-    rank = Counter(x for s in sets for x in s.tolist())
-    root = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    index: dict[int, list[int]] = {}
-    whole = [set(s.tolist()) for s in sets]
-    for i, own in enumerate(whole):
-        order = sorted(own, key=lambda x: (rank[x], x))
-        prefix = order[: len(order) - int(np.ceil(threshold * len(order) - 1e-9)) + 1]
-        for x in prefix:
-            met = index.setdefault(x, [])
-            for j in met:
-                if find(i) != find(j):
-                    both = len(own & whole[j])
-                    if both >= threshold * (len(own) + len(whole[j]) - both) - 1e-9:
-                        root[find(i)] = find(j)
-                        yield i, j
-            met.append(i)
+    n = len(sets)
+    label = np.arange(n) if labels is None else np.unique(labels, return_inverse=True)[1]
+    size = np.array([len(s) for s in sets], np.int64)
+    first = np.cumsum(size) - size
+    _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True) if n else (None, np.empty(0, np.int64), np.empty(0, np.int64))
+    owner = np.repeat(np.arange(n), size)
+    element = element[np.lexsort((element, count[element], owner))]
+    prefix = np.arange(len(element)) - first[owner] <= size[owner] - np.ceil(threshold * size[owner] - 1e-9)
+    met = np.flatnonzero(prefix)
+    met = met[np.argsort(element[met], kind="stable")]
+    # Places in ``met`` of each prefix element, and where its run begins.
+    place, run = np.empty(len(element), np.int64), np.empty(len(element), np.int64)
+    place[met] = np.arange(len(met))
+    heads = _first_of(element[met])
+    run[met] = np.repeat(heads, np.diff(np.r_[heads, len(met)]))
+    holders, mine = owner[met], np.zeros(len(count), bool)
+    for i in range(n):
+        own = np.arange(first[i], first[i] + size[i])
+        own = own[prefix[own]]
+        if (place[own] == run[own]).all():
+            continue
+        near = np.unique(np.concatenate([holders[run[k] : place[k]] for k in own]))
+        near = near[(label[near] != label[i]) & (np.minimum(size[near], size[i]) >= threshold * np.maximum(size[near], size[i]) - 1e-9)]
+        mine[element[first[i] : first[i] + size[i]]] = True
+        step = max(1, COMPARED // int(size[near].max())) if len(near) else 1
+        for at in range(0, len(near), step):
+            some = near[at : at + step]
+            some = some[label[some] != label[i]]
+            if not len(some):
+                continue
+            begin = np.cumsum(size[some]) - size[some]
+            flat = np.repeat(first[some] - begin, size[some]) + np.arange(int(size[some].sum()))
+            both = np.add.reduceat(mine[element[flat]].astype(np.int64), begin)
+            for j in some[both >= threshold * (size[i] + size[some] - both) - 1e-9]:
+                if label[i] != label[j]:
+                    label[label == label[j]] = label[i]
+                    yield i, int(j)
+        mine[element[first[i] : first[i] + size[i]]] = False
 
 
 def _linked(similarity: float):
-    """Links within runs of equal ``key``; a partition holds every key whole, sorted."""
+    """Links within runs of equal ``key``, between contents of different ``label``; a partition holds every key whole, sorted."""
 
-    def of(key: np.ndarray, c: np.ndarray, sets: list[np.ndarray], out: list[tuple[int, int]]) -> None:
+    def of(key: np.ndarray, c: np.ndarray, label: np.ndarray, sets: list[np.ndarray], out: list[tuple[int, int]]) -> None:
         edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         for a, b in zip(edges, edges[1:]):
             if b - a == 2:
                 both = len(np.intersect1d(sets[a], sets[a + 1], assume_unique=True))
                 if both >= similarity * (len(sets[a]) + len(sets[a + 1]) - both) - 1e-9:
                     out.append((c[a], c[a + 1]))
-            else:
-                out += [(c[a + i], c[a + j]) for i, j in similar_pairs(sets[a:b], similarity)]
+            elif b - a > 2:
+                out += [(c[a + i], c[a + j]) for i, j in similar_pairs(sets[a:b], similarity, label[a:b])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, c, sets = np.empty(0, np.int64), np.empty(0, np.int64), []
+        key, c, label, sets = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), []
         for batch in chain(batches, [None]):
             out: list[tuple[int, int]] = []
             if batch is None:
-                of(key, c, sets, out)
-            else:
+                of(key, c, label, sets, out)
+            elif batch.num_rows:
                 flat, ends = batch["shingles"].flatten().to_numpy(), np.cumsum(batch["shingles"].value_lengths().to_numpy())
-                key, c, sets = np.r_[key, batch["key"].to_numpy()], np.r_[c, batch["c"].to_numpy()], [*sets, *np.split(flat, ends[:-1])] if len(ends) else sets
-                done = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on in the next batch
-                of(key[:done], c[:done], sets[:done], out)
-                key, c, sets = key[done:], c[done:], sets[done:]
+                key, c, label = (np.r_[x, batch[n].to_numpy()] for x, n in ((key, "key"), (c, "c"), (label, "label")))
+                sets += np.split(flat, ends[:-1])
+                done = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+                of(key[:done], c[:done], label[:done], sets[:done], out)
+                key, c, label, sets = key[done:], c[done:], label[done:], sets[done:]
             if out:
                 src, dst = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
@@ -241,27 +261,77 @@ def _linked(similarity: float):
     return run
 
 
-def _near_links(contents: DataFrame, docs: DataFrame, id_col: str, text_col: str, keys: list[str], similarity: float) -> DataFrame:
+def _solved(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between the ``members`` (``key, c, label``) of each key."""
+    return members.join(sets, "c").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_linked(similarity)), "src long, dst long")
+
+
+def prefix_rows(sets: DataFrame, similarity: float) -> DataFrame:
+    """``key, c``: the rarest shingles of each set of which any two similar sets share one; without those that only one set has."""
+    each = sets.select("c", F.size("shingles").alias("m"), F.explode("shingles").alias("x"))
+    common = each.groupBy("x").agg(F.count("*").alias("n")).where("n > 1")
+    held = each.join(common, "x").groupBy("c", "m").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("e"))
+    take = (F.size("e") - F.ceil(F.lit(similarity) * F.col("m") - 1e-9) + 1).cast("int")
+    return held.where(take > 0).select(F.explode(F.slice("e", F.lit(1), take)).alias("e"), "c").select(F.col("e.x").alias("key"), "c")
+
+
+def block_pairs(members: DataFrame, group_rows: int) -> DataFrame:
+    """``members`` (``key, c, label``) dealt anew by pairs of blocks of their key, at most ``2 * group_rows`` to a new key.
+
+    Any two of one key and different labels meet; blocks of one label alone don't.
+    """
+    order = Window.partitionBy("key").orderBy("label", "c")
+    placed = stage(members.withColumn("block", F.floor((F.row_number().over(order) - 1) / group_rows).cast("int")), "sd-blocks")
+    blocks = placed.groupBy("key", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    one, other = blocks.alias("a"), blocks.select(F.col("key").alias("k"), F.col("block").alias("b"), F.col("lo").alias("l"), F.col("hi").alias("h")).alias("b")
+    pairs = one.join(other, F.expr("key = k AND block < b")).where(F.least("lo", "l") < F.greatest("hi", "h"))
+    pairs = pairs.select("key", F.xxhash64("key", "block", "b").alias("pair"), F.explode(F.array("block", "b")).alias("block"))
+    return placed.join(pairs, ["key", "block"]).select(F.col("pair").alias("key"), "c", "label")
+
+
+def _large_links(sets: DataFrame, links: DataFrame, similarity: float, group_rows: int) -> DataFrame:
+    """Links that connect all similar ``sets``, given some ``links``, with a bounded number of sets in a group."""
+    rows = prefix_rows(sets, similarity)
+    rows = stage(rows, "sd-prefix")
+    shared = stage(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "sd-meeting")
+    # First within blocks, which connects most of what is similar; then only what is not connected yet.
+    block = F.pmod(F.xxhash64("c", "key"), F.ceil(F.col("n") / group_rows))
+    once = shared.select(F.when(F.col("n") <= group_rows, F.col("key")).otherwise(F.xxhash64("key", block)).alias("key"), "c", F.col("c").alias("label"))
+    links = stage(links.unionByName(_solved(once, sets, similarity)).distinct(), "sd-links")
+    over = shared.where(F.col("n") > group_rows).select("key", "c")
+    if over.isEmpty():
+        return links
+    known = stage(connected_components(links).select(F.col("node").alias("c"), "component"), "sd-known")
+    over = over.join(known, "c", "left").select("key", "c", F.coalesce("component", "c").alias("label"))
+    return links.unionByName(_solved(block_pairs(over, group_rows), sets, similarity))
+
+
+def _near_links(contents: DataFrame, docs: DataFrame, id_col: str, text_col: str, keys: list[str], similarity: float, group_rows: int) -> DataFrame:
     """Links between the contents of paragraphs that collide in a band and are similar."""
     banded = contents.select(F.explode(F.array(*keys)).alias("key"), "c")
-    shared = stage(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "sd-keys")
+    shared = stage(banded.groupBy("key").agg(F.count("*").cast("int").alias("n")).where("n > 1"), "sd-keys")
     colliding = stage(banded.join(shared, "key"), "sd-colliding")
     wanted = contents.join(colliding.select("c").distinct(), "c").groupBy(F.col(f"first.{id_col}").alias("id"), F.col("first.th").alias("th"))
     wanted = stage(wanted.agg(F.collect_list(F.struct(F.col("first.w0").alias("w0"), "c")).alias("wanted")), "sd-wanted")
     source = docs.select(F.col(id_col).alias("_id"), text_col, F.col("th").alias("_th"))
     source = source.join(sized_broadcast(wanted), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))).select(text_col, "wanted")
     sets = stage(source.mapInArrow(tidy(_wanted_shingles(text_col)), "c long, shingles array<long>").dropDuplicates(["c"]), "sd-sets")
-    return colliding.join(sets, "c").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_linked(similarity)), "src long, dst long")
+    links = _solved(colliding.where(F.col("n") <= group_rows).select("key", "c", F.col("c").alias("label")), sets, similarity)
+    large = stage(colliding.where(F.col("n") > group_rows).select("c").distinct(), "sd-large")
+    return links if large.isEmpty() else _large_links(sets.join(large, "c", "left_semi"), links, similarity, group_rows)
 
 
 def duplicate_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = 0.99, min_words: int = MIN_WORDS,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Spans of text that stand in more than one place.
 
     Whole paragraphs collide in MinHash bands over five-word shingles, tuned for
     ``recall`` at ``similarity``; colliding ones are verified by exact Jaccard
-    similarity and joined to components. Parts of long paragraphs are matched
+    similarity and joined to components. Keys of more than ``group_rows``
+    contents are dealt again by rare shingles and blocks, by which every similar
+    pair in them meets. Parts of long paragraphs are matched
     where their words are equal, so that passages pasted into a line are seen.
     Of each component the first place (by id) is kept, the others are removable;
     neighbouring parts count from ``min_words`` words together.
@@ -288,7 +358,7 @@ def duplicate_spans(
     # Paragraphs by content: what is common counts once from here on.
     lines = units.where(F.col(keys[0]).isNotNull())
     contents = stage(lines.groupBy("c").agg(F.count("*").alias("n"), F.min(place).alias("first"), *[F.min(k).alias(k) for k in keys]), "sd-contents")
-    links = stage(_near_links(contents, docs, id_col, text_col, keys, similarity).distinct(), "sd-links")
+    links = stage(_near_links(contents, docs, id_col, text_col, keys, similarity, group_rows).distinct(), "sd-links")
     near = stage(connected_components(links).select(F.col("node").alias("c"), "component"), "sd-near")
     # First place and copies of every component: exact ones by content, near ones over all their contents.
     near_places = contents.join(near, "c").groupBy("component").agg(F.sum("n").alias("n"))

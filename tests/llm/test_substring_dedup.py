@@ -1,10 +1,11 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from notemill.llm.substring_dedup import Paragraphs, cut_spans, duplicate_spans, remove_duplicate_spans, similar_pairs, tune_bands
+from notemill.llm.substring_dedup import Paragraphs, _large_links, block_pairs, cut_spans, duplicate_spans, remove_duplicate_spans, similar_pairs, tune_bands
 
 
 def prose(rng, n, vocab=5000):
@@ -109,3 +110,53 @@ def test_cutting():
     assert cut_spans(b"aa bb\ncc dd\nee", [(6, 11)]) == b"aa bb\nee"
     assert cut_spans(b"aa bb cc", [(0, 5)]) == b"cc"
     assert cut_spans(b"aa bb cc", [(3, 8), (3, 5)]) == b"aa"
+
+
+@pytest.mark.parametrize("group_rows", [2, 7, 1000])
+def test_large_keys_are_dealt_again_and_lose_no_pair(spark, group_rows):
+    rng = random.Random(4)
+    sets = []
+    for d in range(12):  # families of near copies, linked in a chain; all hold the frequent shingle 0
+        own = rng.sample(range(1, 400), 40)
+        for k in range(5):
+            sets.append(sorted({0, *own}))
+            own[5 * k : 5 * k + 3] = rng.sample(range(1, 400), 3)
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "c long, shingles array<long>")
+    none = spark.createDataFrame([], "src long, dst long")
+    found = [(r.src, r.dst) for r in _large_links(df, none, 0.8, group_rows).collect()]
+    jac = lambda i, j: len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j]))
+    want = [(i, j) for i in range(60) for j in range(i) if jac(i, j) >= 0.8]
+    assert want and all(jac(i, j) >= 0.8 for i, j in found)
+
+    def groups(pairs):
+        root = list(range(60))
+        for _ in root:
+            for i, j in pairs:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    assert groups(found) == groups(want)
+
+
+def test_block_pairs_bound_groups_and_meet_all(spark):
+    rows = [(1, c, 0 if c < 30 else c) for c in range(50)] + [(2, c, c) for c in range(9)]
+    got = block_pairs(spark.createDataFrame(rows, "key long, c long, label long"), 4).collect()
+    groups, label = {}, {(k, c): x for k, c, x in rows}
+    for r in got:
+        groups.setdefault(r.key, []).append(r.c)
+    assert max(map(len, groups.values())) <= 8
+    met = {(a, b) for g in groups.values() for a in g for b in g}
+    assert all((a, b) in met for a in range(50) for b in range(50) if label[1, a] != label[1, b])
+
+
+def test_near_copies_are_compared_all_at_once():
+    rng = np.random.default_rng(5)
+    base = np.arange(56)
+    sets = []
+    for k in range(2000):
+        own = base.copy()
+        own[rng.integers(0, 52) :][:5] = 1000 + 5 * k + np.arange(5)
+        sets.append(np.unique(own))
+    begin = time.process_time()
+    assert len(list(similar_pairs([base, *sets], 0.8))) == 2000
+    assert time.process_time() - begin < 20
