@@ -73,7 +73,7 @@ def normalise(sentence: str) -> str:
 
 
 def _pieces(sentence: str) -> list[str]:
-    """A known sentence cut where ``sentences`` would cut it."""
+    """A known sentence cut where ``normal_lines`` would end it."""
     import re
 
     return [normalise(x) for x in re.sub(r"([.!?;:])[ \t\r\n]+", "\\1\n", sentence).split("\n")]
@@ -95,18 +95,29 @@ def rule_paths() -> list[tuple[str, str]]:
     return [(licence, "|" + "|".join(table[p] for n in names for p in _pieces(SENTENCES[n])) + "|") for licence, names in RULES]
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text: lines are joined where the next goes on in lower case, then cut after ``.!?;:``."""
+def normal_lines(text: Column) -> Column:
+    """The words of a text in lower case: an empty line where a sentence or paragraph ends, a new line where the text has one.
+
+    Lines are joined where the next goes on in lower case. Comment marks are no
+    words; a line of nothing else is empty.
+    """
+    text = F.regexp_replace(text, r"(?m)^[ \t]*(?:@?REM|dnl)(?=[ \t\r\n])", " ")
     text = F.translate(F.regexp_replace(text, r"\r?\n[ \t]*([a-z(])", " $1"), UPPER, LOWER)
-    cut = F.split(F.regexp_replace(text, r"([.!?;:])[ \t\r\n]+", "$1\n"), "\n")
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    text = F.regexp_replace(text, r"([.!?;:])[ \t\r\n]+", "$1\n\n")
+    return F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9\n]+", " "), " ?\n ?", "\n")
+
+
+def known_pattern() -> str:
+    """Any known piece that begins and ends with a line, whatever lines it is wrapped into; of several the longest."""
+    pieces = sorted(known_pieces(), key=lambda x: (-len(x), x))
+    return "(?m)^ ?(?:" + "|".join(x.replace(" ", "[ \\n]") for x in pieces) + ") ?$"
 
 
 def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licences of every document that holds a known sentence.
 
     Known sentences become identifiers, in order, other sentences being passed
-    over; a rule matches where its identifiers follow each other. Returns
+    over; a sentence may be wrapped into lines, with comment marks before them; a rule matches where its identifiers follow each other. Returns
     ``id_col``, ``sentence_ids`` (joined by ``|``) and ``licences`` (distinct,
     in the order of the rules, joined by a comma; empty if no rule matches).
     Null, empty and other texts give no row, repeated rows a row each; other
@@ -118,7 +129,8 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for stem in STEMS:
         likely = likely | F.contains(lower, F.lit(stem))
     names = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    ids = F.filter(F.transform(sentences(F.col(text_col)), lambda s: F.try_element_at(names, s)), lambda x: x.isNotNull())
+    pieces = F.regexp_extract_all(normal_lines(F.col(text_col)), F.lit(known_pattern()), F.lit(0))
+    ids = F.transform(pieces, lambda s: F.try_element_at(names, F.trim(F.translate(s, "\n", " "))))
     found = docs.select(id_col, text_col).where(likely).select(id_col, F.concat(F.lit("|"), F.array_join(ids, "|"), F.lit("|")).alias("path"))
     found = found.where("path <> '||'")
     matched = F.array(*[F.when(F.contains("path", F.lit(path)), F.lit(licence)) for licence, path in rule_paths()])
@@ -127,7 +139,7 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def licence_sql(table: str = "documents") -> str:
-    """The same scan in DuckDB SQL."""
+    """The same scan in DuckDB SQL, but for sentences that wrap before a capital or a comment mark."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     low = f"translate(text, '{UPPER}', '{LOWER}')"
     known = "MAP {" + ", ".join(f"{quote(p)}: {quote(i)}" for p, i in known_pieces().items()) + "}"

@@ -42,3 +42,65 @@ def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = licence_scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "REM ", "-- "])
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_wrapped_texts(spark, mark, newline):
+    texts = {name: newline.join(mark + line for line in f"A title\nCopyright (c) X\n\n{x}\n\nend".split("\n")) for name, x in WRAPPED.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    assert {r.doc_id: r.licences for r in licence_scan(docs).collect()} == {name: name for name in WRAPPED}
+
+
+def test_paragraphs_and_stops_end_sentences(spark):
+    rows = [(0, "Released under the\n\nMIT License."), (1, "Released under. The MIT License."), (2, "All rights reserved\nby nobody"), (3, "A title\nReleased under the\nMIT\nLicense\nMore")]
+    got = licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.licences) for r in got] == [(3, "MIT")]
