@@ -73,15 +73,20 @@ def search(nodes: DataFrame, query: str, node: str = "id", parent: str = "parent
 
 
 def crawl(seeds: DataFrame, links: DataFrame, node: str = "id", max_rounds: int = 1000) -> DataFrame:
-    """Nodes that can be reached from ``seeds`` over ``links`` (``src, dst``), each with the round it was first met in."""
+    """Nodes that can be reached from ``seeds`` over ``links`` (``src, dst``), each with the round it was first met in.
+
+    Raises if nodes are left to go on from after ``max_rounds`` rounds.
+    """
     frontier = stage(seeds.select(F.col(node)).distinct().withColumn("round", F.lit(0)), "crawl")
     seen = frontier
-    for k in range(1, max_rounds):
+    for k in range(1, max_rounds + 1):
         nxt = links.join(frontier.select(F.col(node).alias("src")), "src").select(F.col("dst").alias(node)).distinct()
         nxt = stage(nxt.join(seen.select(node), node, "left_anti").withColumn("round", F.lit(k)), "crawl")
         if nxt.isEmpty():
             break
         frontier, seen = nxt, stage(seen.unionByName(nxt), "crawl")
+    else:
+        raise RuntimeError(f"the crawl did not end in {max_rounds} rounds")
     return seen
 
 

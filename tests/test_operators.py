@@ -137,3 +137,11 @@ def test_grouping(spark):
     tags = spark.createDataFrame([("d", "A", 1), ("d", "a", 2), ("d", "b", 3)], "d string, tag string, o int")
     assert grouping.distinct_tags(tags, "d", "tag", "o").first().tags == ["A", "b"]
     assert tuple(grouping.progress(spark.createDataFrame([(10,), (20,), (None,)], "fetched int")).first()) == (30, 45.0)
+
+
+def test_crawl_ends_or_raises(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(4)] + [(4, 0)], "src int, dst int")
+    seeds = spark.createDataFrame([(0,)], "id int")
+    assert {(r.id, r.round) for r in trees.crawl(seeds, edges, max_rounds=5).collect()} == {(k, k) for k in range(5)}
+    with pytest.raises(RuntimeError):
+        trees.crawl(seeds, edges, max_rounds=3)
