@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,12 +17,15 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where the session names none (single-machine tests), a temporary folder is
-    made once per process, set as the checkpoint folder and removed at exit.
+    Where a session on one machine (master ``local[n]``, as in tests) names none, a
+    temporary folder is made once per process, set as the checkpoint folder and
+    removed at exit. On a cluster, where no such folder is shared, that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="notemill-")
@@ -45,6 +49,21 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Staged tables of one computation: ``scratch(df, label)`` stages, ``clear()`` deletes all that were."""
+
+    def __init__(self):
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, label: str = "stage") -> DataFrame:
+        self.frames.append(stage(df, label))
+        return self.frames[-1]
+
+    def clear(self) -> None:
+        unstage(*self.frames)
+        self.frames = []
+
+
 def sized_broadcast(staged: DataFrame, most: int = 200_000) -> DataFrame:
     """A staged table, to be broadcast if it has at most ``most`` rows; beyond that the join shuffles as usual."""
     return F.broadcast(staged) if staged.count() <= most else staged
