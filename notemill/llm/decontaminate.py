@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from notemill.llm.workers import small_batches, tidy
 
@@ -34,7 +35,13 @@ class Seeds:
 
     def __init__(self, items: list[tuple], n: int = SEED_WORDS):
         self.n = n
-        self.items = [(item, words(text)) for item, text in items]
+        split = [(item, words(text)) for item, text in items]
+        self.items = [(item, ws) for item, ws in split if len(ws) >= n]
+        #: Items of fewer words than a seed, by their words: a whole line must be equal.
+        self.short: dict[tuple, list] = {}
+        for item, ws in split:
+            if 0 < len(ws) < n:
+                self.short.setdefault(tuple(ws), []).append(item)
         vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in self.items for w in ws}))}
         self.code = vocabulary.get
         self.base = np.int64(len(vocabulary) + 1)
@@ -129,46 +136,88 @@ def _frequencies(seeds: Seeds, text_col: str):
     return run
 
 
-def _aligned(seeds: Seeds, rare: np.ndarray, id_col: str, text_col: str, min_score: float, names: list[str], item_type: pa.DataType):
+def _matcher(seeds: Seeds, rare: np.ndarray, min_score: float):
+    """A function from a text to the copies in it: item, first and last word, score."""
     owner_item, owner_place = seeds.owners
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        @lru_cache(20_000)
-        def scored(passage: bytes, item: int) -> tuple[float, int, int]:
-            return align(np.frombuffer(passage, np.int64), seeds.coded[item])
+    @lru_cache(20_000)
+    def scored(passage: bytes, item: int) -> tuple[float, int, int]:
+        return align(np.frombuffer(passage, np.int64), seeds.coded[item])
+
+    def short(text: str) -> Iterator[tuple]:
+        at = 0
+        for line in text.split("\n"):
+            ws = words(line)
+            if 0 < len(ws) < seeds.n:
+                for item in seeds.short.get(tuple(ws), ()):
+                    yield item, at, at + len(ws), 1.0
+            at += len(ws)
+
+    def found(text: str | None) -> Iterator[tuple]:
+        if seeds.short and text:
+            yield from short(text)
+        coded = seeds.encode(words(text))
+        at, gram = seeds.hits(coded)
+        seed = rare[gram]
+        at, gram = at[seed], gram[seed]
+        if not len(at):
+            return
+        n = seeds.first[gram + 1] - seeds.first[gram]
+        pick = np.repeat(seeds.first[gram] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        item, begin = owner_item[pick], np.repeat(at, n) - owner_place[pick]
+        order = np.argsort(item, kind="stable")
+        item, begin = item[order], begin[order]
+        for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
+            k = int(item[part[0]])
+            size = len(seeds.coded[k])
+            slack = size // 2 + seeds.n
+            for low, high in _clusters(begin[part], size):
+                a, b = max(0, low - slack), min(len(coded), high + size + slack)
+                score, start, end = scored(coded[a:b].tobytes(), k)
+                if score >= min_score:
+                    yield seeds.items[k][0], a + start, a + end, score
+
+    return found
+
 
+def _aligned(seeds: Seeds, rare: np.ndarray, id_col: str, text_col: str, min_score: float, names: list[str], item_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _matcher(seeds, rare, min_score)
         for batch in batches:
-            rows, out = [], []
-            for i, text in enumerate(batch[text_col]):
-                coded = seeds.encode(words(text.as_py()))
-                at, gram = seeds.hits(coded)
-                seed = rare[gram]
-                at, gram = at[seed], gram[seed]
-                if not len(at):
-                    continue
-                n = seeds.first[gram + 1] - seeds.first[gram]
-                pick = np.repeat(seeds.first[gram] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                item, begin = owner_item[pick], np.repeat(at, n) - owner_place[pick]
-                order = np.argsort(item, kind="stable")
-                item, begin = item[order], begin[order]
-                for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
-                    k = int(item[part[0]])
-                    size = len(seeds.coded[k])
-                    slack = size // 2 + seeds.n
-                    for low, high in _clusters(begin[part], size):
-                        a, b = max(0, low - slack), min(len(coded), high + size + slack)
-                        score, start, end = scored(coded[a:b].tobytes(), k)
-                        if score >= min_score:
-                            rows.append(i)
-                            out.append((seeds.items[k][0], a + start, a + end, score))
-            if rows:
-                item, start, end, score = zip(*out)
+            out = [(i, *hit) for i, text in enumerate(batch[text_col]) for hit in found(text.as_py())]
+            if out:
+                rows, item, start, end, score = zip(*out)
                 cols = [batch[id_col].take(pa.array(rows, pa.int64())), pa.array(item, item_type), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
+def _without(seeds: Seeds, rare: np.ndarray, text_col: str, min_score: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _matcher(seeds, rare, min_score)
+        for batch in batches:
+            yield batch.filter(pa.array([next(found(text.as_py()), None) is None for text in batch[text_col]], pa.bool_()))
+
+    return run
+
+
+def _seeded(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, seed_words: int, block_bytes: int) -> Iterator[tuple[Seeds, np.ndarray]]:
+    """The seeds of each block of the benchmark, and which of them are rare in ``docs``."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    blocks = max(1, -(-size // block_bytes))
+    for block in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).orderBy("item", "text").collect()
+        seeds = Seeds([(r["item"], r["text"]) for r in own], seed_words)
+        frequency = np.zeros(len(seeds.keys), np.int64)
+        if len(frequency):
+            counts = docs.select(text_col).mapInArrow(tidy(_frequencies(seeds, text_col)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+            for r in counts.toLocalIterator():
+                frequency[r.gram] = r.n
+        yield seeds, seeds.rare(frequency)
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     seed_words: int = SEED_WORDS, min_score: float = MIN_SCORE, block_bytes: int = BLOCK_BYTES,
@@ -186,31 +235,32 @@ def contaminated(
 
     Returns a row per copy: ``id_col, item_col, start_word, end_word, score``
     (words of ``words()``; copies of one item nearer than its length count once).
-    Null and empty texts, and items under ``seed_words`` words, have no copies.
-    Repeated rows give repeated results; other columns are ignored.
+    Items under ``seed_words`` words have a copy where a whole line is equal to
+    them. Null and empty texts and items have no copies. Repeated rows give
+    repeated results; an empty table gives an empty one; other columns are ignored.
     """
-    from pyspark.sql.functions import octet_length
-
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL")
-    size = items.agg(F.sum(octet_length("text")).alias("n")).first().n or 0
-    blocks = max(1, -(-size // block_bytes))
     names = [id_col, item_col, "start_word", "end_word", "score"]
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, benchmark.schema[item_col].dataType)]
     fields += [T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("score", T.DoubleType())]
     schema = T.StructType(fields)
-    from pyspark.sql.pandas.types import to_arrow_type
-
     texts = small_batches(docs).select(id_col, text_col)
-    found = None
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).orderBy("item", "text").collect()
-        seeds = Seeds([(r["item"], r["text"]) for r in own], seed_words)
-        counts = texts.mapInArrow(tidy(_frequencies(seeds, text_col)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        frequency = np.zeros(len(seeds.keys), np.int64)
-        for r in counts.toLocalIterator():
-            frequency[r.gram] = r.n
-        run = _aligned(seeds, seeds.rare(frequency), id_col, text_col, min_score, names, to_arrow_type(schema[item_col].dataType))
-        part = texts.mapInArrow(tidy(run), schema)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], schema)
+    found = docs.sparkSession.createDataFrame([], schema)
+    for seeds, rare in _seeded(docs, benchmark, text_col, item_col, item_text, seed_words, block_bytes):
+        run = _aligned(seeds, rare, id_col, text_col, min_score, names, to_arrow_type(schema[item_col].dataType))
+        found = found.unionByName(texts.mapInArrow(tidy(run), schema))
+    return found
+
+
+def without_copies(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    seed_words: int = SEED_WORDS, min_score: float = MIN_SCORE, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` without a copy of a test item, as ``contaminated`` finds them, all columns as they are.
+
+    Rows are dropped inside the scan, so null ids and repeated rows are treated
+    as any others; null and empty texts stay.
+    """
+    kept = small_batches(docs)
+    for seeds, rare in _seeded(docs, benchmark, text_col, item_col, item_text, seed_words, block_bytes):
+        kept = kept.mapInArrow(tidy(_without(seeds, rare, text_col, min_score)), docs.schema)
+    return kept

@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notemill.llm.workers import small_batches, tidy
+from notemill.llm.workers import kept, small_batches, tidy
 
 UNKNOWN = "und"
-#: The bounded sample that each language's automaton is built from: so many labelled texts, so many bytes of each, so many bytes in all.
+#: The bounded sample that each language's automaton is built from: so many whole labelled texts of so many bytes at most, so many bytes in all.
 SAMPLE_TEXTS, TEXT_BYTES, SAMPLE_BYTES = 64, 1024, 32_768
-#: A phrase ends at the latest after so many bytes, whatever the language, so that the parts of a text parse side by side.
+#: Bytes of the parts of a text that are parsed side by side; phrases go on from one to the next.
 STRETCH = 512
 #: Parts parsed at once.
 LANES = 8192
@@ -95,21 +95,52 @@ class CrossParser:
         self.move = move.ravel()
         self.scale = (width + 1) * 2
 
-    def count(self, parts: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        """Phrases of each column of ``parts`` (bytes; False in ``inside`` where past the end)."""
+    def count(self, parts: np.ndarray, inside: np.ndarray, goes_on: np.ndarray, entry: int = 0) -> tuple[np.ndarray, int]:
+        """Phrases that end in each column of ``parts`` (bytes; False in ``inside`` where past the end), and the last state.
+
+        A column in ``goes_on`` continues the text of the column before it, the
+        first one from the state ``entry``; one more flag tells whether the last goes on. All
+        columns are first parsed as if a phrase began with each; then those that
+        are entered within a phrase are parsed again from there, until they fall
+        in with the first parse, which they mostly do after a few bytes. That
+        goes on while a column's end has changed, so the counts are those of one
+        parse from the text's first byte.
+        """
+        rows, columns = parts.shape
         symbols = np.where(inside, self.symbol_of[parts], np.uint8(self.pad))
-        state = np.zeros(parts.shape[1], np.int32)
-        phrases = np.zeros(parts.shape[1], np.int32)
-        for row in symbols:
-            open_before = state
-            state = self.move[(state >> 1) + row]
-            ended = state & 1
+        path = np.empty((rows, columns), np.int32)
+        phrases = np.zeros(columns, np.int32)
+        state = np.zeros(columns, np.int32)
+        for k in range(rows):
+            state, ended = self._step(state, symbols[k])
+            path[k] = state
             phrases += ended
-            state = state - ended
-            double = self.double[row]
-            if double.any():
-                phrases += double & (open_before != 0)
-        return phrases + (state != 0)
+        entered = np.zeros(columns, np.int32)
+        while True:
+            enter = np.where(goes_on[:-1], np.r_[entry, path[-1, :-1]].astype(np.int32), 0)
+            at = np.flatnonzero(enter != entered)
+            if not len(at):
+                break
+            new, old, entered = enter[at], entered[at], enter
+            for k in range(rows):
+                row = symbols[k, at]
+                new, ended = self._step(new, row)
+                old, before = self._step(old, row)
+                phrases[at] += ended - before
+                apart = new != old
+                path[k, at] = new
+                if not apart.all():
+                    at, new, old = at[apart], new[apart], old[apart]
+                    if not len(at):
+                        break
+        return phrases + (~goes_on[1:] & (path[-1] != 0)), int(path[-1, -1])
+
+    def _step(self, state: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one symbol each, and the phrases that ended with it."""
+        moved = self.move[(state >> 1) + row]
+        ended = moved & 1
+        double = self.double[row]
+        return moved - ended, ended + (double & (state != 0)) if double.any() else ended
 
 
 def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,40 +176,43 @@ class LanguageModel:
             size += len(text) + STRETCH
             if size > LANES * STRETCH or i == len(texts) - 1:
                 columns, inside, owner = stretches([texts[j] for j in group])
-                for begin in range(0, columns.shape[1], LANES):
-                    part = slice(begin, begin + LANES)
-                    for k, parser in enumerate(self.parsers):
-                        phrases = parser.count(columns[:, part], inside[:, part])
+                goes_on = np.r_[False, owner[1:] == owner[:-1], False]
+                for k, parser in enumerate(self.parsers):
+                    state = 0
+                    for begin in range(0, len(owner), LANES):
+                        part = slice(begin, begin + LANES)
+                        phrases, state = parser.count(columns[:, part], inside[:, part], goes_on[begin : begin + LANES + 1], state)
                         total[group, k] += np.bincount(owner[part], phrases, len(group)) * self.weight[k]
                 group, size = [], 0
         return total / np.maximum(1, np.fromiter(map(len, texts), np.int64, len(texts)))[:, None]
 
 
-_built: dict[bytes, LanguageModel] = {}
-
-
 def model(samples: dict[str, bytes]) -> LanguageModel:
     key = hashlib.sha256(repr(sorted(samples.items())).encode()).digest()
-    if key not in _built:
-        _built.clear()
-        _built[key] = LanguageModel(samples)
-    return _built[key]
+    return kept(key, lambda: LanguageModel(samples))
 
 
 def language_samples(
     labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     sample_texts: int = SAMPLE_TEXTS, text_bytes: int = TEXT_BYTES, sample_bytes: int = SAMPLE_BYTES,
 ) -> dict[str, bytes]:
-    """A bounded sample of normalised text per language: the distinct texts with the smallest hashes.
+    """A bounded sample of normalised text per language, of whole distinct texts.
 
-    Equal texts count once. Each gives its first ``text_bytes``; a language has at
-    most ``sample_bytes``, so the driver gathers that much per language.
+    Equal texts count once. Texts of at most ``text_bytes`` come first, in the order
+    of their hashes, then longer ones by size, so many as ``sample_texts`` and
+    ``sample_bytes`` hold. Of a language whose shortest text is longer than that,
+    ``sample_bytes`` of this text are learnt. The driver gathers no more per language.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    ranked = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.groupBy("lang", "h").agg(F.min("id").alias("id")).withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= sample_texts)
-    texts = rows.join(F.broadcast(chosen.select("lang", "h", "id")), ["lang", "h", "id"]).select("lang", "h", F.left("text", F.lit(text_bytes)).alias("text"))
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), F.octet_length(text_col).alias("size"))
+    order = [F.greatest("size", F.lit(text_bytes)), "h"]  # short texts are all alike
+    best = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy(*order), Window.partitionBy("lang").orderBy(*order)
+    # Ranked within 64 parts of a language first, so that few rows meet in one task.
+    chosen = rows.groupBy("lang", "h", "size").agg(F.min("id").alias("id")).withColumn("n", F.row_number().over(best[0])).where(F.col("n") <= sample_texts)
+    upto = F.sum(F.col("size") + 1).over(best[1].rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chosen = chosen.withColumn("n", F.row_number().over(best[1])).withColumn("upto", upto)
+    chosen = chosen.where((F.col("n") <= sample_texts) & ((F.col("n") == 1) | (F.col("upto") <= sample_bytes + 1)))
+    texts = rows.join(F.broadcast(chosen.select("lang", "h", "id")), ["lang", "h", "id"]).select("lang", "h", F.left("text", F.lit(sample_bytes)).alias("text"))
     found: dict[str, list[str]] = {}
     for r in texts.dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect():
         found.setdefault(r.lang, []).append(r.text)
@@ -201,24 +235,40 @@ def identify(docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id",
     schema = T.StructType([*docs.schema.fields, *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model(samples) if samples else None
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 1000):
-                batch = whole.slice(begin, 1000)
-                texts = batch[text_col].to_pylist()
-                there = [i for i, t in enumerate(texts) if known and t and has_letter(t)]
-                lang, score, bits = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
-                if there:
-                    cost = known.costs([normalise(texts[i]) for i in there])
-                    best = cost.argmin(1)
-                    for i, row, k in zip(there, cost, best):
-                        lang[i], bits[i] = known.names[k], float(row[k])
-                        score[i] = 1.0 if len(row) == 1 else float(1 - row[k] / np.partition(row, 1)[1])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=schema.names)
+        for batch, lang, score, bits in _predicted(batches, samples, text_col):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=schema.names)
 
     return small_batches(docs).mapInArrow(tidy(run), schema)
 
 
+def in_known_language(docs: DataFrame, samples: dict[str, bytes], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``identify`` gives a language, all columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, lang, _, _ in _predicted(batches, samples, text_col):
+            yield batch.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+
+    return small_batches(docs).mapInArrow(tidy(run), docs.schema)
+
+
+def _predicted(batches: Iterator[pa.RecordBatch], samples: dict[str, bytes], text_col: str) -> Iterator[tuple]:
+    """Batches with the language, score and bits of each text."""
+    known = model(samples) if samples else None
+    for whole in batches:
+        for begin in range(0, whole.num_rows, 1000):
+            batch = whole.slice(begin, 1000)
+            texts = batch[text_col].to_pylist()
+            there = [i for i, t in enumerate(texts) if known and t and has_letter(t)]
+            lang, score, bits = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
+            if there:
+                cost = known.costs([normalise(texts[i]) for i in there])
+                best = cost.argmin(1)
+                for i, row, k in zip(there, cost, best):
+                    lang[i], bits[i] = known.names[k], float(row[k])
+                    score[i] = 1.0 if len(row) == 1 else float(1 - row[k] / np.partition(row, 1)[1])
+            yield batch, lang, score, bits
+
+
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2):
     """Whether crc32 of the id, as text, leaves ``fold``; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,41 +121,41 @@ _LINK = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T
 
 def _link_partition(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = [(b["part"].to_numpy(), b["fp"].to_numpy(), b["rep"].to_numpy()) for b in batches]
+        cols = [(b["part"].to_numpy(), b["fp"].to_numpy()) for b in batches]
         if not cols:
             return
-        part, fp, rep = (np.concatenate(c) for c in zip(*cols))
+        part, fp = (np.concatenate(c) for c in zip(*cols))
         codes = fp.view(np.uint64)
         order = np.lexsort((gray_rank(codes), part))
-        part, codes, rep = part[order], codes[order], rep[order]
+        part, codes = part[order], codes[order]
         label = np.arange(len(codes))
         for i, j in close_pairs(part, codes, most):
             _settle(label, i, j)
         # The same node comes back once per block; a tree of links to one member of each set is enough.
         far = np.flatnonzero(label != np.arange(len(label)))
-        src, dst = rep[far], rep[label[far]]
+        src, dst = codes[far].view(np.int64), codes[label[far]].view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``id_col`` and ``fp``, the signed 64-bit SimHash of every whole text."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    """``id_col``, ``th`` (xxhash64 of the text) and ``fp``, the signed 64-bit SimHash of every whole text."""
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("th", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch[text_col]
             out = np.fromiter((simhash64(x.as_buffer().to_pybytes() if x.is_valid else None, shingle) for x in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch[id_col], pa.array(out.view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch[id_col], batch["th"], pa.array(out.view(np.int64))], names=schema.names)
 
-    return small_batches(docs).select(id_col, text_col).mapInArrow(tidy(run), schema)
+    return small_batches(docs).select(id_col, text_col, F.xxhash64(text_col).alias("th")).mapInArrow(tidy(run), schema)
 
 
 def link_fingerprints(codes: DataFrame, max_bits: int = 4, group_limit: int = 4096) -> DataFrame:
-    """Links (``src``, ``dst`` of ``rep``) that connect all ``fp`` within ``max_bits`` of each other.
+    """Links (``src``, ``dst``) that connect all ``fp`` within ``max_bits`` of each other.
 
-    ``codes`` holds distinct ``fp`` with one ``rep`` each. Every fingerprint goes
+    ``codes`` holds distinct ``fp``. Every fingerprint goes
     to one group per block, by the block's value (the groups number at most
     36,864 at any input size), so each close pair meets in at least one group.
     A group over ``group_limit`` is dealt again by the five parts of its other
@@ -166,7 +166,7 @@ def link_fingerprints(codes: DataFrame, max_bits: int = 4, group_limit: int = 40
         raise ValueError("five blocks find pairs of up to four differing bits")
     cut = lambda c, at, n: F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
     keyed = codes.select(
-        "fp", "rep", F.explode(F.array(*[(F.lit(i << 13) + cut(F.col("fp"), *b)).alias("k") for i, b in enumerate(BLOCKS)])).alias("k")
+        "fp", F.explode(F.array(*[(F.lit(i << 13) + cut(F.col("fp"), *b)).alias("k") for i, b in enumerate(BLOCKS)])).alias("k")
     )
     large = F.broadcast(keyed.groupBy("k").count().where(F.col("count") > group_limit).select("k", F.lit(True).alias("large")))
     keyed = keyed.join(large, "k", "left")
@@ -177,26 +177,55 @@ def link_fingerprints(codes: DataFrame, max_bits: int = 4, group_limit: int = 40
 
     rest = F.coalesce(*[F.when(F.shiftright("k", 13) == i, around(*b)) for i, b in enumerate(BLOCKS)])
     parts = F.array(*[(F.lit(1 + (i << 11)) + cut(rest, 10 * i, 10 if i < 4 else 11)).cast("int") for i in range(5)])
-    keyed = keyed.select("fp", "rep", "k", F.explode(F.when(F.col("large"), parts).otherwise(F.array(F.lit(0)))).alias("p"))
-    keyed = keyed.select((F.col("k").cast("long") * 65536 + F.col("p")).alias("part"), "fp", "rep")
+    keyed = keyed.select("fp", "k", F.explode(F.when(F.col("large"), parts).otherwise(F.array(F.lit(0)))).alias("p"))
+    keyed = keyed.select((F.col("k").cast("long") * 65536 + F.col("p")).alias("part"), "fp")
     return keyed.repartition("part").mapInArrow(tidy(_link_partition(max_bits)), _LINK)
 
 
+def _best_by_print(prints: DataFrame, best: Column, max_bits: int) -> DataFrame:
+    """``fp, best``: the least ``best`` of all rows whose fingerprints are linked to ``fp``."""
+    codes = stage(prints.groupBy("fp").agg(best.alias("best")), "codes")
+    groups = connected_components(link_fingerprints(codes.select("fp"), max_bits))
+    linked = stage(groups.select(F.col("node").alias("fp"), "component").join(codes, "fp"), "linked")
+    least = stage(linked.groupBy("component").agg(F.min("best").alias("least")), "least")
+    of = linked.select("fp", "component").join(least, "component").select("fp", "least")
+    return codes.join(of, "fp", "left").select("fp", F.coalesce("least", "best").alias("best"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4, shingle: int = 4) -> DataFrame:
     """One row per document: id, ``fp`` and ``component_id``, the smallest id linked to it.
 
     Documents link when their fingerprints differ in ``max_bits`` or fewer.
     Null, empty and white-space texts have fingerprint 0 and link like any
     other. Repeated rows give repeated rows; an empty table an empty one; other
-    columns are ignored. A null id takes part but never names a component
-    unless its whole component is null.
+    columns are ignored. A null id takes part and links others, but never names
+    a component unless its whole component is null.
     """
     if id_col != "doc_id" or text_col != "text":
         docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    prints = stage(fingerprints(docs, shingle=shingle), "fp")
-    codes = stage(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep")), "codes")
-    links = link_fingerprints(codes.where("rep IS NOT NULL"), max_bits)
-    groups = connected_components(links)
-    named = codes.join(groups, codes.rep == groups.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    named = stage(named, "named")
-    return prints.join(named, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
+    prints = stage(fingerprints(docs, shingle=shingle).drop("th"), "fp")
+    named = stage(_best_by_print(prints, F.min("doc_id").cast("long"), max_bits), "named")
+    return prints.join(named, "fp").select(F.col("doc_id").alias(id_col), "fp", F.col("best").alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4, shingle: int = 4) -> DataFrame:
+    """``id, th``: one document of each group of ``near_duplicates``, by id and xxhash64 of its text.
+
+    The one with the smallest id, null ids last; of equal ids the smallest hash.
+    """
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints = stage(fingerprints(docs, "id", shingle=shingle), "fp")
+    best = F.min(F.struct(F.col("id").isNull(), "id", "th"))
+    return _best_by_print(prints, best, max_bits).select("best.id", "best.th").distinct()
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose document represents its near-duplicate group; of equal ids and texts one row."""
+    keep = stage(representatives(docs, id_col, text_col, **options), "keep")
+    # Null ids compare as such, and the window's groups are the join's: one shuffle of the texts serves both.
+    known = lambda c, th: [c.isNull().alias("n"), F.coalesce(c.cast("string"), F.lit("")).alias("i"), F.col(th).alias("h")]
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("th"), F.col(id_col).alias("id"))
+    rows = rows.select("row", *known(F.col("id"), "th"))
+    first = F.row_number().over(Window.partitionBy("n", "i", "h").orderBy("h"))
+    kept = rows.join(keep.select(*known(F.col("id"), "th")), ["n", "i", "h"], "left_semi").withColumn("place", first).where("place = 1")
+    return kept.select("row.*")

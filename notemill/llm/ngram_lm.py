@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from functools import lru_cache
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notemill.llm.workers import small_batches, tidy
+from notemill.llm.workers import kept, small_batches, tidy
 from notemill.staging import new_path
 
 U64 = np.uint64
@@ -25,6 +27,8 @@ MERGE_AT = 3_000_000
 MANY = 255
 #: Training text, in bytes, behind one shard of the model.
 SHARD_BYTES = 24 << 20
+#: Arrays that a worker has mapped at once; the one used longest ago is closed.
+OPEN_MAPS = 8192
 BEGIN, END = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -217,7 +221,7 @@ def _count(text_col: str, shards: int):
 
 def _save(path: str, array: np.ndarray) -> None:
     """Write whole, then rename: a task that runs twice leaves the same file."""
-    part = f"{path}.{os.getpid()}.part"
+    part = f"{path}.{uuid.uuid4().hex}.part"
     with open(part, "wb") as f:
         np.save(f, array)
     os.replace(part, path)
@@ -363,13 +367,16 @@ class Model:
 
     def __init__(self, info: ModelInfo):
         self.info = info
-        self.maps: dict[str, np.ndarray | None] = {}
+        self.maps: OrderedDict[str, np.ndarray | None] = OrderedDict()
 
     def _map(self, name: str, shard: int) -> np.ndarray | None:
         key = f"{name}-{shard}"
         if key not in self.maps:
             path = f"{self.info.folder}/{key}.npy"
             self.maps[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            if len(self.maps) > OPEN_MAPS:
+                self.maps.popitem(last=False)
+        self.maps.move_to_end(key)
         return self.maps[key]
 
     def _look_up(self, kind: str, keys: np.ndarray, value: str) -> np.ndarray:
@@ -411,9 +418,8 @@ class Model:
         return np.log10(p), stats[0][w]
 
 
-@lru_cache(2)
 def _opened(info: ModelInfo) -> Model:
-    return Model(info)
+    return kept(info, lambda: Model(info))
 
 
 def score(docs: DataFrame, info: ModelInfo, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

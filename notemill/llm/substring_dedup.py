@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import chain
 
@@ -15,10 +16,12 @@ from pyspark.sql import types as T
 from notemill.llm.components import connected_components
 from notemill.llm.ngram_lm import U64, mix, slices, word_spans
 from notemill.llm.workers import small_batches, tidy
-from notemill.staging import sized_broadcast, stage
+from notemill.staging import Scratch, sized_broadcast
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Rows of a band: one alone would let any two paragraphs with one frequent shingle collide.
+LEAST_ROWS = 2
 #: Words to each side over which a cut of a long paragraph must have the smallest hash.
 CUT_REACH = 5
 #: Paragraphs of more words are cut.
@@ -32,13 +35,13 @@ COMPARED = 1 << 20
 _MOST = U64(2**64 - 1)
 
 
-def tune_bands(similarity: float, recall: float, max_bands: int = 8) -> tuple[int, int]:
-    """Fewest bands, then most rows a band, by which pairs of ``similarity`` collide with probability ``recall``."""
-    for bands in range(1, max_bands + 1):
-        for rows in range(4, 0, -1):
-            if 1 - (1 - similarity**rows) ** bands >= recall:
-                return bands, rows
-    raise ValueError("no banding reaches this recall")
+def tune_bands(similarity: float, recall: float, least_rows: int = LEAST_ROWS) -> tuple[int, int]:
+    """Fewest bands of at least ``least_rows`` rows, then most rows a band, by which pairs of ``similarity`` collide with probability ``recall``."""
+    bands = max(1, math.ceil(math.log1p(-recall) / math.log1p(-(similarity**least_rows)) - 1e-9))
+    rows = least_rows
+    while 1 - (1 - similarity ** (rows + 1)) ** bands >= recall:
+        rows += 1
+    return bands, rows
 
 
 def _first_of(groups: np.ndarray) -> np.ndarray:
@@ -275,7 +278,7 @@ def prefix_rows(sets: DataFrame, similarity: float) -> DataFrame:
     return held.where(take > 0).select(F.explode(F.slice("e", F.lit(1), take)).alias("e"), "c").select(F.col("e.x").alias("key"), "c")
 
 
-def block_pairs(members: DataFrame, group_rows: int) -> DataFrame:
+def block_pairs(members: DataFrame, group_rows: int, stage: Scratch) -> DataFrame:
     """``members`` (``key, c, label``) dealt anew by pairs of blocks of their key, at most ``2 * group_rows`` to a new key.
 
     Any two of one key and different labels meet; blocks of one label alone don't.
@@ -289,7 +292,7 @@ def block_pairs(members: DataFrame, group_rows: int) -> DataFrame:
     return placed.join(pairs, ["key", "block"]).select(F.col("pair").alias("key"), "c", "label")
 
 
-def _large_links(sets: DataFrame, links: DataFrame, similarity: float, group_rows: int) -> DataFrame:
+def _large_links(sets: DataFrame, links: DataFrame, similarity: float, group_rows: int, stage: Scratch) -> DataFrame:
     """Links that connect all similar ``sets``, given some ``links``, with a bounded number of sets in a group."""
     rows = prefix_rows(sets, similarity)
     rows = stage(rows, "sd-prefix")
@@ -303,10 +306,10 @@ def _large_links(sets: DataFrame, links: DataFrame, similarity: float, group_row
         return links
     known = stage(connected_components(links).select(F.col("node").alias("c"), "component"), "sd-known")
     over = over.join(known, "c", "left").select("key", "c", F.coalesce("component", "c").alias("label"))
-    return links.unionByName(_solved(block_pairs(over, group_rows), sets, similarity))
+    return links.unionByName(_solved(block_pairs(over, group_rows, stage), sets, similarity))
 
 
-def _near_links(contents: DataFrame, docs: DataFrame, id_col: str, text_col: str, keys: list[str], similarity: float, group_rows: int) -> DataFrame:
+def _near_links(contents: DataFrame, docs: DataFrame, id_col: str, text_col: str, keys: list[str], similarity: float, group_rows: int, stage: Scratch) -> DataFrame:
     """Links between the contents of paragraphs that collide in a band and are similar."""
     banded = contents.select(F.explode(F.array(*keys)).alias("key"), "c")
     shared = stage(banded.groupBy("key").agg(F.count("*").cast("int").alias("n")).where("n > 1"), "sd-keys")
@@ -318,7 +321,7 @@ def _near_links(contents: DataFrame, docs: DataFrame, id_col: str, text_col: str
     sets = stage(source.mapInArrow(tidy(_wanted_shingles(text_col)), "c long, shingles array<long>").dropDuplicates(["c"]), "sd-sets")
     links = _solved(colliding.where(F.col("n") <= group_rows).select("key", "c", F.col("c").alias("label")), sets, similarity)
     large = stage(colliding.where(F.col("n") > group_rows).select("c").distinct(), "sd-large")
-    return links if large.isEmpty() else _large_links(sets.join(large, "c", "left_semi"), links, similarity, group_rows)
+    return links if large.isEmpty() else _large_links(sets.join(large, "c", "left_semi"), links, similarity, group_rows, stage)
 
 
 def duplicate_spans(
@@ -343,6 +346,7 @@ def duplicate_spans(
     other. Null and empty texts have no spans; an empty table gives an empty
     one; other columns are ignored.
     """
+    stage, result = Scratch(), Scratch()
     bands, rows = tune_bands(similarity, recall)
     keys = [f"k{b}" for b in range(bands)]
     docs = small_batches(docs).select(id_col, text_col, F.xxhash64(text_col).alias("th"))
@@ -358,15 +362,16 @@ def duplicate_spans(
     # Paragraphs by content: what is common counts once from here on.
     lines = units.where(F.col(keys[0]).isNotNull())
     contents = stage(lines.groupBy("c").agg(F.count("*").alias("n"), F.min(place).alias("first"), *[F.min(k).alias(k) for k in keys]), "sd-contents")
-    links = stage(_near_links(contents, docs, id_col, text_col, keys, similarity, group_rows).distinct(), "sd-links")
+    links = stage(_near_links(contents, docs, id_col, text_col, keys, similarity, group_rows, stage).distinct(), "sd-links")
     near = stage(connected_components(links).select(F.col("node").alias("c"), "component"), "sd-near")
     # First place and copies of every component: exact ones by content, near ones over all their contents.
     near_places = contents.join(near, "c").groupBy("component").agg(F.sum("n").alias("n"))
     of_near = near.join(stage(near_places, "sd-firsts"), "component").select("c", "component", "n")
     of_exact = repeated.join(near.select("c"), "c", "left_anti").select("c", F.col("c").alias("component"), "n")
     marked = stage(of_exact.unionByName(of_near), "sd-marked")
-    found = stage(units.drop(*keys).join(marked, "c").drop("c"), "sd-found")
-    firsts = stage(found.groupBy("component").agg(F.min(place).alias("first")), "sd-first")
+    found = result(units.drop(*keys).join(marked, "c").drop("c"), "sd-found")
+    stage.clear()
+    firsts = result(found.groupBy("component").agg(F.min(place).alias("first")), "sd-first")
     hits = found.join(firsts, "component").withColumn("removed", place != F.col("first"))
     hits = hits.select(id_col, "th", "w0", "w1", "b0", "b1", "component", "n", "removed").distinct()
     order = Window.partitionBy(id_col, "th", "removed").orderBy("w0", "w1")
@@ -397,17 +402,18 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def remove_duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the removable spans cut from their texts, without documents that have no word left by it.
 
-    Columns, and rows whose text has no removable span, stay as they are.
+    All other columns, whatever their names, and rows whose text has no removable span, stay as they are.
     """
     spans = duplicate_spans(docs, id_col, text_col, **options).where("removed")
-    cut = spans.groupBy(F.col(id_col).alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("start_byte", "end_byte")).alias("_cut"))
-    cut = stage(cut, "sd-cut")
-    there = docs.withColumn("_h", F.xxhash64(text_col)).join(sized_broadcast(cut), F.col("_h").eqNullSafe(F.col("_th")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    cut = spans.groupBy(F.col(id_col).alias("id"), "th").agg(F.collect_list(F.struct("start_byte", "end_byte")).alias("cut"))
+    cut = Scratch()(cut, "sd-cut")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), F.xxhash64(text_col).alias("h"))
+    there = rows.join(sized_broadcast(cut), F.col("h").eqNullSafe(F.col("th")) & F.col("own").eqNullSafe(F.col("id")), "left")
 
     @F.pandas_udf("string")
     def without(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([cut_spans(t.encode(), [(s["start_byte"], s["end_byte"]) for s in x]).decode() for t, x in zip(text, spans)])
 
-    names = docs.columns
-    changed = there.where(F.col("_cut").isNotNull()).withColumn(text_col, without(text_col, "_cut")).select(*names).where(F.trim(text_col) != "")
-    return there.where(F.col("_cut").isNull()).select(*names).unionByName(changed)
+    changed = there.where(F.col("cut").isNotNull()).withColumn("text", without(F.col("row")[text_col], "cut")).where(F.trim("text") != "")
+    changed = changed.select(*[(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
+    return there.where(F.col("cut").isNull()).select("row.*").unionByName(changed)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import cached_property, lru_cache
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
 
+from notemill.llm.workers import kept
+
 END_OF_TEXT = "<|endoftext|>"
 #: Distinct space-free chunks whose ids a worker keeps.
 CACHE_CHUNKS = 120_000
@@ -88,6 +90,5 @@ class ByteBpe:
         return b"".join(self.encode(x) for x in re.split(r"(?<=<)(?=\|endoftext)", text))
 
 
-@lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:
-    return ByteBpe(path)
+    return kept(("byte_bpe", path), lambda: ByteBpe(path))

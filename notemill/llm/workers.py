@@ -20,16 +20,43 @@ def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     return df
 
 
+_kept: dict = {}
+
+
+def kept(key: object, build: Callable[[], object]) -> object:
+    """What ``build`` makes, kept by this worker for its next tasks.
+
+    A worker keeps one such object at a time: it goes when a task asks for
+    another, or when a ``tidy`` task ends that asked for none.
+    """
+    if "key" not in _kept or _kept["key"] != key:
+        _kept.clear()
+        _kept.update(value=build(), key=key)
+    _kept["used"] = True
+    return _kept["value"]
+
+
+def _begin() -> None:
+    _kept.pop("used", None)
+
+
+def _end() -> None:
+    if "used" not in _kept:
+        _kept.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``run``, giving freed memory back to the system when a task ends."""
+    """``run``, giving memory back to the system when a task ends, and what earlier tasks kept if this one has no use for it."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            _end()
 
     return tidied

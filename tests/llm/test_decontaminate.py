@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from notemill.llm.decontaminate import GAP, MATCH, MISMATCH, Seeds, align, contaminated, words
+from notemill.llm.decontaminate import GAP, MATCH, MISMATCH, Seeds, align, contaminated, words, without_copies
 
 
 def plain_sw(a, b):
@@ -29,7 +29,7 @@ def prose(rng, n):
 
 def test_copies_are_found(spark):
     rng = random.Random(2)
-    items = [(i, " ".join(prose(rng, 30))) for i in range(12)] + [(20, None), (21, ""), (22, "too short"), (23, "Exact, Copy! of a-b c")]
+    items = [(i, " ".join(prose(rng, 30))) for i in range(12)] + [(20, None), (21, ""), (22, "too short"), (24, "One."), (23, "Exact, Copy! of a-b c")]
     docs, want = [], set()
     for d in range(80):
         body = prose(rng, 200)
@@ -43,8 +43,8 @@ def test_copies_are_found(spark):
             body[50:50] = copy
             want.add((d, i))
         docs.append((d, " ".join(body)))
-    docs += [(100, None), (101, ""), (102, "EXACT copy of A B c."), (103, "filler " * 200_000 + items[3][1])]
-    want |= {(102, 23), (103, 3)}
+    docs += [(100, None), (101, ""), (102, "EXACT copy of A B c."), (103, "filler " * 200_000 + items[3][1]), (104, "it is too short here"), (105, "a line\n- Too short!\none"), (None, items[4][1]), (None, None)]
+    want |= {(102, 23), (103, 3), (105, 22), (105, 24), (None, 4)}
     df = spark.createDataFrame([(*r, "clash", 1) for r in docs], "doc_id long, text string, item_id string, score int")
     bench = spark.createDataFrame([(*r, 5) for r in items], "item_id long, text string, doc_id int")
     for block in (8_000_000, 300):
@@ -53,6 +53,11 @@ def test_copies_are_found(spark):
         assert all(0.5 <= r.score <= 1 and r.end_word > r.start_word for r in got)
     span = next(r for r in got if r.doc_id == 103)
     assert (span.start_word, span.end_word, span.score) == (200_000, 200_030, 1.0)
+    kept = without_copies(df, bench, block_bytes=300)
+    assert kept.columns == df.columns
+    leaks = {d for d, _ in want}
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == sorted([(d, t) for d, t in docs if d not in leaks and d] + [(-1, None)])
+    assert without_copies(df.limit(0), bench).collect() == [] and without_copies(df, bench.limit(0)).count() == len(docs)
     assert contaminated(df.limit(0), bench).collect() == [] and contaminated(df, bench.limit(0)).collect() == []
 
 

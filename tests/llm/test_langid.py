@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from notemill.llm.langid import STRETCH, CrossParser, has_letter, held_out, identify, language_samples, normalise, stretches
+from notemill.llm.langid import STRETCH, LanguageModel, has_letter, held_out, identify, language_samples, normalise
 
 
 def plain_phrases(text, sample):
@@ -15,15 +16,25 @@ def plain_phrases(text, sample):
     return n
 
 
-def test_phrases_equal_direct_search():
+@pytest.mark.parametrize("lanes", [1, 3, 8192])
+def test_phrases_equal_direct_search(monkeypatch, lanes):
+    monkeypatch.setattr("notemill.llm.langid.LANES", lanes)
     rng = random.Random(1)
     sample = bytes(rng.choice(b"abc ") for _ in range(200))
-    parser = CrossParser(sample)
-    texts = [bytes(rng.choice(b"abcd ?") for _ in range(rng.randint(0, 900))) for _ in range(30)]
-    columns, inside, owner = stretches(texts)
-    got = np.bincount(owner, parser.count(columns, inside), len(texts))
-    for i, t in enumerate(texts):
-        assert got[i] == sum(plain_phrases(t[a : a + STRETCH], sample) for a in range(0, len(t), STRETCH))
+    texts = [bytes(rng.choice(b"abcd ?") for _ in range(rng.choice([0, 5, STRETCH, 2 * STRETCH, rng.randint(0, 3000)]))) for _ in range(30)]
+    texts += [sample * 20, b"a" * 5000, b"?" * 1500]  # phrases longer than a part, and none
+    known = LanguageModel({"x": sample})
+    got = known.costs(texts)[:, 0] * np.maximum(1, [len(t) for t in texts]) / known.weight[0]
+    assert got.round(6).tolist() == [plain_phrases(t, sample) for t in texts]
+
+
+def test_samples_are_whole_texts(spark):
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    rows = [(i, f"<{name(i)} " * 20 + ">", "de") for i in range(200)] + [(i, "lang " * 400, "de") for i in range(200, 210)] + [(300, "seul texte " * 5000, "fr"), (301, "x " * 9000, "pt"), (302, "y " * 700, "pt")]
+    found = language_samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_bytes=4000)
+    assert found["fr"] == normalise("seul texte " * 5000)[:4000] and found["pt"] == normalise("y " * 700)
+    words = found["de"].split()
+    assert len(words) % 20 == 0 and all(len(set(words[i : i + 20])) == 1 for i in range(0, len(words), 20)) and 3000 < len(found["de"]) <= 4000
 
 
 WORDS = {"en": "the of and thing that with here other", "de": "der und nicht ein schön über auch zwischen", "fr": "le les été où français être avec nous"}

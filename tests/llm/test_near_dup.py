@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from notemill.llm.near_dup import close_pairs, gray_rank, link_fingerprints, near_duplicates, simhash64
+from notemill.llm.near_dup import close_pairs, gray_rank, link_fingerprints, near_duplicates, one_of_each_group, simhash64
 
 
 def plain_simhash(text):
@@ -60,8 +60,9 @@ def test_links_give_brute_force_components(spark, limit):
             codes.add(c)
     codes = sorted(codes)
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
-    df = spark.createDataFrame(list(zip(signed, range(len(codes)))), "fp long, rep long")
-    links = [(r.src, r.dst) for r in link_fingerprints(df, 4, limit).collect()]
+    at = {c: i for i, c in enumerate(signed)}
+    df = spark.createDataFrame([(c,) for c in signed], "fp long")
+    links = [(at[r.src], at[r.dst]) for r in link_fingerprints(df, 4, limit).collect()]
     root = {i: i for i in range(len(codes))}
     for _ in range(len(codes)):
         for a, b in links:
@@ -90,3 +91,17 @@ def test_empty_and_repeated_rows(spark):
     assert near_duplicates(docs).collect() == []
     twice = spark.createDataFrame([(4, "a b"), (4, "a b"), (9, "a b")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in near_duplicates(twice).collect()) == [(4, 4), (4, 4), (9, 4)]
+
+
+def test_null_ids_link_others(spark):
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[:k] + words[k + 1 :]) for k in range(40)]
+    codes = [plain_simhash(t) for t in texts]
+    close = lambda a, b: (codes[a] ^ codes[b]).bit_count() <= 4
+    a, m, b = next((a, m, b) for m in range(40) for a in range(40) for b in range(a) if close(a, m) and close(m, b) and not close(a, b))
+    rows = [(3, texts[a], "x"), (None, texts[m], "y"), (8, texts[b], "z"), (None, texts[m], "y"), (8, texts[b], "z"), (None, "alone here", "x"), (None, "alone  here", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string")
+    assert {r.component_id for r in near_duplicates(docs.limit(5)).collect()} == {3}
+    kept = [tuple(r) for r in one_of_each_group(docs).collect()]
+    assert len(kept) == 2 and rows[0] in kept and (rows[5] in kept or rows[6] in kept)
+    assert one_of_each_group(docs.limit(0)).collect() == []

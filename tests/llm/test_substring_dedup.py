@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from notemill.llm.substring_dedup import Paragraphs, _large_links, block_pairs, cut_spans, duplicate_spans, remove_duplicate_spans, similar_pairs, tune_bands
+from notemill.staging import Scratch
 
 
 def prose(rng, n, vocab=5000):
@@ -13,7 +14,8 @@ def prose(rng, n, vocab=5000):
 
 
 def test_bands():
-    assert tune_bands(0.8, 0.99) == (3, 1)
+    assert tune_bands(0.8, 0.99) == (5, 2)
+    assert tune_bands(0.8, 0.99, 4) == (9, 4) and tune_bands(0.8, 0.99, 1) == (3, 1)
     for s, r in ((0.8, 0.99), (0.9, 0.999), (0.5, 0.9)):
         b, k = tune_bands(s, r)
         assert 1 - (1 - s**k) ** b >= r
@@ -123,7 +125,7 @@ def test_large_keys_are_dealt_again_and_lose_no_pair(spark, group_rows):
             own[5 * k : 5 * k + 3] = rng.sample(range(1, 400), 3)
     df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "c long, shingles array<long>")
     none = spark.createDataFrame([], "src long, dst long")
-    found = [(r.src, r.dst) for r in _large_links(df, none, 0.8, group_rows).collect()]
+    found = [(r.src, r.dst) for r in _large_links(df, none, 0.8, group_rows, Scratch()).collect()]
     jac = lambda i, j: len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j]))
     want = [(i, j) for i in range(60) for j in range(i) if jac(i, j) >= 0.8]
     assert want and all(jac(i, j) >= 0.8 for i, j in found)
@@ -140,7 +142,7 @@ def test_large_keys_are_dealt_again_and_lose_no_pair(spark, group_rows):
 
 def test_block_pairs_bound_groups_and_meet_all(spark):
     rows = [(1, c, 0 if c < 30 else c) for c in range(50)] + [(2, c, c) for c in range(9)]
-    got = block_pairs(spark.createDataFrame(rows, "key long, c long, label long"), 4).collect()
+    got = block_pairs(spark.createDataFrame(rows, "key long, c long, label long"), 4, Scratch()).collect()
     groups, label = {}, {(k, c): x for k, c, x in rows}
     for r in got:
         groups.setdefault(r.key, []).append(r.c)
@@ -160,3 +162,38 @@ def test_near_copies_are_compared_all_at_once():
     begin = time.process_time()
     assert len(list(similar_pairs([base, *sets], 0.8))) == 2000
     assert time.process_time() - begin < 20
+
+
+def test_near_lines_are_linked(spark):
+    """Recall of the banding over whole lines that differ in a few words (Jaccard 0.8 to 1)."""
+    rng = random.Random(6)
+    rows, want = [], set()
+    for d in range(300):
+        line = prose(rng, 60, 100_000)
+        rows.append((2 * d, " ".join(line)))
+        line[rng.randrange(60)] = "changed"
+        rows.append((2 * d + 1, " ".join(line)))
+        want.add(2 * d + 1)
+    got = duplicate_spans(spark.createDataFrame(rows, "doc_id long, text string")).where("removed AND n_words = 60").collect()
+    found = {r.doc_id for r in got}
+    assert found <= want and len(found) >= 0.97 * len(want)
+
+
+@pytest.mark.parametrize("length,least", [(50, 0.9), (70, 0.95), (100, 0.95)])
+def test_recall_of_passages_inside_lines(spark, length, least):
+    """Share of passages, pasted into the middle of two lines each, that are found."""
+    rng = random.Random(length)
+    rows = []
+    for d in range(150):
+        passage = prose(rng, length, 100_000)
+        rows += [(2 * d + k, " ".join(prose(rng, 80, 100_000) + passage + prose(rng, 80, 100_000))) for k in (0, 1)]
+    got = duplicate_spans(spark.createDataFrame(rows, "doc_id long, text string")).where("removed").collect()
+    assert {r.doc_id % 2 for r in got} == {1} and len({r.doc_id for r in got}) >= least * 150
+
+
+def test_columns_of_any_name_stay(spark):
+    line = " ".join(prose(random.Random(8), 30))
+    rows = [(1, line, "a", "b", "c", "d", 5), (2, line + "\nmore words", "e", "f", "g", "h", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _h string, _id string, _cut string, id string, th int")
+    out = sorted(tuple(r) for r in remove_duplicate_spans(df).collect())
+    assert out == [rows[0], (2, "more words", *rows[1][2:])] and remove_duplicate_spans(df).columns == df.columns
