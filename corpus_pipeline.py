@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm.decontaminate import contaminated
-from notemill.llm.langid import UNKNOWN, identify, language_samples
-from notemill.llm.near_dup import near_duplicates
+from notemill.llm.decontaminate import without_copies
+from notemill.llm.langid import in_known_language, language_samples
+from notemill.llm.near_dup import one_of_each_group
 from notemill.llm.packing import pack_documents
 from notemill.llm.substring_dedup import remove_duplicate_spans
 from notemill.staging import stage
@@ -17,30 +17,27 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those that are null or have no letter go."""
-    found = identify(docs, language_samples(docs))
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return in_known_language(docs, language_samples(docs))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; one of equal rows."""
-    keep = stage(near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct(), "keep")
-    # The window's groups lie within the join's: one shuffle of the texts serves both.
-    same = Window.partitionBy("doc_id", "_h").orderBy("_h")
-    kept = docs.join(keep, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).withColumn("_n", F.row_number().over(same)).where("_n = 1")
-    # Without an id there is nothing to know a document by; such rows stay.
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One document of each near-duplicate group: that with the smallest id (null last); one of equal rows.
+
+    Groups are those of ``near_duplicates``: fingerprints of four-word shingles, linked
+    at four or fewer differing bits. All null ids of one group count as one document.
+    """
+    return one_of_each_group(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that an earlier document (by id) already has."""
+    """Texts without passages that an earlier document (by id) already has; ``n_chars``, if there, follows the text."""
     cut = remove_duplicate_spans(docs)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copy of a benchmark item."""
-    leaks = stage(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a copy of a benchmark item, whatever their ids."""
+    return without_copies(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,6 +55,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` through all stages: a row per piece of each document that is left, with its place in a sequence.
+
+    Each stage is written as Parquet and read again. Null texts and texts without a
+    letter go with the first stage; an empty table gives an empty one; columns that
+    are not known to a stage pass it as they are, whatever their names.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, apply in STAGES[:-1]:
         docs = stage(apply(spark, docs, sf_dir), name)
