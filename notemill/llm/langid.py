@@ -18,6 +18,8 @@ UNKNOWN = "und"
 SAMPLE_TEXTS, TEXT_BYTES, SAMPLE_BYTES = 64, 1024, 32_768
 #: Bytes of the parts of a text that are parsed side by side; phrases go on from one to the next.
 STRETCH = 512
+#: Parts that are followed one by one, rather than side by side.
+FEW = 48
 #: Parts parsed at once.
 LANES = 8192
 #: Letters of ASCII and all bytes of other characters are kept; the rest parts words.
@@ -102,9 +104,9 @@ class CrossParser:
         first one from the state ``entry``; one more flag tells whether the last goes on. All
         columns are first parsed as if a phrase began with each; then those that
         are entered within a phrase are parsed again from there, until they fall
-        in with the first parse, which they mostly do after a few bytes. That
-        goes on while a column's end has changed, so the counts are those of one
-        parse from the text's first byte.
+        in with the first parse, which they mostly do after a few bytes. The few
+        that don't are followed one by one, into the next columns where need be,
+        so the counts are those of one parse from the text's first byte.
         """
         rows, columns = parts.shape
         symbols = np.where(inside, self.symbol_of[parts], np.uint8(self.pad))
@@ -115,26 +117,42 @@ class CrossParser:
             state, ended = self._step(state, symbols[k])
             path[k] = state
             phrases += ended
-        entered = np.zeros(columns, np.int32)
-        while True:
-            enter = np.where(goes_on[:-1], np.r_[entry, path[-1, :-1]].astype(np.int32), 0)
-            at = np.flatnonzero(enter != entered)
-            if not len(at):
-                break
-            new, old, entered = enter[at], entered[at], enter
-            for k in range(rows):
-                row = symbols[k, at]
-                new, ended = self._step(new, row)
-                old, before = self._step(old, row)
-                phrases[at] += ended - before
-                apart = new != old
-                path[k, at] = new
-                if not apart.all():
-                    at, new, old = at[apart], new[apart], old[apart]
-                    if not len(at):
-                        break
+        enter = np.where(goes_on[:-1], np.r_[entry, path[-1, :-1]].astype(np.int32), 0)
+        at, k = np.flatnonzero(enter), 0
+        new, old = enter[at], np.zeros(len(at), np.int32)
+        while k < rows and len(at) > FEW:
+            row = symbols[k, at]
+            new, ended = self._step(new, row)
+            old, before = self._step(old, row)
+            phrases[at] += ended - before
+            path[k, at] = new
+            k += 1
+            apart = np.flatnonzero(new != old)
+            if len(apart) < len(at):
+                at, new, old = at[apart], new[apart], old[apart]
+        for column, a, b in zip(at.tolist(), new.tolist(), old.tolist()):
+            self._follow(symbols, path, phrases, column, k, a, b)
+        for column in (np.flatnonzero(goes_on[1:-1] & (path[-1, :-1] != enter[1:])) + 1).tolist():
+            while column < columns and goes_on[column] and path[-1, column - 1] != enter[column]:
+                self._follow(symbols, path, phrases, column, 0, int(path[-1, column - 1]), int(enter[column]))
+                enter[column] = path[-1, column - 1]
+                column += 1
         return phrases + (~goes_on[1:] & (path[-1] != 0)), int(path[-1, -1])
 
+    def _follow(self, symbols: np.ndarray, path: np.ndarray, phrases: np.ndarray, column: int, begin: int, new: int, old: int) -> None:
+        """Parse a column from ``new`` where it was parsed from ``old``, until both fall together."""
+        move, double = memoryview(self.move), self.double.tolist()
+        more, went = 0, []
+        for symbol in symbols[begin:, column].tolist():
+            a, b = move[(new >> 1) + symbol], move[(old >> 1) + symbol]
+            more += (a & 1) - (b & 1) + double[symbol] * ((new != 0) - (old != 0))
+            new, old = a & ~1, b & ~1
+            went.append(new)
+            if new == old:
+                break
+        path[begin : begin + len(went), column] = went
+        phrases[column] += more
+
     def _step(self, state: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states after one symbol each, and the phrases that ended with it."""
         moved = self.move[(state >> 1) + row]

@@ -16,13 +16,14 @@ def plain_phrases(text, sample):
     return n
 
 
-@pytest.mark.parametrize("lanes", [1, 3, 8192])
-def test_phrases_equal_direct_search(monkeypatch, lanes):
+@pytest.mark.parametrize("lanes,few", [(1, 48), (3, 0), (8192, 0), (8192, 2), (8192, 48)])
+def test_phrases_equal_direct_search(monkeypatch, lanes, few):
     monkeypatch.setattr("notemill.llm.langid.LANES", lanes)
+    monkeypatch.setattr("notemill.llm.langid.FEW", few)
     rng = random.Random(1)
     sample = bytes(rng.choice(b"abc ") for _ in range(200))
     texts = [bytes(rng.choice(b"abcd ?") for _ in range(rng.choice([0, 5, STRETCH, 2 * STRETCH, rng.randint(0, 3000)]))) for _ in range(30)]
-    texts += [sample * 20, b"a" * 5000, b"?" * 1500]  # phrases longer than a part, and none
+    texts += [sample * 20, (sample * 20)[3:], sample[:37] * 90, b"a" * 5000, b"?" * 1500, (b"ab " * 700 + b"?c") * 4]  # phrases longer than a part, and none
     known = LanguageModel({"x": sample})
     got = known.costs(texts)[:, 0] * np.maximum(1, [len(t) for t in texts]) / known.weight[0]
     assert got.round(6).tolist() == [plain_phrases(t, sample) for t in texts]
