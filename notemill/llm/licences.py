@@ -25,6 +25,31 @@ SENTENCES = {
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "apache-title": "Apache License Version 2.0, January 2004",
+    "apache-terms": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "gpl3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "lgpl3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl21-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "agpl3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "gpl-verbatim": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl3-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation.",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "epl-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "bsd-warranty": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "zero-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "isc-warranty": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "boost-header": "Distributed under the Boost Software License, Version 1.0.",
+    "boost-grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+    "zlib-warranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "zlib-altered": "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+    "mpl-title": "Mozilla Public License Version 2.0",
     "mpl-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "cc-by-short": "Licensed under CC BY 4.0.",
@@ -49,6 +74,23 @@ RULES = [
     ("GPL-3.0-only", ["gpl3-short"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("GPL-2.0-only", ["gpl2-only", "gpl-warranty"]),
+    ("GPL-3.0-only", ["gpl3-only", "gpl-warranty"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free", "lgpl-warranty"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free", "gpl-warranty"]),
+    ("AGPL-3.0-or-later", ["agpl3-free", "gpl-warranty"]),
+    ("Apache-2.0", ["apache-title", "apache-terms"]),
+    ("GPL-2.0", ["gpl2-title", "gpl-verbatim"]),
+    ("GPL-3.0", ["gpl3-title", "gpl-verbatim"]),
+    ("LGPL-2.1", ["lgpl21-title", "gpl-verbatim"]),
+    ("LGPL-3.0", ["lgpl3-title", "gpl-verbatim"]),
+    ("AGPL-3.0", ["agpl3-title", "gpl-verbatim"]),
+    ("EPL-2.0", ["epl-header"]),
+    ("BSL-1.0", ["boost-header"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("Zlib", ["zlib-warranty", "zlib-grant", "zlib-altered"]),
+    ("0BSD", ["zero-grant"]),
+    ("MPL-2.0", ["mpl-title"]),
     ("ISC", ["isc-grant"]),
     ("MPL-2.0", ["mpl-header"]),
     ("Unlicense", ["unlicense"]),
@@ -62,8 +104,10 @@ RULES = [
     ("CC0-1.0", ["cc0"]),
     ("LicenseRef-AllRightsReserved", ["reserved"]),
 ]
-#: Every known sentence holds one of these, so a text without them is passed over.
-STEMS = ("licen", "warrant", "permission", "permitted", "redistribut", "copyright", "rights reserved", "public domain", "free software")
+#: Every known piece holds one of these, so a text without them is passed over.
+STEMS = ("licen", "warrant", "permission", "permitted", "redistribut", "copyright", "rights reserved", "public domain", "free software", "terms and conditions", "misrepresented")
+#: A piece of so many words counts wherever it stands; a shorter one must be a whole sentence or whole lines.
+LONG_PIECE = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,6 +120,7 @@ def _pieces(sentence: str) -> list[str]:
     """A known sentence cut where ``normal_lines`` would end it."""
     import re
 
+    sentence = re.sub(r"(?i)\bv\. ", "v ", sentence)
     return [normalise(x) for x in re.sub(r"([.!?;:])[ \t\r\n]+", "\\1\n", sentence).split("\n")]
 
 
@@ -95,29 +140,40 @@ def rule_paths() -> list[tuple[str, str]]:
     return [(licence, "|" + "|".join(table[p] for n in names for p in _pieces(SENTENCES[n])) + "|") for licence, names in RULES]
 
 
+#: What turns a text into the words of its lines, in order: patterns and what stands in their place.
+#: The first and second run on the text as it is, the others in lower case. Spelled so that Java and RE2 agree.
+_BEFORE = [(r"(?m)^[ \t]*(?:@?REM|dnl)([ \t\r\n])", r" \1"), (r"\r?\n[ \t]*([a-z(])", r" \1")]
+_AFTER = [(r"(^|[^a-z0-9])v\.[ \t\r\n]+", r"\1v "), (r"([.!?;:])[ \t\r\n]+", "\\1\n\n"), (r"[^a-z0-9\n]+", " "), (r" ?\n ?", "\n")]
+
+
 def normal_lines(text: Column) -> Column:
     """The words of a text in lower case: an empty line where a sentence or paragraph ends, a new line where the text has one.
 
-    Lines are joined where the next goes on in lower case. Comment marks are no
-    words; a line of nothing else is empty.
+    Lines are joined where the next goes on in lower case; "v." before a number
+    ends no sentence. Comment marks are no words; a line of nothing else is empty.
     """
-    text = F.regexp_replace(text, r"(?m)^[ \t]*(?:@?REM|dnl)(?=[ \t\r\n])", " ")
-    text = F.translate(F.regexp_replace(text, r"\r?\n[ \t]*([a-z(])", " $1"), UPPER, LOWER)
-    text = F.regexp_replace(text, r"([.!?;:])[ \t\r\n]+", "$1\n\n")
-    return F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9\n]+", " "), " ?\n ?", "\n")
+    for pattern, by in _BEFORE:
+        text = F.regexp_replace(text, pattern.replace("(?m)", "(?dm)"), by.replace("\\", "$"))
+    text = F.translate(text, UPPER, LOWER)
+    for pattern, by in _AFTER:
+        text = F.regexp_replace(text, pattern, by.replace("\\", "$"))
+    return text
 
 
 def known_pattern() -> str:
-    """Any known piece that begins and ends with a line, whatever lines it is wrapped into; of several the longest."""
+    """Any known piece, whatever lines it is wrapped into; of several the longest. Short ones begin and end with a line."""
     pieces = sorted(known_pieces(), key=lambda x: (-len(x), x))
-    return "(?m)^ ?(?:" + "|".join(x.replace(" ", "[ \\n]") for x in pieces) + ") ?$"
+    long, short = ("|".join(x.replace(" ", "[ \\n]") for x in pieces if (x.count(" ") + 1 >= LONG_PIECE) == k) for k in (True, False))
+    return rf"(?m)\b(?:{long})\b|^ ?(?:{short}) ?$"
 
 
 def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licences of every document that holds a known sentence.
 
     Known sentences become identifiers, in order, other sentences being passed
-    over; a sentence may be wrapped into lines, with comment marks before them; a rule matches where its identifiers follow each other. Returns
+    over; a sentence may be wrapped into lines, with comment marks before them, and
+    one of ``LONG_PIECE`` words or more may stand behind others on its line. A rule
+    matches where its identifiers follow each other. Returns
     ``id_col``, ``sentence_ids`` (joined by ``|``) and ``licences`` (distinct,
     in the order of the rules, joined by a comma; empty if no rule matches).
     Null, empty and other texts give no row, repeated rows a row each; other
@@ -139,18 +195,21 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def licence_sql(table: str = "documents") -> str:
-    """The same scan in DuckDB SQL, but for sentences that wrap before a capital or a comment mark."""
+    """The same scan in DuckDB SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     low = f"translate(text, '{UPPER}', '{LOWER}')"
+    lines = "text"
+    for k, (pattern, by) in enumerate([*_BEFORE, *_AFTER]):
+        lines = f"translate({lines}, '{UPPER}', '{LOWER}')" if k == len(_BEFORE) else lines
+        lines = f"regexp_replace({lines}, {quote(pattern)}, {quote(by)}, 'g')"
     known = "MAP {" + ", ".join(f"{quote(p)}: {quote(i)}" for p, i in known_pieces().items()) + "}"
     tests = ", ".join(f"CASE WHEN contains(path, {quote(p)}) THEN {quote(n)} END" for n, p in rule_paths())
     order = list(dict.fromkeys(n for n, _ in rule_paths()))
     ranked = "[" + ", ".join(quote(n) for n in order) + "]"
     return f"""
 WITH likely AS (SELECT doc_id, text FROM {table} WHERE {' OR '.join(f"contains({low}, {quote(s)})" for s in STEMS)}),
-cut AS (SELECT doc_id, string_split(regexp_replace(translate(regexp_replace(text, '\\r?\\n[ \\t]*([a-z(])', ' \\1', 'g'), '{UPPER}', '{LOWER}'),
-  '([.!?;:])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM likely),
-named AS (SELECT doc_id, list_filter(list_transform(parts, lambda s: {known}[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL) AS ids FROM cut),
+cut AS (SELECT doc_id, regexp_extract_all({lines}, {quote(known_pattern())}, 0) AS parts FROM likely),
+named AS (SELECT doc_id, list_transform(parts, lambda s: {known}[trim(replace(s, chr(10), ' '))]) AS ids FROM cut),
 paths AS (SELECT doc_id, '|' || array_to_string(ids, '|') || '|' AS path FROM named WHERE len(ids) > 0),
 hits AS (SELECT doc_id, path, list_filter([{tests}], lambda x: x IS NOT NULL) AS found FROM paths)
 SELECT doc_id, substring(path, 2, length(path) - 2) AS sentence_ids,

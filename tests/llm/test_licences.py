@@ -25,6 +25,7 @@ def test_tables():
     assert {n for _, names in RULES for n in names} <= set(SENTENCES)
     assert all(any(s in normalise(t) for s in STEMS) for t in SENTENCES.values())
     assert len(set(known_pieces().values())) == len(known_pieces())
+    assert len(SENTENCES) >= 50 and all(any(s in p for s in STEMS) for p in known_pieces()) and min(p.count(" ") for p in known_pieces()) >= 2
 
 
 def test_scan_and_sql(spark, tmp_path):
@@ -58,7 +59,48 @@ copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
 IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
 FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
-AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.""",
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
+    "GPL-2.0-only": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.""",
+    "AGPL-3.0": """                    GNU AFFERO GENERAL PUBLIC LICENSE
+                       Version 3, 19 November 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.""",
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
 You may obtain a copy of the License at
@@ -104,3 +146,16 @@ def test_paragraphs_and_stops_end_sentences(spark):
     rows = [(0, "Released under the\n\nMIT License."), (1, "Released under. The MIT License."), (2, "All rights reserved\nby nobody"), (3, "A title\nReleased under the\nMIT\nLicense\nMore")]
     got = licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [(r.doc_id, r.licences) for r in got] == [(3, "MIT")]
+
+
+def test_one_line_copies_version_numbers_and_sql(spark, tmp_path):
+    one_line = " ".join(("Copyright (c) 2020 A. Person " + WRAPPED["MIT"]).split())
+    rows = [(0, one_line, "MIT"), (1, "See the licence. 2.0 is out.\n2.0.", None), (2, "x " + WRAPPED["MPL-2.0"], "MPL-2.0"), (3, "REM\nREM Released under\nREM the MIT License.", "MIT")]
+    rows += [(10 + i, mark.join(["", *x.splitlines(True)]), name) for i, (name, x) in enumerate(WRAPPED.items()) for mark in ("# ",)]
+    rows += [(40 + i, x.replace("\n", "\r\n"), name) for i, (name, x) in enumerate(WRAPPED.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    got = licence_scan(docs).collect()
+    assert {r.doc_id: r.licences for r in got} == {i: w for i, _, w in rows if w}
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "d"))
+    want = duckdb.sql(licence_sql(f"read_parquet('{tmp_path}/d/*.parquet')")).fetchall()
+    assert sorted(want) == sorted((r.doc_id, r.sentence_ids, r.licences) for r in got)
