@@ -53,14 +53,35 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Cells:
-    """Pivots by length, and each cell's count and radius."""
+    """Pivots by length, the summary of each data cell (count, radius) and of each query group (radius), and which meet.
 
-    def __init__(self, pivots: list, summary: list = ()):
+    Both sides are grouped by their nearest pivot. With ``q`` in the group of ``p``
+    within ``U``, and ``s`` in the cell of ``c`` within ``r``, the product ``q.s``
+    lies within ``U * abs(c) + (abs(p) + U) * r`` of ``p.c``. The lower ends and the
+    counts of the cells give each group a floor that ``want`` rows reach for any of
+    its queries; a cell whose upper end stays below the floor never meets the group.
+    """
+
+    def __init__(self, pivots: list, summary: list = (), groups: list = (), want: int = 0):
         self.pivots: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for dim in {len(p) for p in pivots}:
             own = [(i, p) for i, p in enumerate(pivots) if len(p) == dim]
             self.pivots[dim] = np.array([i for i, _ in own]), np.array([p for _, p in own], np.float64).reshape(len(own), dim)
         self.stats = {int(c): (int(n), float(r)) for c, n, r in summary}
+        self.groups: dict[int, tuple[float, np.ndarray]] = {}
+        reach = {int(c): float(r) for c, r in groups}
+        for dim in {*self.pivots, *(-1 - c for c in reach if c < 0)}:
+            _, to, n, radius = self.held(dim)
+            for group, pivot in zip(*self.of(dim)):
+                if (own := reach.get(int(group))) is not None:
+                    middle = to @ pivot
+                    size = np.sqrt((pivot**2).sum())
+                    off = own * np.sqrt((to**2).sum(1)) + (size + own) * radius
+                    off += 1 + 1e-9 * (np.abs(middle) + off)
+                    order = np.argsort(off - middle, kind="stable")
+                    enough = np.flatnonzero(np.cumsum(n[order]) >= want)
+                    floor = float((middle - off)[order[enough[0]]]) if len(enough) else -np.inf
+                    self.groups[int(group)] = floor, middle + off >= floor
 
     def of(self, dim: int) -> tuple[np.ndarray, np.ndarray]:
         """Cell ids and pivots; a length without a sampled pivot has one cell around the origin."""
@@ -90,61 +111,82 @@ def _assign(cells: _Cells):
 
 
 def _visits(cells: _Cells, want: int, first: bool):
-    """Cells that each query must see: at first the few most promising, then all whose bound reaches ``floor``."""
+    """Cells that each query must see, of those that its group meets: at first the few most promising, then all whose bound reaches ``floor``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, at in _by_length(batch):
                 part = batch.take(pa.array(at))
                 ids, pivots, n, radius = cells.held(dim)
+                if not len(ids):
+                    continue
                 for begin in range(0, len(at), 512):
                     some = part.slice(begin, 512)
                     q = _matrix(some["v"]).astype(np.float64)
                     toward = q @ pivots.T
+                    floors, meets = zip(*(cells.groups[c] for c in some["cell"].to_pylist()))
+                    meets, floor = np.array(meets), np.array(floors)
                     if first:
-                        order = np.argsort(-toward, axis=1, kind="stable")
-                        seen = np.cumsum(n[order], axis=1) - n[order]
-                        take = (seen < want) | (np.arange(len(ids)) < FIRST_CELLS)
+                        order = np.argsort(np.where(meets, -toward, np.inf), axis=1, kind="stable")
+                        count = np.take_along_axis(np.where(meets, n, 0), order, 1)
+                        take = ((np.cumsum(count, axis=1) - count < want) | (np.arange(len(ids)) < FIRST_CELLS)) & (count > 0)
                         row, col = np.nonzero(take)
                         col = order[row, col]
                     else:
+                        floor = np.maximum(floor, some["floor"].to_numpy(zero_copy_only=False))
                         norm = np.sqrt((q**2).sum(1))
                         reach = toward + norm[:, None] * radius
                         reach += 1 + 1e-9 * (np.abs(toward) + norm[:, None] * radius)
-                        floor = some["floor"].to_numpy(zero_copy_only=False)
-                        row, col = np.nonzero(reach >= floor[:, None])
+                        row, col = np.nonzero(meets & (reach >= floor[:, None]))
                     for k in range(0, len(row), 4096):
-                        r = pa.array(row[k : k + 4096])
+                        r = row[k : k + 4096]
                         yield pa.RecordBatch.from_arrays(
-                            [some["id"].take(r), some["v"].take(r), some["floor"].take(r), pa.array(ids[col[k : k + 4096]].astype(np.int32))],
-                            names=["query", "v", "floor", "cell"],
+                            [some["id"].take(pa.array(r)), some["v"].take(pa.array(r)), pa.array(floor[r]), pa.array(ids[col[k : k + 4096]].astype(np.int32))],
+                            names=["id", "v", "floor", "cell"],
                         )
 
     return run
 
 
-def _solve(want: int, schema: pa.Schema):
-    def run(data: pa.Table, queries: pa.Table) -> pa.Table:
-        if not data.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        ids, x = data["id"].to_numpy(), _matrix(data["v"])
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
-        out = []
-        for begin in range(0, queries.num_rows, 256):
-            some = queries.slice(begin, 256)
-            scores = _products(_matrix(some["v"]), x)
-            floor, names = some["floor"].to_numpy(), some["query"].to_numpy()
-            for k in range(len(names)):
-                s = scores[k]
-                at = np.flatnonzero(s >= floor[k]) if floor[k] > -np.inf else np.arange(len(s))
-                if len(at) > want:
-                    cut = np.partition(s[at], len(at) - want)[len(at) - want]
-                    at = at[s[at] >= cut]
-                at = at[np.argsort(-s[at], kind="stable")][:want]  # ids ascend, so ties keep the smaller
-                out.append((np.full(len(at), names[k]), ids[at], s[at]))
-        cols = [np.concatenate(c) for c in zip(*out)]
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
+def _best(query: pa.RecordBatch, ids: np.ndarray, none: np.ndarray, x: np.ndarray, want: int) -> pa.RecordBatch:
+    """The ``want`` best of one block's rows for each of some queries."""
+    floor, names = query["floor"].to_numpy(), query["id"].to_numpy()
+    scores = _products(_matrix(query["v"]), x)
+    out = []
+    for k in range(len(names)):
+        s = scores[k]
+        at = np.flatnonzero(s >= floor[k]) if floor[k] > -np.inf else np.arange(len(s))
+        if len(at) > want:
+            cut = np.partition(s[at], len(at) - want)[len(at) - want]
+            at = at[s[at] >= cut]
+        at = at[np.argsort(-s[at], kind="stable")][:want]  # ids ascend, so ties keep the smaller
+        out.append((np.full(len(at), names[k]), at, s[at]))
+    name, at, score = (np.concatenate(c) for c in zip(*out))
+    return pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(ids[at], pa.int64(), mask=none[at]), pa.array(score, pa.int64())], names=["query", "id", "score"])
+
+
+def _solve(want: int):
+    """A partition holds each block's data rows, then its queries, which stream past: a block and a batch of queries are held at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, block = None, [], None
+        for batch in batches:
+            cell, number, asks = (batch[c].to_numpy(zero_copy_only=False) for c in ("cell", "block", "asks"))
+            edges = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (number[1:] != number[:-1]) | (asks[1:] != asks[:-1])]) if len(cell) else []
+            for a, b in zip(edges, np.r_[edges[1:], len(cell)].astype(int)):
+                some = batch.slice(int(a), int(b - a))
+                if (cell[a], number[a]) != now:
+                    now, parts, block = (cell[a], number[a]), [], None
+                if not asks[a]:
+                    parts.append((some["id"].fill_null(0).to_numpy(), some["id"].is_null().to_numpy(zero_copy_only=False), _matrix(some["v"])))
+                    continue
+                if parts and block is None:
+                    ids, none, x = (np.concatenate(c) for c in zip(*parts))
+                    order = np.lexsort((ids, none))
+                    block = ids[order], none[order], x[order]
+                if block is not None:
+                    for begin in range(0, some.num_rows, 256):
+                        yield _best(some.slice(begin, 256), *block, want)
 
     return run
 
@@ -155,48 +197,56 @@ def top_k(
 ) -> DataFrame:
     """The k data rows with the highest integer inner product for every query row, its own id excluded.
 
-    Sampled pivots (at most ``max_pivots``) split the data into cells, each
-    summarised by its count and radius. A query is solved in its most promising
-    cells first; its k-th score there is a floor, and it is sent on only to
-    cells whose bound ``q.p + |q| * radius`` reaches the floor: the queries are
-    the small side, so they are what is replicated, grouped by cell. Cells over
-    ``block_rows`` are dealt into blocks. Of equal vectors the k + 1 smallest
-    ids can be in an answer, so only those are searched; equal queries are
-    solved once. Vectors that are null or hold null or non-finite components
-    take no part; only vectors of one length meet. Ties go to the smaller id.
+    Sampled pivots (at most ``max_pivots``) split queries and data into groups,
+    each summarised by its count and radius. From the summaries follow a floor
+    for each group of queries and the cells that can reach it; only these meet.
+    Within them a query is solved in its most promising cells first; its k-th
+    score there raises its floor, and it is sent on only to cells whose bound
+    ``q.p + |q| * radius`` reaches it: the queries are the small side, so they
+    are what is replicated. Cells over ``block_rows`` are dealt into blocks, past
+    which the queries stream. Of equal vectors the k + 1 smallest ids can be in
+    an answer, so only those are searched; equal queries are solved once. Vectors
+    that are null or hold null or non-finite components take no part; only
+    vectors of one length meet. Ties go to the smaller id. A data row without an
+    id can be in an answer, behind others of its score; a query without one has no
+    answer. Repeated queries are answered once, repeated data rows are candidates each.
 
     Returns ``query_id, rank, id, score``. Empty tables give an empty result.
     """
     want = k + 1
     data = quantised(data, id_col, vec_col, scale)
-    same = Window.partitionBy("v").orderBy("id")
+    same = Window.partitionBy("v").orderBy(F.asc_nulls_last("id"))
     data = stage(data.withColumn("n", F.row_number().over(same)).where(F.col("n") <= want).drop("n"), "knn-data")
-    asked = stage(quantised(queries, id_col, vec_col, scale), "knn-queries")
-    distinct = stage(asked.groupBy("v").agg(F.min("id").alias("id")), "knn-distinct")
+    asked = stage(quantised(queries, id_col, vec_col, scale).where("id IS NOT NULL").distinct(), "knn-queries")
+    distinct = asked.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
     count = data.count()
     pivots = min(max_pivots, max(1, int(count**0.5)))
-    sample = [r.v for r in data.select("v", F.xxhash64("v").alias("h")).where("id IS NOT NULL").orderBy("h", "v").limit(pivots).collect()]
+    sample = [r.v for r in data.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(pivots).collect()]
     id_type = T.LongType()
     held = T.StructType([T.StructField("id", id_type), data.schema["v"], T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])
     placed = stage(data.mapInArrow(_assign(_Cells(sample)), held), "knn-cells")
+    grouped = stage(distinct.mapInArrow(_assign(_Cells(sample)), held), "knn-groups")
     summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect()
-    cells = _Cells(sample, [(r.cell, r.n, r.r) for r in summary])
+    groups = grouped.groupBy("cell").agg(F.max("far").alias("r")).collect()
+    cells = _Cells(sample, [(r.cell, r.n, r.r) for r in summary], [(r.cell, r.r) for r in groups], want)
     blocks = placed.sparkSession.createDataFrame([(r.cell, -(-r.n // block_rows)) for r in summary], "cell int, blocks int")
-    sent = T.StructType([T.StructField("query", id_type), data.schema["v"], T.StructField("floor", T.DoubleType()), T.StructField("cell", T.IntegerType())])
-    found = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
+    sent = T.StructType([T.StructField("id", id_type), data.schema["v"], T.StructField("floor", T.DoubleType()), T.StructField("cell", T.IntegerType())])
+    there = placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("v", "id"), F.col("blocks")).cast("int"))
+    there = there.select("id", "v", F.lit(None).cast("double").alias("floor"), "cell", "block", F.lit(False).alias("asks"))
 
     def solve(askers: DataFrame, first: bool) -> DataFrame:
         sends = askers.mapInArrow(_visits(cells, want, first), sent).join(F.broadcast(blocks), "cell")
-        sends = sends.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        there = placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
-        return there.groupBy("cell", "block").cogroup(sends.groupBy("cell", "block")).applyInArrow(_solve(want, found), "query long, id long, score long")
+        sends = sends.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").withColumn("asks", F.lit(True))
+        both = there.unionByName(sends).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
+        return both.mapInArrow(_solve(want), "query long, id long, score long")
 
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    first = solve(distinct.withColumn("floor", F.lit(float("-inf"))), True)
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id"))
+    askers = grouped.select("id", "v", "cell", F.lit(float("-inf")).alias("floor"))
+    first = solve(askers, True)
     floors = first.withColumn("n", F.row_number().over(best)).where(F.col("n") == want).select(F.col("query").alias("id"), F.col("score").cast("double").alias("floor"))
-    askers = distinct.join(floors, "id", "left").fillna(float("-inf"), ["floor"]).select("id", "v", "floor")
+    askers = askers.drop("floor").join(floors, "id", "left").fillna(float("-inf"), ["floor"]).select("id", "v", "cell", "floor")
     top = solve(stage(askers, "knn-floors"), False).withColumn("n", F.row_number().over(best)).where(F.col("n") <= want).drop("n")
     named = asked.select(F.col("id").alias("query_id"), "v").join(distinct.withColumnRenamed("id", "query"), "v").select("query_id", "query")
-    pairs = named.join(top, "query").where(F.col("id") != F.col("query_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    pairs = named.join(top, "query").where(~F.col("id").eqNullSafe(F.col("query_id")))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), F.asc_nulls_last("id")))
     return pairs.select("query_id", rank.alias("rank"), F.col("id"), "score").where(F.col("rank") <= k)
