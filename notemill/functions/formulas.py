@@ -109,6 +109,26 @@ def odd(x: Column) -> Column:
     return F.when(x == 0, F.lit(1.0)).otherwise(F.signum(x) * (2 * F.ceil((F.abs(x) - 1) / 2) + 1))
 
 
+def multiple_above(x: Column, step: Cols = 1) -> Column:
+    """The least multiple of ``step`` that is not below ``x``."""
+    return F.ceil(x) if step == 1 else F.ceil(F.try_divide(x, _lit(step))) * _lit(step)
+
+
+def multiple_below(x: Column, step: Cols = 1) -> Column:
+    """The largest multiple of ``step`` that is not above ``x``."""
+    return F.floor(x) if step == 1 else F.floor(F.try_divide(x, _lit(step))) * _lit(step)
+
+
+def largest(*values: Cols, kind: str = "number") -> Column:
+    """The largest of numbers, or of dates (``kind="date"``)."""
+    return F.greatest(*map(_lit, values)) if kind == "date" else list_max(items(*values))
+
+
+def smallest(*values: Cols, kind: str = "number") -> Column:
+    """The smallest of numbers, or of dates (``kind="date"``)."""
+    return F.least(*map(_lit, values)) if kind == "date" else list_min(items(*values))
+
+
 # --- text ----------------------------------------------------------------------
 
 
@@ -189,6 +209,49 @@ def date_format(date: Column, pattern: str = "YYYY-MM-DD") -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+def date_parse(text: Column, pattern: str | None = None) -> Column:
+    """A text as a time, by a pattern of the source product's tokens or by ISO 8601; null if it does not fit."""
+    if pattern is None:
+        return F.try_to_timestamp(text)
+    made, at = [], 0
+    quoted = lambda s: re.sub(r"[A-Za-z]+", lambda m: f"'{m[0]}'", s)
+    for m in _TOKEN.finditer(pattern):
+        made += [quoted(pattern[at : m.start()]), quoted(m[1]) if m[1] is not None else TOKENS[m[0]]]
+        at = m.end()
+    return F.try_to_timestamp(text, F.lit("".join(made) + quoted(pattern[at:])))
+
+
+def week_number(date: Column, first_day: str | None = None) -> Column:
+    """ISO week; with ``first_day`` (``Sunday`` or ``Monday``) the week of the year whose first week holds January 1."""
+    if first_day is None:
+        return F.weekofyear(date)
+    jan1 = F.trunc(date, "year")
+    offset = F.weekday(jan1) if first_day == "Monday" else F.dayofweek(jan1) - 1
+    return F.floor((F.dayofyear(date) - 1 + offset) / 7).cast("int") + 1
+
+
+def workday(start: Column, days: Cols) -> Column:
+    """The date so many Mondays to Fridays after ``start``, before it if negative."""
+    n = _lit(days)
+    day = F.weekday(start)
+    # From the Friday on or before a weekend forward, from the Monday after it backward.
+    base = F.when(n >= 0, F.date_sub(start, F.greatest(day - 4, F.lit(0)))).otherwise(F.date_add(start, F.when(day > 4, 7 - day).otherwise(0)))
+    place = F.when(n >= 0, F.least(day, F.lit(4))).otherwise(F.when(day > 4, 0).otherwise(day)) + n
+    moved = F.date_add(base, (F.floor(place / 5) * 7 + F.pmod(place, F.lit(5)) - (place - n)).cast("int"))
+    return F.when(n == 0, start.cast("date")).otherwise(moved)
+
+
+def from_now(date: Column, now: Column | None = None) -> Column:
+    """How far a date is from now, in its largest unit: ``3 days``."""
+    seconds = F.abs(F.timestamp_diff("SECOND", now if now is not None else F.current_timestamp(), date))
+    out = None
+    for size, unit in ((31_536_000, "year"), (2_592_000, "month"), (86_400, "day"), (3600, "hour"), (60, "minute")):
+        n = F.floor(seconds / size)
+        said = F.concat(n.cast("string"), F.when(n == 1, f" {unit}").otherwise(f" {unit}s"))
+        out = F.when(seconds >= size, said) if out is None else out.when(seconds >= size, said)
+    return out.otherwise(F.concat(seconds.cast("string"), F.when(seconds == 1, " second").otherwise(" seconds")))
+
+
 def same(a: Column, b: Column, unit: str | None = None) -> Column:
     """Equal, or equal down to a unit."""
     return a == b if unit is None else F.date_trunc(unit.rstrip("s"), a) == F.date_trunc(unit.rstrip("s"), b)
@@ -248,11 +311,13 @@ def switch(value: Column, *cases: Cols) -> Column:
 
 Function = Callable[..., Column]
 
+# The names of both tables are those of the source products.
+
 TABLE: dict[str, Function] = {
     "IF": if_, "NOW": F.current_timestamp, "TODAY": F.current_date, "SWITCH": switch,
-    "MAX": lambda *v: list_max(items(*v)), "MIN": lambda *v: list_min(items(*v)),
+    "MAX": largest, "MIN": smallest,
     "AND": and_, "OR": or_, "NOT": lambda x, kind="checkbox": ~truthy(x, kind), "XOR": xor, "TRUE": lambda: F.lit(True), "FALSE": lambda: F.lit(False),
-    "ABS": F.abs, "CEILING": F.ceil, "FLOOR": F.floor, "ROUND": lambda x, p=0: F.round(x, p), "ROUNDUP": round_up, "ROUNDDOWN": round_down,
+    "ABS": F.abs, "CEILING": multiple_above, "FLOOR": multiple_below, "ROUND": lambda x, p=0: F.round(x, p), "ROUNDUP": round_up, "ROUNDDOWN": round_down,
     "INT": F.floor, "EVEN": even, "ODD": odd, "SQRT": F.sqrt, "EXP": F.exp, "LOG": lambda x, base=10.0: F.try_divide(F.log(x), F.log(F.lit(float(base)))),
     "POWER": F.pow, "MOD": F.try_mod, "VALUE": number,
     "SUM": lambda *v: list_sum(items(*v)), "AVERAGE": lambda *v: list_mean(items(*v)), "COUNT": lambda *v: list_count(items(*v)),
@@ -263,7 +328,7 @@ TABLE: dict[str, Function] = {
     "SUBSTITUTE": lambda s, old, new: F.replace(s, _lit(old), _lit(new)), "REPLACE": overlay, "REPT": F.repeat, "ENCODE_URL_COMPONENT": url_component,
     "T": lambda s: s.cast("string"), "BLANK": lambda: F.lit(""), "ERROR": lambda: F.lit("!ERROR"), "ISERROR": lambda x: F.coalesce(x == "!ERROR", F.lit(False)),
     "YEAR": F.year, "MONTH": F.month, "DAY": F.dayofmonth, "HOUR": F.hour, "MINUTE": F.minute, "SECOND": F.second,
-    "WEEKDAY": lambda d: F.dayofweek(d) - 1, "WEEKNUM": F.weekofyear, "DATETIME_FORMAT": date_format, "DATETIME_PARSE": lambda s: F.try_to_timestamp(s),
+    "WEEKDAY": lambda d: F.dayofweek(d) - 1, "WEEKNUM": week_number, "DATETIME_FORMAT": date_format, "DATETIME_PARSE": date_parse, "WORKDAY": workday, "FROMNOW": from_now, "TONOW": from_now,
     "DATEADD": date_add, "DATETIME_DIFF": date_diff, "DATESTR": lambda d: F.date_format(d, "yyyy-MM-dd"), "TIMESTR": lambda d: F.date_format(d, "HH:mm:ss"),
     "IS_BEFORE": lambda a, b: a < b, "IS_AFTER": lambda a, b: a > b, "IS_SAME": same, "SET_TIMEZONE": F.from_utc_timestamp, "WORKDAY_DIFF": workdays_between,
     "ARRAYJOIN": lambda v, sep=", ": F.array_join(v, sep), "ARRAYFLATTEN": F.flatten, "ARRAYUNIQUE": F.array_distinct, "ARRAYCOMPACT": list_compact,
@@ -287,8 +352,11 @@ PAGE: dict[str, Function] = {
     "add": lambda a, b: a + b, "subtract": lambda a, b: a - b, "multiply": lambda a, b: a * b, "divide": F.try_divide, "mod": F.try_mod,
     "equal": lambda a, b: a == b, "unequal": lambda a, b: a != b, "sum": list_sum, "mean": list_mean, "median": list_median, "max": list_max, "min": list_min,
     "test": lambda s, p: F.rlike(s, F.lit(p)), "repeat": F.repeat, "split": lambda s, sep: F.split(s, re.escape(sep)), "trim": F.trim, "empty": is_empty,
+    "match": lambda s, p: F.regexp_extract_all(s, F.lit(p), F.lit(0)), "findIndex": lambda v, f: F.array_position(F.transform(v, f), True) - 1,
+    "dateRange": lambda a, b: F.struct(a.alias("start"), b.alias("end")), "dateStart": lambda r: r["start"], "dateEnd": lambda r: r["end"],
+    "let": lambda value, f: f(_lit(value)), "lets": lambda *v: v[-1](*map(_lit, v[:-1])),
     "prop": F.col,
 }
 
 #: Need the product's own state, locale or rendering.
-NOT_COMPUTED = ("TONOW", "FROMNOW", "SET_LOCALE", "WORKDAY", "style", "unstyle", "link", "id", "name", "email", "let", "lets", "dateRange", "dateStart", "dateEnd", "match", "findIndex")
+NOT_COMPUTED = ("SET_LOCALE", "style", "unstyle", "link", "id", "name", "email")

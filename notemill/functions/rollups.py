@@ -16,6 +16,10 @@ def _in_order(v: Column, pos: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(pos.alias("p"), v.cast("string").alias("v")))), lambda x: x["v"])
 
 
+def joined_by(v: Column, pos: Column, separator: str = ", ") -> Column:
+    return F.array_join(F.array_compact(_in_order(v, pos)), separator)
+
+
 def _share(count: Column, all_: Column) -> Column:
     return F.coalesce(F.try_divide(count * 100.0, all_), F.lit(0.0))
 
@@ -43,7 +47,7 @@ ROLLUPS = {
     "COUNT": lambda v, pos, link: F.count(number(v)),
     "COUNTA": lambda v, pos, link: F.count_if(_filled(v)),
     "COUNTALL": lambda v, pos, link: F.count(link),
-    "ARRAYJOIN": lambda v, pos, link: F.array_join(F.array_compact(_in_order(v, pos)), ", "),
+    "ARRAYJOIN": lambda v, pos, link: joined_by(v, pos),
     "ARRAYUNIQUE": lambda v, pos, link: F.array_distinct(F.array_compact(_in_order(v, pos))),
     "ARRAYCOMPACT": lambda v, pos, link: F.filter(F.array_compact(_in_order(v, pos)), lambda x: x != ""),
     "ARRAYFLATTEN": lambda v, pos, link: F.flatten(F.array_agg(v)),
@@ -56,15 +60,17 @@ class UnsupportedRollup(ValueError):
     """A rollup that has no name here."""
 
 
-def rollup(links: DataFrame, targets: DataFrame, record: str, target: str, value: str, **wanted: str) -> DataFrame:
+def rollup(links: DataFrame, targets: DataFrame, record: str, target: str, value: str, **wanted: str | tuple[str, str]) -> DataFrame:
     """Aggregates over links, in one shuffle on the record.
 
     ``links`` has ``record``, ``pos`` and ``target``; ``targets`` has ``target``
-    and ``value``. ``wanted`` names each result's rollup. A record whose
+    and ``value``. ``wanted`` names each result's rollup, ``("ARRAYJOIN", separator)`` with a separator. A record whose
     ``target`` is null has no links and keeps its row: counts are 0.
     """
-    if unknown := set(wanted.values()) - set(ROLLUPS):
+    split = {name: how for name, how in wanted.items() if not isinstance(how, str)}
+    if unknown := {how if isinstance(how, str) else how[0] for how in wanted.values()} - set(ROLLUPS) | {how[0] for how in split.values() if how[0] != "ARRAYJOIN"}:
         raise UnsupportedRollup(", ".join(sorted(unknown)))
     joined = links.join(targets.select(target, F.col(value).alias("_v")), target, "left")
-    made = [ROLLUPS[how](F.col("_v"), F.col("pos"), F.col(target)).alias(name) for name, how in wanted.items()]
+    own = lambda how: (F.col("_v"), F.col("pos")) if how in split.values() else (F.col("_v"), F.col("pos"), F.col(target))
+    made = [(joined_by(*own(how), how[1]) if how in split.values() else ROLLUPS[how](*own(how))).alias(name) for name, how in wanted.items()]
     return joined.groupBy(record).agg(*made)

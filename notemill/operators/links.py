@@ -110,12 +110,14 @@ def resolve_paths(links: DataFrame, files: DataFrame, link: str = "href", source
     clean = F.regexp_replace(F.try_url_decode(F.col(link)), r"[?#].*$", "")
     bases = F.array(F.concat_ws("/", F.nullif(F.col(source_folder), F.lit("")), clean), F.regexp_replace(clean, "^/+", ""))
     options = F.flatten(F.transform(bases, lambda b: F.array(b, F.concat(b, F.lit(".md")), F.concat(b, F.lit(".html")))))
-    keyed = links.withColumn("_link", F.monotonically_increasing_id())
-    tried = keyed.select("_link", F.posexplode(options).alias("_try", "_at")).withColumn("_at", normal_path(F.col("_at")))
+    key = [source_folder, link]
+    tried = links.select(*key).distinct().select(*key, F.posexplode(options).alias("_try", "_at")).withColumn("_at", normal_path(F.col("_at")))
     own = files.select("path", F.lower("path").alias("_key"), F.count("*").over(Window.partitionBy(F.lower("path"))).alias("_n"))
     hits = tried.withColumn("_key", F.lower("_at")).join(own, "_key").where((F.col("_at") == F.col("path")) | (F.col("_n") == 1))
-    best = hits.groupBy("_link").agg(F.min_by("path", F.struct("_try", (F.col("_at") != F.col("path")).alias("inexact"))).alias("path"))
-    return keyed.join(best, "_link", "left").select(*links.columns, "path")
+    order = F.struct("_try", (F.col("_at") != F.col("path")).alias("inexact"), "path")
+    best = hits.groupBy(F.col(source_folder).alias("_folder"), F.col(link).alias("_href")).agg(F.min_by("path", order).alias("path"))
+    found = links.join(best, F.col(source_folder).eqNullSafe(F.col("_folder")) & F.col(link).eqNullSafe(F.col("_href")), "left")
+    return found.select(*links.columns, "path")
 
 
 def attachment_paths(attachments: DataFrame, placed: DataFrame, name: str = "name") -> DataFrame:

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def unique_names(rows: DataFrame, folder: str, name: str, ordinal: str, taken: DataFrame | None = None, out: str = "unique_name", extension: str = "", max_rounds: int = 20) -> DataFrame:
+def unique_names(rows: DataFrame, folder: str, name: str, ordinal: str, taken: DataFrame | None = None, out: str = "unique_name", extension: str = "") -> DataFrame:
     """Give every row a name of its own in its folder: ``name``, ``name 1``, ``name 2`` ..., whatever the case.
 
     ``taken`` holds ``folder, name`` that exist already. Rows with one name are
     numbered in the order of ``ordinal``. A numbered name may be another row's
-    own name; natural names win, and the numbered row moves on to the next
-    number, round by round. Each round is two shuffles of the rows that collide.
+    own name; natural names win: the n-th row of a name takes the n-th number
+    that no natural or existing name spells.
     """
     with_ext = lambda n: F.concat(n, F.lit(extension)) if extension else n
     base = rows.withColumn("_key", F.lower(with_ext(F.col(name))))
@@ -70,16 +70,20 @@ def number_list(rows: DataFrame, group: str, ordinal: str, level: str, is_item:
     """
     by = Window.partitionBy(group).orderBy(ordinal)
     upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # A break at level b ends the lists of all levels >= b, so for an item the last break at its level or above counts.
-    breaks = F.collect_list(F.when(~F.col(is_item), F.struct(F.col(level).alias("l"), F.col(ordinal).alias("o")))).over(upto)
-    shallower = F.collect_list(F.when(F.col(is_item), F.struct(F.col(level).alias("l"), F.col(ordinal).alias("o")))).over(upto)
-    own = F.array_max(F.transform(F.filter(breaks, lambda b: b["l"] <= F.col(level)), lambda b: b["o"]))
-    above = F.array_max(F.transform(F.filter(shallower, lambda b: b["l"] < F.col(level)), lambda b: b["o"]))
-    marked = rows.withColumn("_list", F.greatest(F.coalesce(own, F.lit(-1)), F.coalesce(above, F.lit(-1))))
+    # A break at level b ends the lists of all levels >= b, an item those of all deeper ones:
+    # for each level one running maximum, over as many levels as there are.
+    ends = F.when(F.col(is_item), F.col(level) + 1).otherwise(F.col(level))
+    last = F.array(*[F.max(F.when(ends <= k, F.col(ordinal))).over(upto) for k in range(_deepest(rows, level) + 1)])
+    marked = rows.withColumn("_list", F.coalesce(F.get(last, F.col(level).cast("int")), F.lit(-1)))
     per = Window.partitionBy(group, level, "_list", is_item).orderBy(ordinal)
     return marked.withColumn(out, F.when(F.col(is_item), F.row_number().over(per))).drop("_list")
 
 
+def _deepest(rows: DataFrame, level: str) -> int:
+    """The deepest level in use; levels begin at 0."""
+    return max(0, rows.agg(F.max(level).alias("m")).first().m or 0)
+
+
 def block_spacing(rows: DataFrame, group: str, ordinal: str, type_: str, out: str = "after") -> DataFrame:
     """What follows each block: a line break between items of one kind of list, else an empty line; nothing after the last."""
     nxt = F.lead(type_).over(Window.partitionBy(group).orderBy(ordinal))
@@ -87,12 +91,12 @@ def block_spacing(rows: DataFrame, group: str, ordinal: str, type_: str, out: st
     return rows.withColumn(out, F.when(nxt.isNull(), "").when(tight, "\n").otherwise("\n\n"))
 
 
-def page_paths(rows: DataFrame, group: str, ordinal: str, level: str, title: str, levels: int = 3, out: str = "path") -> DataFrame:
-    """Paths of pages from their indent levels: the nearest earlier page of each lower level, unless a shallower one came between."""
+def page_paths(rows: DataFrame, group: str, ordinal: str, level: str, title: str, out: str = "path") -> DataFrame:
+    """Paths of pages from their indent levels, however deep: the nearest earlier page of each lower level, unless a shallower one came between."""
     by = Window.partitionBy(group).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)
     upto = lambda k: F.last(F.when(F.col(level) <= k, F.struct(F.col(level).alias("l"), F.col(title).alias("t"))), ignorenulls=True).over(by)
     parents = []
-    for k in range(levels):
+    for k in range(_deepest(rows, level)):
         near = upto(k)
         parents.append(F.when((F.col(level) > k) & (near["l"] == k), near["t"]))
     return rows.withColumn(out, F.concat_ws("/", *parents, F.col(title)))
@@ -118,9 +122,9 @@ def without(rows: DataFrame, skipped: DataFrame, path: str = "path") -> DataFram
     """Rows whose path is neither skipped nor below a skipped folder."""
     prefixes = F.transform(F.sequence(F.lit(1), F.size(F.split(path, "/"))), lambda n: F.array_join(F.slice(F.split(path, "/"), F.lit(1), n), "/"))
     # A path has few prefixes: the join is on equal text, where a test of prefixes would compare all pairs.
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
-    gone = keyed.select("_row", F.explode(prefixes).alias(path)).join(skipped.select(path).distinct(), path).select("_row").distinct()
-    return keyed.join(gone, "_row", "left_anti").drop("_row")
+    every = rows.select(path).distinct().select(F.col(path).alias("_path"), F.explode(prefixes).alias("_prefix"))
+    gone = every.join(skipped.select(F.col(path).alias("_prefix")).distinct(), "_prefix").select("_path").distinct()
+    return rows.join(gone, F.col(path) == F.col("_path"), "left_anti")
 
 
 def folders(rows: DataFrame, path: str = "path") -> DataFrame:

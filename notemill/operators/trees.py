@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notemill.staging import stage, unstage
@@ -32,6 +34,32 @@ def closure(nodes: DataFrame, node: str = "id", parent: str = "parent_id", max_r
     return reach.unionByName(own)
 
 
+def _pointers(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """``node, up``: the parent, null where it is no other node."""
+    own = nodes.select(F.col(node).alias("node"), F.col(parent).alias("up"))
+    known = nodes.select(F.col(node).alias("_up")).distinct()
+    return own.join(known, (F.col("up") == F.col("_up")) & (F.col("up") != F.col("node")), "left").select("node", F.col("_up").alias("up"))
+
+
+def _rolled_up(begin: DataFrame, gather: Column, both: Callable[[Column, Column], Column]) -> DataFrame | None:
+    """``node, v``: the values (``node, up, v``) of each node and all below it, in rounds of doubled pointers over one row per node.
+
+    After round k a node holds what lies less than 2^k steps below, and points 2^k
+    steps up. Null if pointers are left after as many rounds as a tree of these nodes can take: there is a cycle.
+    """
+    now = stage(begin, "roll")
+    for _ in range(now.count().bit_length() + 1):
+        if now.where("up IS NOT NULL").isEmpty():
+            return now.select("node", "v")
+        more = now.where("up IS NOT NULL").groupBy(F.col("up").alias("node")).agg(gather.alias("more"))
+        far = now.select(F.col("node").alias("up"), F.col("up").alias("far"))
+        grown = now.join(more, "node", "left").withColumn("v", F.when(F.col("more").isNull(), F.col("v")).otherwise(both(F.col("v"), F.col("more"))))
+        grown = stage(grown.join(far, "up", "left").select("node", F.col("far").alias("up"), "v"), "roll")
+        unstage(now)
+        now = grown
+    return None
+
+
 def forest(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
     """Nodes with ``parent`` set to null where it is no node, and ``is_root``."""
     known = nodes.select(F.col(node).alias("_parent"))
@@ -48,12 +76,23 @@ def paths(nodes: DataFrame, node: str = "id", parent: str = "parent_id", title:
 
 def subtree_sums(nodes: DataFrame, counts: DataFrame, node: str = "id", parent: str = "parent_id", value: str = "n") -> DataFrame:
     """``node, total``: the values of a node and of all below it."""
-    below = closure(nodes, node, parent).join(counts.select(F.col(node).alias("node"), value), "node", "left")
-    return below.groupBy(F.col("ancestor").alias(node)).agg(F.coalesce(F.sum(value), F.lit(0)).alias("total"))
+    own = counts.groupBy(F.col(node).alias("node")).agg(F.sum(value).alias("v"))
+    begin = _pointers(nodes, node, parent).join(own, "node", "left").select("node", "up", F.coalesce("v", F.lit(0)).alias("v"))
+    summed = _rolled_up(begin, F.sum("v"), lambda a, b: a + b)
+    if summed is not None:
+        return summed.select(F.col("node").alias(node), F.col("v").alias("total"))
+    below = closure(nodes, node, parent).join(own, "node", "left")
+    return below.groupBy(F.col("ancestor").alias(node)).agg(F.coalesce(F.sum("v"), F.lit(0)).alias("total"))
 
 
 def has_descendant(nodes: DataFrame, wanted: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
     """Nodes that have one of ``wanted`` anywhere below."""
+    flags = wanted.select(F.col(node).alias("node")).distinct().withColumn("w", F.lit(1))
+    begin = _pointers(nodes, node, parent).join(flags, "node", "left").select("node", "up", F.coalesce("w", F.lit(0)).alias("v"))
+    counted = _rolled_up(begin, F.max("v"), F.greatest)
+    if counted is not None:
+        below = counted.where("v > 0").select("node").join(_pointers(nodes, node, parent), "node")
+        return below.where("up IS NOT NULL").select(F.col("up").alias(node)).distinct()
     found = closure(nodes, node, parent).where("distance > 0").join(wanted.select(F.col(node).alias("node")), "node")
     return found.select(F.col("ancestor").alias(node)).distinct()
 

@@ -62,8 +62,9 @@ def plan(incoming: DataFrame, state: DataFrame, mode: str = "update") -> DataFra
         found = found.join(by_path, F.lower("desired_path") == F.col("_key"), "left")
         foreign = F.col("_at_owner").isNotNull() & F.col("source_id").isNotNull() & (F.col("_at_owner") != F.col("source_id"))
         wanted = found.withColumn("_want", F.coalesce("_by_id", F.when(~foreign, F.col("_at"))))
-        # A match by id goes before one by path; then the order of arrival decides.
-        turn = Window.partitionBy("_want").orderBy(F.col("_by_id").isNull(), "ordinal")
+        # A match by id goes before one by path; then the order of arrival decides. Notes
+        # that want none, on a first import all, are dealt out by their own number.
+        turn = Window.partitionBy("_want", F.when(F.col("_want").isNull(), F.col("ordinal"))).orderBy(F.col("_by_id").isNull(), "ordinal")
         matched = wanted.withColumn("_match", F.when(F.row_number().over(turn) == 1, F.col("_want")))
     matched = stage(matched.select(*light.columns, "_match"), "plan")
     fresh = matched.where("_match IS NULL").withColumn("_folder", F.coalesce("folder", F.lit(""))).withColumn("_stem", F.regexp_replace(F.substring_index("desired_path", "/", -1), r"\.md$", ""))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from notemill.functions.text import dashed_tag
+from notemill.staging import stage
 
 # --- CSV -----------------------------------------------------------------------
 
@@ -79,27 +80,26 @@ def keep_body(note: str = "note"):
     return F.concat_ws("", text, F.when(at("listContent").isNotNull(), F.concat(F.lit("\n\n"), F.array_join(items, "\n"))), F.when(at("attachments").isNotNull(), F.concat(F.lit("\n\n"), F.array_join(files, ""))))
 
 
-def outline_blocks(spark: SparkSession, path: str, depth: int = 8) -> DataFrame:
+_BLOCK = "string string, uid string, heading bigint, children array<string>"
+
+
+def outline_blocks(spark: SparkSession, path: str) -> DataFrame:
     """An outliner's JSON graph as ``page, uid, parent_uid, path, text, heading``; ``path`` is the ordinals from the page down.
 
-    Blocks deeper than ``depth`` are read by a larger ``depth``: the schema of nested JSON is finite.
+    Children are kept as JSON text and read one level at a time, until no block has any.
     """
-    block = T.StructType([T.StructField("string", T.StringType()), T.StructField("uid", T.StringType()), T.StructField("heading", T.LongType())])
-    fields = block
-    for _ in range(depth - 1):
-        fields = T.StructType([*block.fields, T.StructField("children", T.ArrayType(fields))])
-    page = T.StructType([T.StructField("title", T.StringType()), T.StructField("uid", T.StringType()), T.StructField("children", T.ArrayType(fields))])
-    level = spark.read.schema(page).option("multiLine", "true").json(path)
+    level = spark.read.schema("title string, uid string, children array<string>").option("multiLine", "true").json(path)
     level = level.select(F.col("title").alias("page"), F.col("uid").alias("parent_uid"), F.array().cast("array<int>").alias("path"), "children")
+    columns = "page", "uid", "parent_uid", "path", "text", "heading"
     out = None
-    for k in range(depth):
-        rows = level.select("page", "parent_uid", "path", F.posexplode("children").alias("i", "b"))
-        rows = rows.select("page", F.col("b.uid").alias("uid"), "parent_uid", F.concat("path", F.array("i")).alias("path"), F.col("b.string").alias("text"), F.col("b.heading").alias("heading"), "b")
-        own = rows.drop("b")
-        out = own if out is None else out.unionByName(own)
-        if k < depth - 1:
-            level = rows.select("page", F.col("uid").alias("parent_uid"), "path", F.col("b.children").alias("children"))
-    return out
+    while True:
+        rows = level.select("page", "parent_uid", "path", F.posexplode("children").alias("i", "b")).withColumn("b", F.from_json("b", _BLOCK))
+        rows = rows.select("page", F.col("b.uid").alias("uid"), "parent_uid", F.concat("path", F.array("i")).alias("path"), F.col("b.string").alias("text"), F.col("b.heading").alias("heading"), F.col("b.children").alias("children"))
+        rows = stage(rows, "outline")
+        out = rows.select(*columns) if out is None else out.unionByName(rows.select(*columns))
+        level = rows.where(F.size("children") > 0).select("page", F.col("uid").alias("parent_uid"), "path", "children")
+        if level.isEmpty():
+            return out
 
 
 # --- XML notes -----------------------------------------------------------------

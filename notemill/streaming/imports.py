@@ -5,6 +5,8 @@ The windows over events are an addition; the import itself needs none.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,40 +17,67 @@ from notemill.staging import remove_path
 STATE = "path string, source_id string, mtime long, content string"
 
 
+#: In each version's folder, written last: the number of the last batch of every run that it holds.
+MARK = "_applied.json"
+
+
 def current_state(spark: SparkSession, folder: str) -> tuple[int, DataFrame]:
     """The newest version of the state, and its number; -1 and no rows before the first."""
     versions = _versions(spark, folder)
     if not versions:
         return -1, spark.createDataFrame([], STATE)
-    return versions[-1], spark.read.schema(STATE).parquet(f"{folder}/v={versions[-1]}")
+    newest = max(versions)
+    return newest, spark.read.schema(STATE).parquet(f"{folder}/v={newest}")
 
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
+def _versions(spark: SparkSession, folder: str) -> dict[int, dict[str, int]]:
+    """Whole versions, each with the last batch of every run."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(folder)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return []
-    found = []
-    for entry in fs.listStatus(at):
-        name = entry.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
-        if name.startswith("v=") and fs.exists(done):
-            found.append(int(name[2:]))
-    return sorted(found)
-
-
-def apply_batch(batch: DataFrame, batch_id: int, folder: str, mode: str = "update", keep: int = 2) -> None:
-    """Apply one batch of notes to the state. A batch that was applied before is passed over, so a retry changes nothing."""
+    found = {}
+    for entry in fs.listStatus(at) if fs.exists(at) else []:
+        name, mark = entry.getPath().getName(), jvm.org.apache.hadoop.fs.Path(entry.getPath(), MARK)
+        if name.startswith("v=") and fs.exists(mark):
+            stream = fs.open(mark)
+            try:
+                found[int(name[2:])] = json.loads(bytes(stream.readAllBytes()).decode())
+            except ValueError:  # half written: the version does not count
+                pass
+            finally:
+                stream.close()
+    return found
+
+
+def _mark(spark: SparkSession, version: str, applied: dict[str, int]) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(version, MARK)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    stream.write(json.dumps(applied).encode())
+    stream.close()
+
+
+def apply_batch(batch: DataFrame, batch_id: int, folder: str, mode: str = "update", keep: int = 2, run: str = "") -> None:
+    """Apply one batch of notes to the state.
+
+    A batch of a ``run`` (one checkpoint) that was applied before is passed over,
+    so a retry changes nothing; another run counts its batches anew. Of the
+    exports of one source the newest wins, of equal times the one whose content hashes highest.
+    """
     spark = batch.sparkSession
+    versions = _versions(spark, folder)
     version, state = current_state(spark, folder)
-    if version >= batch_id:
+    applied_before = versions.get(version, {})
+    if applied_before.get(run, -1) >= batch_id:
         return
-    # The newest export of each source wins; ids make the order of arrival a column.
-    latest = batch.withColumn("_key", F.coalesce("source_id", F.concat_ws("/", "folder", "title"))).groupBy("_key").agg(F.max_by(F.struct(*batch.columns), "mtime").alias("n")).select("n.*")
+    key = F.coalesce("source_id", F.concat_ws("/", "folder", "title"))
+    newest = F.max_by(F.struct(*batch.columns), F.struct("mtime", F.sha2("content", 256).alias("h"), F.xxhash64(*batch.columns).alias("x")))
+    latest = batch.withColumn("_key", key).groupBy("_key").agg(newest.alias("n")).select("n.*")
     incoming = latest.drop("ordinal").withColumn("ordinal", F.xxhash64("source_id", "folder", "title"))
-    applied(plan(incoming, state, mode), incoming, state).write.mode("overwrite").parquet(f"{folder}/v={batch_id}")
-    for old in [v for v in _versions(spark, folder) if v <= batch_id - keep]:
+    to = f"{folder}/v={version + 1}"
+    applied(plan(incoming, state, mode), incoming, state).write.mode("overwrite").parquet(to)
+    _mark(spark, to, applied_before | {run: batch_id})
+    for old in [v for v in versions if v <= version + 1 - keep]:
         remove_path(spark, f"{folder}/v={old}")
 
 
@@ -58,7 +87,12 @@ def start_import(notes: DataFrame, folder: str, checkpoint: str, mode: str = "up
     With ``once`` the query ends when what is there has been read, and goes on
     from there when it is started again with the same checkpoint.
     """
-    writer = notes.writeStream.foreachBatch(lambda batch, k: apply_batch(batch, k, folder, mode)).option("checkpointLocation", checkpoint)
+
+    def apply(batch: DataFrame, k: int) -> None:
+        # The id lies in the checkpoint: a query that goes on keeps it, a new checkpoint has its own.
+        apply_batch(batch, k, folder, mode, run=batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "")
+
+    writer = notes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

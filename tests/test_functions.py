@@ -1,4 +1,5 @@
 import datetime
+import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,41 @@ def test_rollups_cover_records_without_links(spark):
 @pytest.mark.parametrize("sign, want", [("89504E47", "png"), ("49492A00", "tiff"), ("5249464600000000574156450000", "wav"), ("00000018667479707174202020", "mov"), ("000000186674797069736F6D", "mp4"), ("", None)])
 def test_file_types(spark, sign, want):
     assert one(spark, tx.file_type(F.unhex(F.lit(sign)))) == want
+
+
+def test_dates_steps_and_workdays(spark):
+    f = fx.TABLE
+    days = [dt.date(2024, 2, 20) + dt.timedelta(k) for k in range(14)]
+    df = spark.createDataFrame([(d, n) for d in days for n in (-13, -6, -5, -1, 0, 1, 2, 5, 9)], "d date, n int")
+
+    def plain(d, n):
+        while n:
+            d += dt.timedelta(1 if n > 0 else -1)
+            n -= (n > 0) - (n < 0) if d.weekday() < 5 else 0
+        return d
+
+    assert all(r.w == plain(r.d, r.n) for r in df.withColumn("w", f["WORKDAY"](F.col("d"), F.col("n"))).collect())
+    one = spark.range(1).select(
+        f["MAX"](F.lit(dt.date(2024, 1, 2)), F.lit(dt.date(2023, 5, 5)), kind="date").alias("most"), f["MIN"](F.lit(3), F.lit(-2.5)).alias("least"),
+        f["CEILING"](F.lit(7.3), 5).alias("up"), f["FLOOR"](F.lit(-7.3), 5).alias("down"), f["CEILING"](F.lit(7.3)).alias("plain"),
+        f["DATETIME_PARSE"](F.lit("3 of March 2024, 14:05"), "D [of] MMMM YYYY, HH:mm").alias("parsed"), f["DATETIME_PARSE"](F.lit("x"), "YYYY").alias("none"),
+        f["WEEKNUM"](F.lit(dt.date(2024, 1, 7)), "Sunday").alias("sunday"), f["WEEKNUM"](F.lit(dt.date(2024, 1, 7)), "Monday").alias("monday"), f["WEEKNUM"](F.lit(dt.date(2021, 1, 3))).alias("iso"),
+        f["FROMNOW"](F.lit("2024-01-05 00:00:00").cast("timestamp"), F.lit("2024-01-01 12:00:00").cast("timestamp")).alias("ago"),
+        fx.PAGE["match"](F.lit("a1 b22"), "[0-9]+").alias("numbers"), fx.PAGE["findIndex"](F.array(F.lit(1), F.lit(5)), lambda x: x > 2).cast("int").alias("at"),
+        fx.PAGE["let"](4, lambda x: x * x).alias("square"), fx.PAGE["lets"](2, 5, lambda a, b: a * b).alias("product"),
+        fx.PAGE["dateEnd"](fx.PAGE["dateRange"](F.lit(1), F.lit(9))).alias("end"),
+    ).first()
+    assert (one.most, one.least, one.up, one.down, one.plain) == (dt.date(2024, 1, 2), -2.5, 10, -10, 8)
+    assert str(one.parsed) == "2024-03-03 14:05:00" and one.none is None and (one.sunday, one.monday, one.iso) == (2, 1, 53)
+    assert (one.ago, one.numbers, one.at, one.square, one.product, one.end) == ("3 days", ["1", "22"], 1, 16, 10, 9)
+
+
+def test_rollup_separators_and_file_types(spark):
+    links = spark.createDataFrame([(1, 0, 10), (1, 1, 11), (2, 0, None)], "r int, pos int, t int")
+    got = {r.r: (r.a, r.b) for r in rollup(links, spark.createDataFrame([(10, "x"), (11, "y")], "t int, v string"), "r", "t", "v", a=("ARRAYJOIN", "; "), b="ARRAYJOIN").collect()}
+    assert got == {1: ("x; y", "x, y"), 2: ("", "")}
+    with pytest.raises(UnsupportedRollup):
+        rollup(links, links, "r", "t", "pos", a=("SUM", "; "))
+    heads = {"ftyp": b"\0\0\0\x18ftypisom", "avif": b"\0\0\0\x18ftypavif", "qt": b"\0\0\0\x18ftypqt  ", "webp": b"RIFF0000WEBP", "riff": b"RIFF0000AVI ", "zip": b"PK\x03\x04", "none": b"", "gif": b"GIF89a"}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in heads.items()] + [("null", None)], "k string, b binary")
+    assert {r.k: r.e for r in df.select("k", tx.file_type(F.col("b")).alias("e")).collect()} == {"ftyp": "mp4", "avif": "avif", "qt": "mov", "webp": "webp", "riff": None, "zip": "zip", "none": None, "gif": "gif", "null": None}

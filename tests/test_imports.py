@@ -117,7 +117,7 @@ def test_keep(spark):
 def test_outline_and_xml(spark, tmp_path):
     graph = [{"title": "P", "uid": "p", "children": [{"string": "a", "uid": "a", "children": [{"string": "b", "uid": "b", "heading": 2}]}, {"string": "c", "uid": "c"}]}]
     (tmp_path / "g.json").write_text(json.dumps(graph))
-    got = {r.uid: (r.parent_uid, r.path, r.heading) for r in tables.outline_blocks(spark, str(tmp_path / "g.json"), 3).collect()}
+    got = {r.uid: (r.parent_uid, r.path, r.heading) for r in tables.outline_blocks(spark, str(tmp_path / "g.json")).collect()}
     assert got == {"a": ("p", [0], None), "b": ("a", [0, 0], 2), "c": ("p", [1], None)}
     (tmp_path / "n.enex").write_text("<en-export><note><title>A</title><content>x</content><created>20240102T030405Z</created><tag>one</tag></note><note><title>B</title><tag>one</tag><tag>two</tag><note-attributes><source>web.clip</source></note-attributes></note></en-export>")
     notes = tables.xml_notes(spark, str(tmp_path / "n.enex"))
@@ -158,9 +158,49 @@ def test_stream_goes_on_and_repeats_nothing(spark, tmp_path):
     assert {p for p, *_ in first.values()} == {"F/a.md", "F/a 1.md"} and first["1"][1:] == (5, "x")
     version, held = arrive(("F", "a", "1", 9, "x2"), ("F", "a", "1", 7, "old"), ("G", "b", "3", 1, "z"))
     assert held["1"] == (first["1"][0], 9, "x2") and held["3"] == ("G/b.md", 1, "z") and len(held) == 3
-    batch = spark.createDataFrame([("F", "q", "9", 1, "never")], schema)
-    imports.apply_batch(batch, version, state)
-    assert len(imports.current_state(spark, state)[1].collect()) == 3
+    batch = spark.createDataFrame([("F", "q", "9", 1, "once")], schema)
+    imports.apply_batch(batch, 0, state, run="other")
+    imports.apply_batch(batch.withColumn("source_id", F.lit("10")), 0, state, run="other")
+    assert {r.source_id for r in imports.current_state(spark, state)[1].collect()} == {"1", "2", "3", "9"}
+    marks = str(tmp_path / "new marks")  # a new checkpoint counts its batches from 0
+    held = arrive(("G", "c", "4", 1, "late"))[1]
+    assert set(held) == {"1", "2", "3", "4", "9"} and held["1"][1] == 9
+    (tmp_path / "state" / "v=99").mkdir()  # a version without its mark does not count
+    assert len(imports.current_state(spark, state)[1].collect()) == 5
+
+
+def test_equal_times_are_settled_by_content(spark, tmp_path):
+    schema = "folder string, title string, source_id string, mtime long, content string"
+    rows = [("F", "a", "1", 5, f"text {k}") for k in range(20)]
+    held = set()
+    for k in range(3):
+        imports.apply_batch(spark.createDataFrame(rows[k * 5 :] + rows[: k * 5], schema).repartition(k + 1), 0, str(tmp_path / f"s{k}"))
+        held.add(imports.current_state(spark, str(tmp_path / f"s{k}"))[1].first().content)
+    assert len(held) == 1
+
+
+def test_deep_outlines_are_read_whole(spark, tmp_path):
+    block = {"string": "leaf", "uid": "u14"}
+    for k in range(13, -1, -1):
+        block = {"string": f"level {k}", "uid": f"u{k}", "children": [block]}
+    (tmp_path / "deep.json").write_text(json.dumps([{"title": "P", "uid": "p", "children": [block, {"string": "second", "uid": "v"}]}]))
+    got = tables.outline_blocks(spark, str(tmp_path / "deep.json")).collect()
+    assert len(got) == 16 and {len(r.path) for r in got if r.uid == "u14"} == {15} and next(r for r in got if r.uid == "v").path == [1]
+
+
+def test_shared_folder_is_asked_for_off_one_machine(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from notemill import staging
+
+    context = SimpleNamespace(master="spark://host:7077", applicationId="a", getConf=lambda: SimpleNamespace(get=lambda k, d: d))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.shared_dir(SimpleNamespace(sparkContext=context))
+    scratch = staging.Scratch()
+    df = scratch(spark.range(5), "x")
+    assert df.count() == 5 and df.inputFiles()
+    scratch.clear()
+    assert scratch.frames == []
 
 
 def test_late_events_do_not_reopen_windows(spark):

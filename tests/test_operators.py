@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -145,3 +147,58 @@ def test_crawl_ends_or_raises(spark):
     assert {(r.id, r.round) for r in trees.crawl(seeds, edges, max_rounds=5).collect()} == {(k, k) for k in range(5)}
     with pytest.raises(RuntimeError):
         trees.crawl(seeds, edges, max_rounds=3)
+
+
+def test_pages_and_lists_of_any_depth(spark):
+    rows = [("s", k, k, f"p{k}") for k in range(9)] + [("s", 9, 2, "q"), ("s", 10, 5, "r"), ("t", 0, 0, "only")]
+    pages = spark.createDataFrame(rows, "s string, o int, level int, title string")
+    got = {(r.s, r.o): r.path for r in ordering.page_paths(pages, "s", "o", "level", "title").collect()}
+    assert got["s", 8] == "/".join(f"p{k}" for k in range(9)) and got["s", 9] == "p0/p1/q" and got["s", 10] == "p0/p1/q/r" and got["t", 0] == "only"
+
+    rng = random.Random(3)
+    rows = [(g, k, rng.randrange(7), rng.random() < 0.8) for g in range(4) for k in range(60)]
+    want, now = {}, {}
+    for g, k, level, item in rows:
+        if k == 0:
+            now = {}
+        now = {lev: n for lev, n in now.items() if lev < level or (item and lev == level)}
+        if item:
+            now[level] = now.get(level, 0) + 1
+            want[g, k] = now[level]
+    df = spark.createDataFrame(rows, "g int, k int, level int, item boolean")
+    assert {(r.g, r.k): r.number for r in ordering.number_list(df, "g", "k", "level", "item").collect() if r.item} == want
+
+
+def test_tree_sums_with_and_without_cycles(spark):
+    rng = random.Random(4)
+    parent = {i: rng.randrange(i) if i % 9 else None for i in range(200)} | {k: k - 1 for k in range(300, 420)} | {300: None, 500: 999}
+    nodes = spark.createDataFrame(list(parent.items()), "id int, parent_id int")
+    counts = spark.createDataFrame([(i, i % 5) for i in parent if i % 3] + [(7, 100)], "id int, n long")
+    total = {i: 0 for i in parent}
+    for i in parent:
+        up = i
+        while up in parent:
+            total[up] += (i % 5 if i % 3 else 0) + (100 if i == 7 else 0)
+            up = parent[up]
+    assert {r.id: r.total for r in trees.subtree_sums(nodes, counts).collect()} == total
+    wanted = {15, 419, 150}
+    above = set()
+    for i in wanted:
+        up = parent[i]
+        while up in parent:
+            above.add(up)
+            up = parent[up]
+    assert {r.id for r in trees.has_descendant(nodes, spark.createDataFrame([(i,) for i in wanted], "id int")).collect()} == above
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "id int, parent_id int")
+    ones = spark.createDataFrame([(k, 1) for k in (1, 2, 3, 4)], "id int, n long")
+    assert {r.id: r.total for r in trees.subtree_sums(ring, ones).collect()} == {1: 4, 2: 4, 3: 4, 4: 1}
+
+
+def test_first_imports_and_repeated_rows(spark):
+    rows = spark.createDataFrame([("a/b", 1), ("a/b", 1), ("a/c", 2), ("d", 3)], "path string, n int")
+    assert sorted(tuple(r) for r in ordering.without(rows, spark.createDataFrame([("a/b",)], "path string")).collect()) == [("a/c", 2), ("d", 3)]
+    found = links.resolve_paths(
+        spark.createDataFrame([("f", "x.md", 1), ("f", "x.md", 2), (None, "/g/Y", 3), ("f", "none", 4)], "folder string, href string, n int"),
+        spark.createDataFrame([("f/x.md",), ("g/y.md",), ("x.md",)], "path string"),
+    )
+    assert {r.n: r.path for r in found.collect()} == {1: "f/x.md", 2: "f/x.md", 3: "g/y.md", 4: None}
