@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from notemill import function_queries, reader_queries  # noqa: F401  (they register here as well)
+from notemill.catalogue import QUERIES, SQL, query, table  # noqa: F401
 from notemill.functions import formulas as fx
 from notemill.functions import text as tx
 from notemill.functions.rollups import rollup
@@ -18,25 +18,6 @@ from notemill.sources import files, registry, tables
 from notemill.staging import new_path
 from notemill.streaming import imports
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _cents(x):
     return F.round(x, 2)
 
