@@ -111,28 +111,32 @@ def media(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     return found.where((F.col("src") != "") & ~F.col("src").rlike("(?i)^data:"))
 
 
+#: Rewrites of a page's body, in order; spelled so that Java and RE2 agree.
+HTML_STEPS = [
+    *[(rf"(?is)<{tag}\b.*?</{tag}>", "") for tag in ("script", "style", "head", "nav", "svg")],
+    (r"(?is)<!--.*?-->|<!doctype[^>]*>", ""),
+    (r"(?is)<pre[^>]*>\s*(?:<code[^>]*>)?(.*?)(?:</code>)?\s*</pre>", "\n\n```\n\\1\n```\n\n"),
+    (r"(?is)<code[^>]*>(.*?)</code>", r"`\1`"),
+    *[(rf"(?is)<h{n}[^>]*>\s*(.*?)\s*</h{n}>", "\n\n" + "#" * n + " \\1\n\n") for n in range(1, 7)],
+    (r"(?is)<(?:strong|b)\b[^>]*>(.*?)</(?:strong|b)>", r"**\1**"),
+    (r"(?is)<(?:em|i)\b[^>]*>(.*?)</(?:em|i)>", r"*\1*"),
+    (r"(?is)<(?:del|s|strike)\b[^>]*>(.*?)</(?:del|s|strike)>", r"~~\1~~"),
+    (r"(?is)<mark[^>]*>(.*?)</mark>", r"==\1=="),
+    (r"""(?is)<img\b[^>]*?\bsrc\s*=\s*["']([^"']*)["'][^>]*>""", r"![](\1)"),
+    (r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>""", r"[\2](\1)"),
+    (r"(?is)<li[^>]*>\s*(.*?)\s*</li>", "\n- \\1"),
+    (r"(?is)<blockquote[^>]*>\s*(.*?)\s*</blockquote>", "\n\n> \\1\n\n"),
+    (r"(?i)<hr\s*/?>", "\n\n---\n\n"), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(?:p|div|ul|ol|table|tr|section|article)>", "\n\n"), (r"(?i)</t[dh]>", " "),
+    (r"(?s)<[^>]*>", ""), (r"[ \t]+\n", "\n"), (r"\n[ \t]+([^-\s])", "\n\\1"), (r"\n{3,}", "\n\n"),
+]
+
+
 def html_markdown(html: Column) -> Column:
     """A page's body as Markdown, by an ordered list of rewrites: headings, emphasis, code, links, images, lists, quotes, rules, paragraphs.
 
-    Elements of one name nested in each other are beyond such rules.
+    Elements of one name nested in each other are beyond such rules; ``notemill.operators.pages`` follows them.
     """
     out = F.coalesce(F.nullif(F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1), F.lit("")), html)
-    steps = [
-        (r"(?is)<(script|style|head|nav|svg)\b.*?</\1>|<!--.*?-->|<!doctype[^>]*>", ""),
-        (r"(?is)<pre[^>]*>\s*(?:<code[^>]*>)?(.*?)(?:</code>)?\s*</pre>", "\n\n```\n$1\n```\n\n"),
-        (r"(?is)<code[^>]*>(.*?)</code>", "`$1`"),
-        *[(rf"(?is)<h{n}[^>]*>\s*(.*?)\s*</h{n}>", "\n\n" + "#" * n + " $1\n\n") for n in range(1, 7)],
-        (r"(?is)<(?:strong|b)\b[^>]*>(.*?)</(?:strong|b)>", "**$1**"),
-        (r"(?is)<(?:em|i)\b[^>]*>(.*?)</(?:em|i)>", "*$1*"),
-        (r"(?is)<(?:del|s|strike)\b[^>]*>(.*?)</(?:del|s|strike)>", "~~$1~~"),
-        (r"(?is)<mark[^>]*>(.*?)</mark>", "==$1=="),
-        (r"""(?is)<img\b[^>]*?\bsrc\s*=\s*["']([^"']*)["'][^>]*>""", "![]($1)"),
-        (r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>""", "[$2]($1)"),
-        (r"(?is)<li[^>]*>\s*(.*?)\s*</li>", "\n- $1"),
-        (r"(?is)<blockquote[^>]*>\s*(.*?)\s*</blockquote>", "\n\n> $1\n\n"),
-        (r"(?i)<hr\s*/?>", "\n\n---\n\n"), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(?:p|div|ul|ol|table|tr|section|article)>", "\n\n"), (r"(?i)</t[dh]>", " "),
-        (r"(?s)<[^>]*>", ""), (r"[ \t]+\n", "\n"), (r"\n[ \t]+(?=[^-\s])", "\n"), (r"\n{3,}", "\n\n"),
-    ]
-    for pattern, new in steps:
-        out = F.regexp_replace(out, pattern, new)
+    for pattern, new in HTML_STEPS:
+        out = F.regexp_replace(out, pattern, new.replace("\\", "$"))
     return F.regexp_replace(unescaped(out), r"^\s+|\s+$", "")

@@ -396,11 +396,14 @@ def pipe_tables(spark, sf_dir):
 # --- text ----------------------------------------------------------------------
 
 
-@query("SELECT doc_id, lang || ', ' || source AS tags, regexp_extract(text, '^[^\\n]*') AS line FROM (SELECT doc_id, lang, source, 'x' AS text FROM documents)")
+@query(
+    r"""WITH t AS (SELECT doc_id, text || chr(10) || 'see #' || lang || ' and #' || source || ' not `#code` nor #123 or a#b' AS t FROM documents),
+o AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?s)```.*?(```|$)', ' ', 'g'), '`[^`\n]*`', ' ', 'g') AS o FROM t)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(o, '(?:^|\s)#([\p{L}\p{M}\p{N}_/-]+)', 1), lambda x: NOT regexp_matches(x, '^[0-9]+$')))), ', ') AS tags FROM o"""
+)
 def tag_extract(spark, sf_dir):
-    text = F.concat(F.lit("x\nsee #"), "lang", F.lit(" and #"), "source", F.lit(" not `#code` nor #123 or a#b"))
-    rows = table(spark, sf_dir, "documents").withColumn("t", text)
-    return rows.select("doc_id", F.array_join(tx.inline_tags(F.col("t")), ", ").alias("tags"), tx.first_line(F.col("t")).alias("line"))
+    text = F.concat("text", F.lit("\nsee #"), "lang", F.lit(" and #"), "source", F.lit(" not `#code` nor #123 or a#b"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(tx.inline_tags(text)), ", ").alias("tags"))
 
 
 @query("SELECT doc_id, CAST(doc_id AS VARCHAR) || ',' || CAST(doc_id % 7 AS VARCHAR) AS ids FROM documents")
@@ -432,12 +435,36 @@ def html_headings(spark, sf_dir):
     return documents.headings(table(spark, sf_dir, "pages")).drop("anchor")
 
 
-@query()
+def _quote(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _unescaped_sql(text: str) -> str:
+    for name, char in documents.ENTITIES.items():
+        text = f"replace({text}, {_quote(name)}, {_quote(char)})"
+    return text
+
+
+def _markdown_sql(text: str) -> str:
+    for pattern, new in documents.HTML_STEPS:
+        text = f"regexp_replace({text}, {_quote(pattern)}, {_quote(new)}, 'g')"
+    return f"regexp_replace({_unescaped_sql(text)}, '^\\s+|\\s+$', '', 'g')"
+
+
+_ANCHORS = r"regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a>')"
+
+
+@query(
+    rf"""WITH l AS (SELECT page_id, unnest({_ANCHORS}) AS a, generate_subscripts({_ANCHORS}, 1) - 1 AS pos FROM pages),
+h AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, {_unescaped_sql("replace(regexp_extract(a, '(?is)^<a[^>]*[^>a-zA-Z0-9_]href[ ]*=[ ]*[" + '"' + "'']([^" + '"' + "'']*)[" + '"' + "'']', 1), chr(92), '/')")} AS href,
+  trim(regexp_replace({_unescaped_sql("regexp_replace(a, '(?s)<[^>]*>', '', 'g')")}, '\s+', ' ', 'g')) AS text FROM l)
+SELECT * FROM h WHERE href <> ''"""
+)
 def html_links(spark, sf_dir):
     return documents.hyperlinks(table(spark, sf_dir, "pages"))
 
 
-@query()
+@query(f"SELECT page_id, {_markdown_sql("coalesce(nullif(regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1), ''), html)")} AS markdown FROM pages")
 def html_markdown(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", documents.html_markdown(F.col("html")).alias("markdown"))
 
