@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notemill.functions.text import fill_template, title_of, yaml_scalar
@@ -77,8 +77,13 @@ def tidy_markdown(text: Column, indent: str = "    ") -> Column:
 
 def log_report(log: DataFrame, most: int = 5) -> DataFrame:
     """Counts of each outcome and reason, with its first few names."""
-    names = F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, most), ", ")
-    return log.groupBy("outcome", "reason").agg(F.count("*").alias("n"), names.alias("names"))
+    by = ["outcome", "reason"]
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("name"))
+    few = log.select(*by, "name").distinct().withColumn("_n", place).where(F.col("_n") <= most)
+    names = few.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
+    counts = log.groupBy(*by).agg(F.count("*").alias("n"))
+    same = F.col("outcome").eqNullSafe(F.col("_outcome")) & F.col("reason").eqNullSafe(F.col("_reason"))
+    return counts.join(names.withColumnsRenamed({"outcome": "_outcome", "reason": "_reason"}), same, "left").drop("_outcome", "_reason")
 
 
 def image_size(content: Column) -> tuple[Column, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from notemill import function_queries, reader_queries  # noqa: F401  (they register here as well)
+from notemill import function_queries, reader_queries, rule_queries  # noqa: F401  (they register here as well)
 from notemill.catalogue import QUERIES, SQL, query, table  # noqa: F401
 from notemill.functions import formulas as fx
 from notemill.functions import text as tx
@@ -509,13 +509,12 @@ def upsert_state(spark, sf_dir):
     return upsert.applied(upsert.plan(notes, state), notes, state).select("path", "source_id", "mtime")
 
 
-@query(
-    """WITH f AS (SELECT md5(text) AS digest, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY 1) SELECT d.doc_id, f.first AS kept, f.n AS copies, md5(d.text) = f.digest AND d.doc_id = f.first AS is_kept FROM documents d JOIN f ON md5(d.text) = f.digest"""
-)
+@query("SELECT 'files/' || doc_id || '.txt' AS path, md5(text) AS digest, CASE doc_id % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'same' ELSE 'stale' END AS verdict FROM documents")
 def attachment_identity(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("digest"))
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("kept"), F.count("*").alias("copies"))
-    return rows.join(first, "digest").select("doc_id", "kept", "copies", (F.col("doc_id") == F.col("kept")).alias("is_kept"))
+    name = F.concat(F.lit("files/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", name.alias("path"), F.octet_length("text").alias("size"), "text")
+    placed = rows.where("doc_id % 3 <> 0").select("path", "size", F.md5(F.when(F.col("doc_id") % 3 == 1, F.col("text")).otherwise(F.reverse("text"))).alias("digest"))
+    return upsert.attachment_verdict(rows.select("path", "size", F.md5("text").alias("digest")), placed).select("path", "digest", "verdict")
 
 
 @query("SELECT coalesce(a.n_name, b.n_name) AS name, CASE WHEN b.n_name IS NOT NULL THEN 'new' ELSE 'old' END AS spec FROM (SELECT n_name FROM nation WHERE n_nationkey < 15) a FULL JOIN (SELECT n_name FROM nation WHERE n_nationkey > 8) b ON a.n_name = b.n_name")
