@@ -70,7 +70,7 @@ def format_turns(
     conversation's tokens under the loss mask (equal if none).
 
     Null roles and texts count as empty. Turns order by ``turn``, nulls first,
-    ties by role, then text; repeated rows stay. Rows with a null conversation
+    ties by role, then by the SHA-256 of the text; repeated rows stay. Rows with a null conversation
     are one conversation. Encoding needs no grouping, and turns are streamed,
     never gathered, so a very long conversation costs no memory.
     """

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from notemill.llm.components import connected_components
 from notemill.llm.workers import small_batches, tidy
-from notemill.staging import stage
+from notemill.staging import Scratch, stage, unstage
 
 #: Bits of the five blocks that a fingerprint is cut into. Fingerprints that
 #: differ in four bits or fewer agree in at least one whole block.
@@ -183,13 +183,17 @@ def link_fingerprints(codes: DataFrame, max_bits: int = 4, group_limit: int = 40
 
 
 def _best_by_print(prints: DataFrame, best: Column, max_bits: int) -> DataFrame:
-    """``fp, best``: the least ``best`` of all rows whose fingerprints are linked to ``fp``."""
-    codes = stage(prints.groupBy("fp").agg(best.alias("best")), "codes")
+    """``fp, best``, staged: the least ``best`` of all rows whose fingerprints are linked to ``fp``."""
+    keep = Scratch()
+    codes = keep(prints.groupBy("fp").agg(best.alias("best")), "codes")
     groups = connected_components(link_fingerprints(codes.select("fp"), max_bits))
-    linked = stage(groups.select(F.col("node").alias("fp"), "component").join(codes, "fp"), "linked")
-    least = stage(linked.groupBy("component").agg(F.min("best").alias("least")), "least")
+    linked = keep(groups.select(F.col("node").alias("fp"), "component").join(codes, "fp"), "linked")
+    unstage(groups)
+    least = keep(linked.groupBy("component").agg(F.min("best").alias("least")), "least")
     of = linked.select("fp", "component").join(least, "component").select("fp", "least")
-    return codes.join(of, "fp", "left").select("fp", F.coalesce("least", "best").alias("best"))
+    named = stage(codes.join(of, "fp", "left").select("fp", F.coalesce("least", "best").alias("best")), "named")
+    keep.clear()
+    return named
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4, shingle: int = 4) -> DataFrame:
@@ -204,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if id_col != "doc_id" or text_col != "text":
         docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     prints = stage(fingerprints(docs, shingle=shingle).drop("th"), "fp")
-    named = stage(_best_by_print(prints, F.min("doc_id").cast("long"), max_bits), "named")
+    named = _best_by_print(prints, F.min("doc_id").cast("long"), max_bits)
     return prints.join(named, "fp").select(F.col("doc_id").alias(id_col), "fp", F.col("best").alias("component_id"))
 
 

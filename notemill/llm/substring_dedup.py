@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from notemill.llm.components import connected_components
 from notemill.llm.ngram_lm import U64, mix, slices, word_spans
 from notemill.llm.workers import small_batches, tidy
-from notemill.staging import Scratch, sized_broadcast
+from notemill.staging import Scratch, sized_broadcast, unstage
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -363,7 +363,9 @@ def duplicate_spans(
     lines = units.where(F.col(keys[0]).isNotNull())
     contents = stage(lines.groupBy("c").agg(F.count("*").alias("n"), F.min(place).alias("first"), *[F.min(k).alias(k) for k in keys]), "sd-contents")
     links = stage(_near_links(contents, docs, id_col, text_col, keys, similarity, group_rows, stage).distinct(), "sd-links")
-    near = stage(connected_components(links).select(F.col("node").alias("c"), "component"), "sd-near")
+    groups = connected_components(links)
+    near = stage(groups.select(F.col("node").alias("c"), "component"), "sd-near")
+    unstage(groups)
     # First place and copies of every component: exact ones by content, near ones over all their contents.
     near_places = contents.join(near, "c").groupBy("component").agg(F.sum("n").alias("n"))
     of_near = near.join(stage(near_places, "sd-firsts"), "component").select("c", "component", "n")
