@@ -10,7 +10,7 @@ from notemill.llm.langid import in_known_language, language_samples
 from notemill.llm.near_dup import one_of_each_group
 from notemill.llm.packing import pack_documents
 from notemill.llm.substring_dedup import remove_duplicate_spans
-from notemill.staging import stage
+from notemill.staging import stage, unstage
 
 ORACLE_SQL = None
 
@@ -23,10 +23,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the smallest id (null last); one of equal rows.
 
-    Groups are those of ``near_duplicates``: fingerprints of four-word shingles, linked
+    Groups are those of ``near_duplicates``: fingerprints of five-word shingles, linked
     at four or fewer differing bits. All null ids of one group count as one document.
     """
-    return one_of_each_group(docs)
+    return one_of_each_group(docs, shingle=5)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +62,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     are not known to a stage pass it as they are, whatever their names.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir), name)
+    for k, (name, apply) in enumerate(STAGES[:-1]):
+        done = stage(apply(spark, docs, sf_dir), name)
+        if k:  # the stage before is read no more
+            unstage(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
