@@ -45,14 +45,15 @@ def plan(incoming: DataFrame, state: DataFrame, mode: str = "update") -> DataFra
     A note matches by source id, then by path (any case), unless the note there
     belongs to another id. Each note of the state is taken once, by the first
     that asks for it; all others get a free name of their own. The decision needs
-    only paths, times and content hashes, so contents are not shuffled with the names.
+    only paths, times and content hashes, so contents are not shuffled with the names;
+    a state that has a column ``hash`` (SHA-256 of the content) is not asked for contents.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     parent = F.nullif(F.col("folder"), F.lit(""))
     name = F.concat(F.regexp_replace(file_name(F.col("title")), r"(?i)\.md$", ""), F.lit(".md"))
     notes = incoming.withColumn("desired_path", F.concat_ws("/", parent, name)).withColumn("_hash", F.sha2("content", 256))
-    held = state.select(F.col("path").alias("_path"), F.col("source_id").alias("_owner"), F.col("mtime").alias("_kept"), F.sha2("content", 256).alias("_held"))
+    held = state.select(F.col("path").alias("_path"), F.col("source_id").alias("_owner"), F.col("mtime").alias("_kept"), (F.col("hash") if "hash" in state.columns else F.sha2("content", 256)).alias("_held"))
     light = notes.drop("content")
     if mode == "copy":
         matched = light.withColumn("_match", F.lit(None).cast("string"))
@@ -82,9 +83,14 @@ def _outcome() -> Column:
     return F.try_element_at(F.create_map(*pairs), F.col("disposition"))
 
 
+def written(planned: DataFrame) -> DataFrame:
+    """The planned notes that are written."""
+    return planned.where(F.col("disposition").isin(*WRITES))
+
+
 def applied(planned: DataFrame, incoming: DataFrame, state: DataFrame) -> DataFrame:
     """The next state: planned writes over the former notes."""
-    writes = planned.where(F.col("disposition").isin(*WRITES)).select("path", "ordinal")
+    writes = written(planned).select("path", "ordinal")
     new = incoming.join(writes, "ordinal").select("path", "source_id", "mtime", "content")
     return state.select("path", "source_id", "mtime", "content").join(new.select("path"), "path", "left_anti").unionByName(new)
 
@@ -116,7 +122,7 @@ def shared_blocks(copies: DataFrame, block: str = "block_id", source: str = "syn
 
 def write_notes(planned: DataFrame, incoming: DataFrame, folder: str) -> None:
     """Write planned notes as text tables, one folder of files per outcome (``create``, ``copy``, ``update``)."""
-    rows = incoming.join(planned.where(F.col("disposition").isin(*WRITES)).select("ordinal", "path", "disposition"), "ordinal")
+    rows = incoming.join(written(planned).select("ordinal", "path", "disposition"), "ordinal")
     rows.select("path", "content", "disposition").write.mode("overwrite").partitionBy("disposition").parquet(folder)
 
 

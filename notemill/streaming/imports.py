@@ -11,27 +11,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from notemill.plans.upsert import applied, plan
-from notemill.staging import remove_path
+from notemill.plans.upsert import applied, plan, written
+from notemill.staging import remove_path, stage, unstage
 
 STATE = "path string, source_id string, mtime long, content string"
-
-
-#: In each version's folder, written last: the number of the last batch of every run that it holds.
+#: What a version holds: each note with the digest of its content, so that planning an import reads no contents.
+_HELD = STATE + ", hash string"
+#: Ranges of path hashes that a new state is dealt into. A batch writes those anew that it changes.
+BUCKETS = 64
+#: In each version's folder, written last: the last batch of every run that it
+#: holds, the number of buckets, and for each bucket the version that wrote it last.
 MARK = "_applied.json"
 
 
 def current_state(spark: SparkSession, folder: str) -> tuple[int, DataFrame]:
     """The newest version of the state, and its number; -1 and no rows before the first."""
     versions = _versions(spark, folder)
-    if not versions:
-        return -1, spark.createDataFrame([], STATE)
-    newest = max(versions)
-    return newest, spark.read.schema(STATE).parquet(f"{folder}/v={newest}")
+    newest = max(versions, default=-1)
+    return newest, _read(spark, folder, versions[newest]["wrote"] if versions else {}).select("path", "source_id", "mtime", "content")
+
 
+def _read(spark: SparkSession, folder: str, wrote: dict[str, int]) -> DataFrame:
+    at = [f"{folder}/v={v}/bucket={b}" for b, v in sorted(wrote.items())]
+    return spark.read.schema(_HELD).parquet(*at) if at else spark.createDataFrame([], _HELD)
 
-def _versions(spark: SparkSession, folder: str) -> dict[int, dict[str, int]]:
-    """Whole versions, each with the last batch of every run."""
+
+def _versions(spark: SparkSession, folder: str) -> dict[int, dict]:
+    """The marks of whole versions."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(folder)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -49,36 +55,67 @@ def _versions(spark: SparkSession, folder: str) -> dict[int, dict[str, int]]:
     return found
 
 
-def _mark(spark: SparkSession, version: str, applied: dict[str, int]) -> None:
+def _mark(spark: SparkSession, version: str, mark: dict) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(version, MARK)
     stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
-    stream.write(json.dumps(applied).encode())
+    stream.write(json.dumps(mark).encode())
     stream.close()
 
 
-def apply_batch(batch: DataFrame, batch_id: int, folder: str, mode: str = "update", keep: int = 2, run: str = "") -> None:
+def apply_batch(batch: DataFrame, batch_id: int, folder: str, mode: str = "update", keep: int = 2, run: str = "", buckets: int = BUCKETS) -> None:
     """Apply one batch of notes to the state.
 
     A batch of a ``run`` (one checkpoint) that was applied before is passed over,
     so a retry changes nothing; another run counts its batches anew. Of the
     exports of one source the newest wins, of equal times the one whose content hashes highest.
+
+    The plan reads paths, ids, times and digests of the state; contents are read and
+    written only of the buckets that the batch changes. ``buckets`` is settled by the
+    first batch. Of each bucket the versions that the last ``keep`` states use are kept.
     """
     spark = batch.sparkSession
     versions = _versions(spark, folder)
-    version, state = current_state(spark, folder)
-    applied_before = versions.get(version, {})
-    if applied_before.get(run, -1) >= batch_id:
+    version = max(versions, default=-1)
+    before = versions.get(version, {"runs": {}, "buckets": buckets, "wrote": {}})
+    if before["runs"].get(run, -1) >= batch_id:
         return
     key = F.coalesce("source_id", F.concat_ws("/", "folder", "title"))
     newest = F.max_by(F.struct(*batch.columns), F.struct("mtime", F.sha2("content", 256).alias("h"), F.xxhash64(*batch.columns).alias("x")))
     latest = batch.withColumn("_key", key).groupBy("_key").agg(newest.alias("n")).select("n.*")
     incoming = latest.drop("ordinal").withColumn("ordinal", F.xxhash64("source_id", "folder", "title"))
+    bucket = F.pmod(F.xxhash64("path"), F.lit(before["buckets"])).cast("int")
+    planned = stage(plan(incoming, _read(spark, folder, before["wrote"]), mode).select("ordinal", "path", "disposition"), "planned")
+    changed = [str(r.b) for r in written(planned).select(bucket.alias("b")).distinct().collect()]
+    held = _read(spark, folder, {b: v for b, v in before["wrote"].items() if b in changed})
+    after = applied(planned, incoming, held).withColumns({"hash": F.sha2("content", 256), "bucket": bucket})
     to = f"{folder}/v={version + 1}"
-    applied(plan(incoming, state, mode), incoming, state).write.mode("overwrite").parquet(to)
-    _mark(spark, to, applied_before | {run: batch_id})
-    for old in [v for v in versions if v <= version + 1 - keep]:
-        remove_path(spark, f"{folder}/v={old}")
+    after.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(to)
+    wrote = before["wrote"] | {b: version + 1 for b in changed}
+    _mark(spark, to, {"runs": before["runs"] | {run: batch_id}, "buckets": before["buckets"], "wrote": wrote})
+    unstage(planned)
+    kept = {v: versions[v]["wrote"] for v in sorted(versions)[len(versions) + 1 - keep :]} | {version + 1: wrote}
+    _clear(spark, folder, version, kept)
+
+
+def _clear(spark: SparkSession, folder: str, upto: int, kept: dict[int, dict[str, int]]) -> None:
+    """Delete what no kept version reads; a version that is not kept loses its mark first, so it does not count."""
+    used = {(v, b) for wrote in kept.values() for b, v in wrote.items()}
+    for name in _names(spark, folder):
+        v = int(name[2:]) if name.startswith("v=") else upto + 1
+        if v > upto or v in kept:
+            continue
+        remove_path(spark, f"{folder}/{name}/{MARK}")
+        held = [x[len("bucket=") :] for x in _names(spark, f"{folder}/{name}") if x.startswith("bucket=")]
+        old = [b for b in held if (v, b) not in used]
+        for path in [name] if len(old) == len(held) else [f"{name}/bucket={b}" for b in old]:
+            remove_path(spark, f"{folder}/{path}")
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [entry.getPath().getName() for entry in fs.listStatus(at)]
 
 
 def start_import(notes: DataFrame, folder: str, checkpoint: str, mode: str = "update", once: bool = True) -> StreamingQuery:

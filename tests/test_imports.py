@@ -169,6 +169,24 @@ def test_stream_goes_on_and_repeats_nothing(spark, tmp_path):
     assert len(imports.current_state(spark, state)[1].collect()) == 5
 
 
+def test_a_batch_writes_the_buckets_it_changes(spark, tmp_path):
+    schema = "folder string, title string, source_id string, mtime long, content string"
+    state = tmp_path / "state"
+    want = {f"F/t{k}.md": f"text {k}" for k in range(60)}
+    imports.apply_batch(spark.createDataFrame([("F", f"t{k}", str(k), 1, f"text {k}") for k in range(60)], schema), 0, str(state), buckets=8)
+    assert len(list((state / "v=0").glob("bucket=*"))) == 8
+    for k in range(1, 6):  # one note each: its bucket alone is written
+        imports.apply_batch(spark.createDataFrame([("F", "t7", "7", 1 + k, f"new {k}"), ("F", "t9", "9", 1, "text 9")], schema), k, str(state))
+        want["F/t7.md"] = f"new {k}"
+        assert len(list((state / f"v={k}").glob("bucket=*"))) == 1
+        rows = imports.current_state(spark, str(state))[1].collect()
+        assert len(rows) == 60 and {r.path: r.content for r in rows} == want
+    assert len(list((state / "v=0").glob("bucket=*"))) == 7 and not (state / "v=0" / imports.MARK).exists()
+    assert sorted(p.name for p in state.iterdir()) == ["v=0", "v=4", "v=5"]
+    imports.apply_batch(spark.createDataFrame([], schema), 6, str(state))  # nothing to write
+    assert imports.current_state(spark, str(state))[0] == 6 and imports.current_state(spark, str(state))[1].count() == 60
+
+
 def test_equal_times_are_settled_by_content(spark, tmp_path):
     schema = "folder string, title string, source_id string, mtime long, content string"
     rows = [("F", "a", "1", 5, f"text {k}") for k in range(20)]
