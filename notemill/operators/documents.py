@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notemill.functions.text import rich_text
 from notemill.operators.ordering import block_spacing, number_list
 
 
@@ -140,3 +141,60 @@ def html_markdown(html: Column) -> Column:
     for pattern, new in HTML_STEPS:
         out = F.regexp_replace(out, pattern, new.replace("\\", "$"))
     return F.regexp_replace(unescaped(out), r"^\s+|\s+$", "")
+
+
+# Sections of meeting notes, in order.
+MEETING_SECTIONS = ("Summary", "Notes", "Transcript")
+
+
+def meeting_notes(meetings: DataFrame, sections: DataFrame, meeting: str = "block_id") -> DataFrame:
+    """Add ``markdown`` to meetings (``title, status`` and ``summary_id, notes_id, transcript_id``).
+
+    ``sections``: ``section_id, markdown``, joined by id. Blank or missing sections are
+    left out; notes that are not ready (a status other than ``notes_ready``) are their title alone.
+    """
+    title = F.trim(F.coalesce("title", F.lit("")))
+    ready = F.coalesce(F.nullif("status", F.lit("")), F.lit("notes_ready")) == "notes_ready"
+    rows = meetings.withColumn("_top", F.when(title != "", F.concat(F.lit("## "), title)))
+    ids = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(name).alias("name"), F.col(f"{name.lower()}_id").cast("string").alias("id")) for k, name in enumerate(MEETING_SECTIONS)])
+    asked = meetings.where(ready).select(F.col(meeting).alias("_m"), (title != "").alias("_titled"), F.inline(ids)).where("id IS NOT NULL")
+    held = sections.where("trim(markdown) <> ''").select(F.col("section_id").cast("string").alias("id"), "markdown")
+    heading = F.concat(F.when(F.col("_titled"), "### ").otherwise("## "), "name")
+    parts = asked.join(held, "id").groupBy("_m").agg(F.array_sort(F.collect_list(F.struct("k", F.concat(heading, F.lit("\n\n"), "markdown").alias("t")))).alias("_parts"))
+    body = F.array_join(F.transform("_parts", lambda p: p["t"]), "\n\n")
+    return rows.join(parts, F.col(meeting) == F.col("_m"), "left").withColumn("markdown", F.concat_ws("\n\n", "_top", body)).drop("_m", "_parts", "_top")
+
+
+def sized_lines(lines: DataFrame, note: str = "note", ordinal: str = "ordinal", title: str = "title", todo: bool = True) -> DataFrame:
+    """Add ``markdown``: lines of styled sections (``sections``: structs of ``path, text``) as list items, tasks, headings or text.
+
+    Lines that are bold, large or huge all through are headings. List items below a
+    heading (or the note's title, at level 1) that says to-do are tasks, done where all is struck
+    out, up to the next heading of that level or above: for one of the levels the last
+    heading of that level or above says to-do.
+    """
+    s = F.col("sections")
+    every = lambda part: F.forall(s, lambda x: F.contains(x["path"], F.lit(part)))
+    item = F.coalesce(F.contains(F.get(s, F.lit(0))["path"], F.lit("list-item")), F.lit(False))
+    says = lambda t: t.rlike("(?i)to ?do")
+    bold, huge, large, struck = every("bold"), every("size:huge"), every("size:large"), every("strikethrough")
+    level = F.lit(6) - F.when(huge, 4).when(large, 2).otherwise(0) - F.when(bold, 1).otherwise(0)
+    text = F.array_join(F.transform(s, lambda x: x["text"]), "")
+    rows = lines.withColumn("_item", item).withColumn("_level", F.when(~item & (F.size(s) > 0) & (bold | huge | large), level)).withColumn("_says", says(text))
+    before = Window.partitionBy(note).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)
+    mode = F.lit(False)
+    if todo:
+        for k in range(1, 7):
+            mode = mode | F.coalesce(F.last(F.when(F.col("_level") <= k, F.col("_says")), ignorenulls=True).over(before), says(F.col(title)), F.lit(False))
+    rows = rows.withColumn("_todo", mode & F.col("_item"))
+    done = F.col("_todo") & struck
+    head = F.col("_level").isNotNull()
+    run = lambda x: F.struct(
+        x["text"].alias("text"), (F.contains(x["path"], F.lit("bold")) & ~(head & bold)).alias("bold"), F.contains(x["path"], F.lit("italic")).alias("italic"),
+        (F.contains(x["path"], F.lit("strikethrough")) & ~done).alias("strikethrough"), F.contains(x["path"], F.lit("monospace")).alias("code"), F.lit(None).cast("string").alias("href"),
+    )
+    made = rich_text(F.transform(s, run))
+    depth = F.size(F.regexp_extract_all(F.get(s, F.lit(0))["path"], F.lit("/list/"), F.lit(0)))
+    bullet = F.concat(F.repeat(F.lit("    "), depth), F.lit("- "), F.when(done, "[x] ").when(F.col("_todo"), "[ ] ").otherwise(""))
+    out = F.when(F.col("_item"), F.concat(bullet, made)).when(head, F.concat(F.repeat(F.lit("#"), F.col("_level")), F.lit(" "), F.trim(made))).otherwise(made)
+    return rows.withColumn("markdown", out).drop("_item", "_level", "_says", "_todo")

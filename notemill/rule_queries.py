@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from notemill.catalogue import query, table
+from notemill.functions import dialects
 from notemill.functions import text as tx
 from notemill.operators import documents, grouping, links, notes, ordering, pages, trees
 from notemill.plans import upsert
@@ -244,3 +245,86 @@ def outline_prose(spark, sf_dir):
 @query()
 def page_trees(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", pages.page_tree_markdown(F.col("html")).alias("markdown"))
+
+
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN '[[DB:' || o_custkey || ']]' WHEN 1 THEN '[[PAGE:' || o_custkey || ']]'
+  WHEN 2 THEN ' ' || strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_custkey % 2 = 0 THEN ' → ' || strftime(o_orderdate + INTERVAL 3 DAY, '%Y-%m-%d') ELSE '' END || ' '
+  WHEN 3 THEN '[' || CASE WHEN o_custkey % 2 = 0 THEN o_orderpriority ELSE 'plain' END || '](http://x/' || o_orderkey || ')'
+  WHEN 4 THEN CASE WHEN o_custkey % 2 = 0 THEN ' [' || o_orderpriority || '](mailto:a@b.c) ' ELSE ' ' || o_orderpriority || ' ' END WHEN 5 THEN ' plain ' ELSE 'plain' END AS shown FROM orders"""
+)
+def mentions(spark, sf_dir):
+    key, even, day = F.col("o_orderkey"), F.col("o_custkey") % 2 == 0, F.col("o_orderdate").cast("date")
+    kinds = F.get(F.array(*[F.lit(k) for k in ("database", "page", "date", "link_mention", "user", "template", None)]), (key % 7).cast("int"))
+    shown = dialects.mention(
+        kinds, F.col("o_custkey").cast("string"), F.lit("plain"), F.date_format(day, "yyyy-MM-dd"), F.when(even, F.date_format(F.date_add(day, 3), "yyyy-MM-dd")),
+        F.concat(F.lit("http://x/"), key.cast("string")), F.when(even, F.col("o_orderpriority")), F.col("o_orderpriority"), F.when(even, "a@b.c"),
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", shown.alias("shown"))
+
+
+@query(
+    """SELECT o_orderkey, concat_ws(chr(10) || chr(10), CASE WHEN o_orderkey % 3 > 0 THEN '## ' || o_orderpriority END, CASE WHEN o_orderstatus <> 'P' THEN h || 'Summary' || chr(10) || chr(10) || o_orderpriority END,
+  CASE WHEN o_orderstatus <> 'P' AND o_custkey % 2 = 0 THEN h || 'Notes' || chr(10) || chr(10) || o_orderstatus END, CASE WHEN o_orderstatus <> 'P' AND o_orderkey % 5 > 0 THEN h || 'Transcript' || chr(10) || chr(10) || o_custkey END) AS markdown
+FROM (SELECT *, CASE WHEN o_orderkey % 3 > 0 THEN '### ' ELSE '## ' END AS h FROM orders)"""
+)
+def meetings(spark, sf_dir):
+    """Orders as meetings of three sections each; some of those are blank, some missing."""
+    key, orders = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    ids = {f"{name}_id": key * 10 + k for k, name in enumerate(("summary", "notes", "transcript"))}
+    status = F.when(F.col("o_orderstatus") == "P", "transcribing").when(F.col("o_orderstatus") == "O", "notes_ready")
+    rows = orders.select(key.alias("block_id"), F.when(key % 3 > 0, F.col("o_orderpriority")).alias("title"), status.alias("status"), *[c.alias(n) for n, c in ids.items()])
+    texts = F.array("o_orderpriority", F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderstatus")).otherwise(" "), F.col("o_custkey").cast("string"))
+    sections = orders.select("o_orderkey", F.posexplode(texts).alias("k", "markdown")).where("k < 2 OR o_orderkey % 5 > 0").select((key * 10 + F.col("k")).alias("section_id"), "markdown")
+    return documents.meeting_notes(rows, sections).select(F.col("block_id").alias("o_orderkey"), "markdown")
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN CASE WHEN event_id % 2 = 0 THEN chr(9) ELSE '' END || CASE WHEN event_id % 3 = 0 THEN '- [x] ' ELSE '- [ ] ' END
+  WHEN event_id % 2 = 0 THEN chr(9) || CASE WHEN event_id % 3 = 0 THEN '1. ' ELSE '- ' END WHEN event_id % 7 BETWEEN 1 AND 6 THEN repeat('#', CAST(event_id % 7 AS INTEGER)) || ' ' ELSE '' END AS mark,
+  CASE event_id % 4 WHEN 0 THEN 'important' WHEN 1 THEN 'tip' WHEN 2 THEN 'question' END AS callout, CASE WHEN event_id % 4 < 3 THEN event_type END AS title FROM events"""
+)
+def line_marks(spark, sf_dir):
+    key = F.col("event_id")
+    tag = lambda check, shape: F.struct(check.alias("checkable"), (key % 3 == 0).alias("completed"), shape.cast("int").alias("shape"), F.col("event_type").alias("label"))
+    shape = F.get(F.array(*[F.lit(x) for x in (13, 21, 111, 99)]), (key % 4).cast("int"))
+    tags = F.array(tag(key % 5 == 0, F.lit(17)), tag(F.lit(False), shape))
+    tags = F.when(key % 5 == 0, tags).otherwise(F.slice(tags, 2, 1))
+    mark = dialects.line_mark(F.concat(F.lit("H"), (key % 7).cast("string")), F.when(key % 2 == 0, key % 3 == 0), F.lit(1), tags)
+    callout = dialects.line_callout(tags)
+    return table(spark, sf_dir, "events").select("event_id", mark.alias("mark"), callout["type"].alias("callout"), callout["title"].alias("title"))
+
+
+@query(
+    """WITH l AS (SELECT user_id AS k, event_id AS n, (event_id * 7 + user_id) % 6 AS s, CASE event_type WHEN 'signup' THEN 'To Do' ELSE event_type END AS t FROM events),
+h AS (SELECT k, n, CASE s WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 5 END AS level, t = 'To Do' AS todo FROM l WHERE s < 3 UNION ALL SELECT DISTINCT k, -1, 1, k % 4 = 0 FROM l),
+e AS (SELECT h.k, h.n, h.todo, (SELECT min(g.n) FROM h g WHERE g.k = h.k AND g.n > h.n AND g.level <= h.level) AS until FROM h),
+m AS (SELECT DISTINCT l.k, l.n FROM l JOIN e ON e.k = l.k AND e.n < l.n AND e.todo AND (until IS NULL OR until > l.n))
+SELECT l.k AS user_id, l.n AS event_id, CASE s WHEN 0 THEN '## ' || t WHEN 1 THEN '#### ' || t WHEN 2 THEN '##### ' || t WHEN 5 THEN '*' || t || '*'
+  ELSE '    - ' || CASE WHEN m.n IS NULL AND s = 4 THEN '~~' || t || '~~' WHEN m.n IS NULL THEN t WHEN s = 4 THEN '[x] ' || t ELSE '[ ] ' || t END END AS markdown FROM l LEFT JOIN m ON l.k = m.k AND l.n = m.n"""
+)
+def styled_lines(spark, sf_dir):
+    """Events of a user as lines of a note: huge, large and bold ones are headings, sign-ups say to-do, as every fourth note's title."""
+    style = ((F.col("event_id") * 7 + F.col("user_id")) % 6).cast("int")
+    path = F.get(F.array(*[F.lit(x) for x in ("size:huge", "size:large", "bold", "note/list/list-item", "note/list/list-item/strikethrough", "italic")]), style)
+    text = F.when(F.col("event_type") == "signup", "To Do").otherwise(F.col("event_type"))
+    title = F.when(F.col("user_id") % 4 == 0, "My todo list").otherwise("User")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", title.alias("title"), F.array(F.struct(path.alias("path"), text.alias("text"))).alias("sections"))
+    return documents.sized_lines(rows, "user_id", "event_id").select("user_id", "event_id", "markdown")
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE '# Other' || chr(10) || text END AS body,
+  CASE WHEN doc_id % 2 = 0 THEN '' ELSE '# Other' || chr(10) END || '<u>' || lang || '</u> #' || lang || '_' || source || ' `~no~ #no tag#`' || chr(10) || 'Row' || chr(10) || chr(10) || '|a|b|' || chr(10) || '|-|-|' || chr(10)
+  || '![' || source || '|' || doc_id + 1 || 'x20](f.png)' || chr(10) || '```' || chr(10) || '~x~ #y z#' || chr(10) || '```' AS markdown FROM documents"""
+)
+def app_notes(spark, sf_dir):
+    """Whole texts without a heading that says the title, and texts of every mark that the dialect has."""
+    key, lang, source = F.col("doc_id"), F.col("lang"), F.col("source")
+    title = F.concat(F.lit("Doc "), key.cast("string"))
+    head = F.when(key % 2 == 0, F.concat(F.lit("# "), title, F.lit(" \n"))).otherwise("# Other\n")
+    made = F.concat(
+        head, F.lit("~"), lang, F.lit("~ #"), lang, F.lit(" "), source, F.lit("# `~no~ #no tag#`\nRow\n|a|b|\n|-|-|\n!["), source, F.lit('](f.png)<!-- {"width": '), (key + 1).cast("string"),
+        F.lit(', "height": 20} -->\n```\n~x~ #y z#\n```'),
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", dialects.without_title(F.concat(head, "text"), title).alias("body"), dialects.app_markdown(made, title).alias("markdown"))
