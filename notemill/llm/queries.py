@@ -84,6 +84,46 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of ``documents``, some with a letter taken out by rule, and the more frequent words they are variants of."""
+    from notemill.llm.spelling import count_words, letter_runs, spelling_forms
+
+    # Shorter runs give no word of seven letters.
+    runs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(letter_runs("text", 7)).alias("run"))
+    h, size = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "run").cast("binary")), F.char_length("run")
+    at = (h % size).cast("int")
+    cut = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
+    return spelling_forms(count_words(runs.select(F.when(h % 31 == 0, cut).otherwise(F.col("run")).alias("word"))))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in ``documents``, of which one in ten is made periodic from some word on."""
+    from notemill.llm.periodic import periodic_runs
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    n, g = F.size("words").cast("long"), F.floor(h / 10)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+    again = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("words", place(i).cast("int")))
+    # Texts without a change stay as they are: only the words count.
+    changed = docs.withColumn("words", F.when(h % 10 == 0, words)).select("doc_id", F.when(F.size("words") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs(changed)
+    longest = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    nothing = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[x].cast("string") for x in ("start", "length", "period")]))
+    best = F.aggregate("runs", nothing, longest)
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
