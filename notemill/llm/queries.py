@@ -124,6 +124,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose sets of four-word shingles have a similarity of 0.8 or more, linked to components."""
+    from notemill.llm.bayes_dedup import near_duplicate_sets
+
+    return near_duplicate_sets(_table(spark, sf_dir, "documents"), shingle=4)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
