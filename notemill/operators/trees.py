@@ -60,6 +60,23 @@ def _rolled_up(begin: DataFrame, gather: Column, both: Callable[[Column, Column]
     return None
 
 
+def pulled_down(begin: DataFrame, both: Callable[[Column, Column], Column]) -> DataFrame:
+    """``node, v``, staged: the values (``node, up, v``) of each node and all above it, in rounds of doubled pointers over one row per node.
+
+    Raises on a cycle.
+    """
+    now = stage(begin, "pull")
+    for _ in range(now.count().bit_length() + 1):
+        if now.where("up IS NOT NULL").isEmpty():
+            return now.select("node", "v")
+        above = now.select(F.col("node").alias("up"), F.col("v").alias("more"), F.col("up").alias("far"), F.lit(True).alias("met"))
+        grown = now.join(above, "up", "left").select("node", F.col("far").alias("up"), F.when(F.col("met"), both(F.col("v"), F.col("more"))).otherwise(F.col("v")).alias("v"))
+        grown = stage(grown, "pull")
+        unstage(now)
+        now = grown
+    raise ValueError("the nodes above each other form a cycle")
+
+
 def forest(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
     """Nodes with ``parent`` set to null where it is no node, and ``is_root``."""
     known = nodes.select(F.col(node).alias("_parent"))

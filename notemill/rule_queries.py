@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from notemill.catalogue import query, table
 from notemill.functions import dialects
 from notemill.functions import text as tx
-from notemill.operators import documents, grouping, links, notes, ordering, pages, trees
+from notemill.operators import documents, grouping, links, notes, ordering, outlines, pages, trees
 from notemill.plans import upsert
 from notemill.sources import exports, files
 from notemill.staging import new_path
@@ -239,7 +239,7 @@ def outline_prose(spark, sf_dir):
     at = lambda *c: F.array(*[F.col(x).cast("int") if isinstance(x, str) else F.lit(x) for x in c])
     blocks = own.select("page", at("n_nationkey").alias("path"), F.concat(F.lit("## "), "n_name").alias("text")).distinct()
     blocks = blocks.unionByName(own.select("page", at("n_nationkey", "c_custkey").alias("path"), F.col("c_name").alias("text"))).unionByName(own.select("page", at("n_nationkey", "c_custkey", 0).alias("path"), F.col("c_mktsegment").alias("text")))
-    return pages.prose(blocks)
+    return outlines.prose(blocks)
 
 
 @query()

@@ -1,6 +1,6 @@
 import pytest
 
-from notemill.operators.pages import page_to_markdown, page_tree_markdown, prose
+from notemill.operators.pages import page_to_markdown, page_tree_markdown
 
 CASES = [
     ("<ul><li>a<ul><li>b<ol start=3><li>c</li><li>d</li></ol></li></ul></li><li>e</li></ul>", "- a\n    - b\n        3. c\n        4. d\n- e"),
@@ -25,19 +25,3 @@ def test_pages_as_columns(spark):
     df = spark.createDataFrame([(0, None), *[(i + 1, h) for i, (h, _) in enumerate(CASES)]], "i int, html string")
     got = {r.i: r.m for r in df.select("i", page_tree_markdown(df.html).alias("m")).collect()}
     assert got == {0: None, **{i + 1: m for i, (_, m) in enumerate(CASES)}}
-
-
-def test_outlines_as_prose(spark):
-    blocks = {
-        (0,): "Intro", (0, 0): "goes on", (0, 0, 0): "and on",
-        (1,): "# Part", (1, 0): "a", (1, 1): "b\nb2", (1, 1, 0): "c",
-        (2,): "[ ] task", (3,): "[x] done", (3, 0): "why",
-        (4,): None, (4, 0): "inner", (4, 1): "## Sub",
-        (5,): "Mixed", (5, 0): "## No list", (5, 1): "then",
-    }
-    rows = [("P", list(k), t) for k, t in blocks.items()] + [("Q", [0], ""), ("Q", [1], "only")]
-    df = spark.createDataFrame(rows, "page string, path array<int>, text string").repartition(3)
-    got = {r.page: r.markdown for r in prose(df).collect()}
-    assert got["P"].split("\n\n") == ["Intro", "goes on", "and on", "# Part", "- a\n- b\n  b2\n    - c", "- [ ] task\n- [x] done\n    - why", "inner", "## Sub", "Mixed", "## No list", "then"]
-    assert got["Q"] == "only"
-    assert prose(df.limit(0)).collect() == []
