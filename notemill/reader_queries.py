@@ -7,13 +7,15 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notemill.catalogue import query, table
+from notemill.functions.values import field_value
 from notemill.operators import links
-from notemill.sources import exports, files, tables
+from notemill.sources import exports, files, recorded, tables
 from notemill.staging import new_path
+from notemill.streaming import keyed
 
 
 def _written(rows: DataFrame, column: str, label: str, file: str | None = None) -> str:
@@ -165,3 +167,61 @@ def page_export_round_trip(spark, sf_dir):
     edges = exports.page_relations(found, "Customer")
     people = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("target"), F.concat(F.lit("Customers/"), "c_name").alias("path"))
     return edges.join(people, "target").join(found.select("id", F.col("created_time").cast("timestamp_ntz").alias("created")), "id").select("id", "target", "path", "created")
+
+
+@query(
+    """SELECT o_orderkey, o_totalprice AS price, o_orderstatus AS status, o_orderstatus = 'O' AS shown FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01'"""
+)
+def recorded_export(spark, sf_dir):
+    """Customers and orders as the tables of one JSON document; orders of some time are read from its ranges of bytes."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    record = lambda id_, time, **fields: F.to_json(F.struct(id_.alias("id"), time.alias("createdTime"), F.struct(*[v.alias(k) for k, v in fields.items()]).alias("fields")))
+    order = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
+    made = customers.select(F.lit(1).alias("part"), F.col("c_custkey").alias("n"), record(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.lit("2000-01-01"), Name=F.col("c_name"), Balance=F.col("c_acctbal")).alias("line"))
+    time = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    made = made.unionByName(orders.select(F.lit(3).alias("part"), F.col("o_orderkey").alias("n"), record(order, time, Status=F.col("o_orderstatus"), Price=F.col("o_totalprice"), Note=F.lit('a ] , "records": [ \\')).alias("line")))
+    made = made.unionByName(orders.where("o_orderstatus = 'O'").select(F.lit(5).alias("part"), F.col("o_orderkey").alias("n"), F.to_json(F.array(order)).alias("line")).withColumn("line", F.regexp_replace("line", r"^\[|\]$", "")))
+    around = ['{"tables": [{"id": "tC", "name": "Customers", "records": [', None, ']}, {"name": "Orders", "records": [', None, '], "id": "tO", "fields": []}], "viewRecords": {"open": [', None, '], "none": []}}']
+    first = Window.partitionBy("part").orderBy("n")
+    lines = made.withColumn("line", F.concat(F.when(F.row_number().over(first) > 1, ",").otherwise(""), "line"))
+    lines = lines.unionByName(spark.createDataFrame([(k, 0, text) for k, text in enumerate(around) if text], "part int, n long, line string"))
+    out = new_path(spark, "recorded")
+    lines.orderBy("part", "n").select("line").coalesce(1).write.text(out)
+    path = next(f for f in spark.read.format("binaryFile").load(out).select("path").toLocalIterator()).path
+    records = recorded.export_records(spark, path, only=["Price", "Status"], block=200_000).where("table_id = 'tO' AND created_time >= '1995-01-01'")
+    shown = recorded.view_records(spark, path, block=200_000).where("view_id = 'open'").select("record_id", F.lit(True).alias("shown"))
+    field = lambda name, kind: field_value(F.col("fields")[name], kind)
+    return records.join(shown, "record_id", "left").select(
+        F.substring("record_id", 2, 20).cast("long").alias("o_orderkey"), field("Price", "number").alias("price"), field("Status", "singleSelect").alias("status"), F.coalesce("shown", F.lit(False)).alias("shown")
+    )
+
+
+@query(
+    """WITH y AS (SELECT o_custkey AS k, year(o_orderdate) AS y, max(epoch(o_orderdate)) AS m FROM orders GROUP BY 1, 2),
+p AS (SELECT k, m, CASE WHEN row_number() OVER (PARTITION BY k ORDER BY y) = 1 THEN 'create' ELSE 'update' END AS disposition FROM y),
+late AS (SELECT k, CAST(min(m) AS DOUBLE) AS m, CASE WHEN min(m) = max(m) AND k % 5 <> 0 THEN 'unchanged' ELSE 'preserve' END AS disposition FROM y GROUP BY 1),
+log AS (SELECT k, disposition FROM p UNION ALL SELECT k, disposition FROM late)
+SELECT 'c' || l.k AS source_id, 'Customers/Note ' || l.k || '.md' AS path, CAST(count(*) FILTER (l.disposition = 'create') AS BIGINT) AS created, CAST(count(*) FILTER (l.disposition = 'update') AS BIGINT) AS updated,
+  CAST(count(*) FILTER (l.disposition = 'preserve') AS BIGINT) AS preserved, CAST(count(*) FILTER (l.disposition = 'unchanged') AS BIGINT) AS unchanged, max(n.m) AS mtime
+FROM log l JOIN (SELECT k, CAST(max(m) AS BIGINT) AS m FROM y GROUP BY 1) n ON l.k = n.k GROUP BY l.k"""
+)
+def keyed_reimports(spark, sf_dir):
+    """Orders as exports of a note per customer, a micro-batch for each year, then edits by users, then each customer's first year again."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", F.year("o_orderdate").alias("y"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("m"))
+    note = lambda rows, m, edited: rows.select(
+        F.lit("Customers").alias("folder"), F.concat(F.lit("Note "), F.col("o_custkey").cast("string")).alias("title"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source_id"),
+        m.alias("mtime"), F.when(F.lit(not edited), m.cast("string")).alias("content"), F.lit(edited).alias("edited"),
+    )
+    source, log, marks = (new_path(spark, x) for x in ("exports", "changes", "marks"))
+    years = sorted(r.y for r in orders.select("y").distinct().collect())
+    batches = [note(orders.where(F.col("y") == y), F.col("m"), False) for y in years]
+    ends = orders.groupBy("o_custkey", "y").agg(F.max("m").alias("m")).groupBy("o_custkey").agg(F.min("m").alias("first"), F.max("m").alias("last"))
+    batches += [note(ends.where("o_custkey % 5 = 0"), F.col("last") + 7, True), note(ends, F.col("first"), False)]
+    for batch in batches:  # the query ends with each, and goes on from its checkpoint
+        batch.write.mode("append").parquet(source)
+        keyed.start_reimport(spark.readStream.schema(keyed.INCOMING).parquet(source), log, marks).awaitTermination()
+    changes = spark.read.schema(keyed.CHANGES).parquet(log)
+    count = lambda what: F.count_if(F.col("disposition") == what)
+    kept = changes.groupBy("source_id", "path").agg(count("create").alias("created"), count("update").alias("updated"), count("preserve").alias("preserved"), count("unchanged").alias("unchanged"))
+    return kept.join(keyed.current_notes(changes).select("source_id", "mtime"), "source_id")
