@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,9 +81,36 @@ def unique_titles(notes: DataFrame, title: str = "title", path: str = "path") ->
 
 
 def replace_all(text: Column, pairs: Column) -> Column:
-    """Replace each ``from`` by its ``to``, longest first, so that no key is cut by one that it contains."""
-    longest = F.array_sort(pairs, lambda a, b: F.when(F.length(a["from"]) != F.length(b["from"]), F.length(b["from"]) - F.length(a["from"])).when(a["from"] < b["from"], -1).when(a["from"] > b["from"], 1).otherwise(0))
-    return F.aggregate(longest, text, lambda t, p: F.replace(t, p["from"], p["to"]))
+    """Replace each ``from`` by its ``to`` in one pass from the left: at each place the longest that fits.
+
+    What is put in is never searched again, so one key's text may hold another key. Of equal keys
+    the first pair counts. Time grows with the text and the keys, not with their product.
+    """
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series([_replaced(t, k) for t, k in zip(texts, keys)])
+
+    # Arrow hands over two lists more cheaply than a list of pairs.
+    return run(text, F.struct(F.transform(pairs, lambda p: p["from"]).alias("old"), F.transform(pairs, lambda p: p["to"]).alias("new")))
+
+
+def _replaced(text: str | None, keys: dict) -> str | None:
+    known, sizes = {}, {}
+    if text is None or keys is None or keys["old"] is None:
+        return text
+    for old, new in zip(keys["old"], keys["new"]):
+        if old and known.setdefault(old, new) is new:
+            sizes.setdefault(old[0], set()).add(len(old))
+    longest = {first: sorted(own, reverse=True) for first, own in sizes.items()}
+    out, begin, at = [], 0, 0
+    while at < len(text):
+        hit = next((n for n in longest.get(text[at], ()) if text[at : at + n] in known), 0)
+        if hit:
+            out += [text[begin:at], known[text[at : at + hit]] or ""]
+            begin = at + hit
+        at += hit or 1
+    return "".join([*out, text[begin:]])
 
 
 def rewrite_mentions(notes: DataFrame, targets: DataFrame, note: str, text: str, pattern: str, fallback: str = "Untitled") -> DataFrame:
@@ -90,13 +118,17 @@ def rewrite_mentions(notes: DataFrame, targets: DataFrame, note: str, text: str,
 
     ``targets`` has ``target`` and ``path``. Mentions of unknown targets become
     ``fallback`` with the id. One join on ids; texts without mentions stay out of it.
+    Mentions are rows with their place, so each is replaced where it stands, once,
+    and a link that reads like a mention stays.
     """
-    found = notes.select(note, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))).alias("from"))
-    found = found.withColumn("target", F.regexp_extract("from", pattern, 1)).join(targets.select("target", "path"), "target", "left")
+    which = [F.col(note).alias("_note"), F.xxhash64(text).alias("_text")]
+    found = notes.select(*which, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("_at", "_from")).distinct()
+    found = found.withColumn("target", F.regexp_extract("_from", pattern, 1)).join(targets.select("target", "path"), "target", "left")
     to = F.coalesce(wiki_link(F.col("path")), F.concat(F.lit(f"{fallback} "), F.col("target")))
-    pairs = found.groupBy(note).agg(F.collect_list(F.struct("from", to.alias("to"))).alias("_pairs"))
-    joined = notes.join(pairs, note, "left")
-    return joined.withColumn(text, F.when(F.col("_pairs").isNull(), F.col(text)).otherwise(replace_all(F.col(text), F.col("_pairs")))).select(*notes.columns)
+    links = found.groupBy("_note", "_text").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", to.alias("to")))), lambda x: x["to"]).alias("_links"))
+    joined = notes.join(links, (F.col(note) == F.col("_note")) & (F.xxhash64(text) == F.col("_text")), "left")
+    spliced = F.array_join(F.zip_with(F.split(text, pattern, -1), "_links", lambda between, link: F.concat(between, F.coalesce(link, F.lit("")))), "")
+    return joined.withColumn(text, F.when(F.col("_links").isNull(), F.col(text)).otherwise(spliced)).select(*notes.columns)
 
 
 def resolve_paths(links: DataFrame, files: DataFrame, link: str = "href", source_folder: str = "folder") -> DataFrame:

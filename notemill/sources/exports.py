@@ -15,8 +15,8 @@ _BASE = (
     "views:array<struct<id:string, name:string, type:string, visibleFieldIds:array<string>>>, records:array<struct<id:string, createdTime:string, fields:map<string,string>>>>>, "
     "viewRecords map<string,array<string>>"
 )
-#: View types that show records one by one.
-RECORD_VIEWS = ("grid", "gallery", "list", "kanban", "calendar", "gantt", "timeline", "form")
+#: Types of views that can be taken over; the others are drawn from more than their records.
+RECORD_VIEWS = ("grid", "gallery", "list")
 
 
 @dataclass

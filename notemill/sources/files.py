@@ -107,7 +107,7 @@ def mime_extensions(spark: SparkSession) -> DataFrame:
 def with_extension(files: DataFrame, mimes: DataFrame, mime: str = "mime") -> DataFrame:
     """Add ``extension`` from a content type such as ``text/html; charset=utf-8``; unknown types give null."""
     bare = F.lower(F.trim(F.substring_index(mime, ";", 1)))
-    return files.withColumn("_mime", bare).join(F.broadcast(mimes.withColumnRenamed("mime", "_mime")), "_mime", "left").drop("_mime")
+    return files.withColumn("_mime", bare).join(mimes.withColumnRenamed("mime", "_mime"), "_mime", "left").drop("_mime")
 
 
 def data_url(url: Column) -> Column:

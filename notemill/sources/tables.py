@@ -104,9 +104,10 @@ def outline_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 # --- XML notes -----------------------------------------------------------------
 
+# Elements of the export and their attributes.
 NOTE_XML = (
     "title string, content string, created string, updated string, tag array<string>, "
-    "`note-attributes` struct<`source-url`:string, source:string, `reminder-time`:string, `reminder-done-time`:string>, "
+    "`note-attributes` struct<`source-url`:string, source:string, `source-application`:string, `reminder-time`:string, `reminder-done-time`:string>, "
     "resource array<struct<data:string, mime:string, recognition:string, `resource-attributes`:struct<`file-name`:string, timestamp:string>>>, "
     "task array<struct<title:string, taskStatus:string, taskFlag:boolean, sortWeight:string, noteLevelID:string, taskGroupNoteLevelID:string, dueDate:string, reminder:struct<reminderDate:string>>>"
 )
@@ -119,10 +120,15 @@ def xml_notes(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("created", stamp("created")).withColumn("updated", stamp("updated"))
 
 
+# What marks a note as clipped from a web page, by attribute.
+CLIPS = {"source-application": "webclipper.evernote", "source": "web.clip7"}
+
+
 def without_clips(notes: DataFrame) -> DataFrame:
-    """Notes that were not clipped from a web page."""
-    source = F.coalesce("note-attributes.source", F.lit(""))
-    return notes.where(~(source.rlike("(?i)web.?clip") | F.coalesce(F.col("note-attributes.source-url").rlike("^https?:") & source.rlike("(?i)clip"), F.lit(False))))
+    """Notes that were not clipped from a web page: neither attribute has the clipper's value."""
+    for attribute, value in CLIPS.items():
+        notes = notes.where(~F.coalesce(F.col("note-attributes")[attribute] == value, F.lit(False)))
+    return notes
 
 
 # --- SQLite --------------------------------------------------------------------

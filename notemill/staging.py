@@ -64,9 +64,11 @@ class Scratch:
         self.frames = []
 
 
-def sized_broadcast(staged: DataFrame, most: int = 200_000) -> DataFrame:
-    """A staged table, to be broadcast if it has at most ``most`` rows; beyond that the join shuffles as usual."""
-    return F.broadcast(staged) if staged.count() <= most else staged
+def sized_broadcast(staged: DataFrame, most: int = 200_000, most_bytes: int = 32_000_000) -> DataFrame:
+    """A staged table, to be broadcast if it has at most ``most`` rows and, written as JSON, ``most_bytes``; beyond that the join shuffles as usual."""
+    rows = staged.limit(most + 1)  # a larger table is not measured whole
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    return F.broadcast(staged) if size.n <= most and (size.bytes or 0) <= most_bytes else staged
 
 
 def unstage(*frames: DataFrame) -> None:

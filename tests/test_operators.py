@@ -64,6 +64,20 @@ def test_longest_first_replacement(spark):
     assert df.select(links.replace_all(F.col("t"), F.col("p")).alias("x")).first().x == "1 2"
 
 
+def test_what_is_put_in_is_not_searched(spark):
+    pairs = [("longer-id", "PAGE:b"), ("b", "real"), ("b", "second"), ("", "empty"), ("lon", None)]
+    df = spark.createDataFrame([(1, "see longer-id and b, lonb", pairs), (2, None, pairs), (3, "b", None), (4, "", []), (5, "x" * 50_000 + "k999", [(f"k{k}", f"<k{k + 1}>") for k in range(10_000)])], "i int, t string, p array<struct<from:string,to:string>>")
+    got = {r.i: r.x for r in df.select("i", links.replace_all(F.col("t"), F.col("p")).alias("x")).collect()}
+    assert got == {1: "see PAGE:b and real, real", 2: None, 3: "b", 4: "", 5: "x" * 50_000 + "<k1000>"}
+
+
+def test_mentions_where_they_stand(spark):
+    notes = spark.createDataFrame([(1, "see [[PAGE:longer-id]] and [[PAGE:b]]"), (2, "[[PAGE:b]][[PAGE:?]]"), (3, "none"), (4, None), (2, "[[PAGE:b]][[PAGE:?]]"), (2, "other [[PAGE:b]]")], "note int, text string")
+    targets = spark.createDataFrame([("longer-id", "PAGE:b.md"), ("b", "real.md")], "target string, path string")
+    got = sorted((r.note, r.text or "") for r in links.rewrite_mentions(notes, targets, "note", "text", r"\[\[PAGE:([^\]]+)\]\]").collect())
+    assert got == [(1, "see [[PAGE:b]] and [[real]]"), (2, "[[real]]Untitled ?"), (2, "[[real]]Untitled ?"), (2, "other [[real]]"), (3, "none"), (4, "")]
+
+
 def test_runs_and_numbers(spark):
     runs = spark.createDataFrame([("g", 1, "b", "x"), ("g", 2, "b", "y"), ("g", 3, None, "z"), ("g", 4, None, None), ("g", 5, "b", "w")], "g string, o int, s string, t string")
     assert rows(ordering.merge_runs(runs, "g", ["o"], ["s"], "t"), "run", "t", "n") == [(1, "xy", 2), (2, "z", 2), (3, "w", 1)]
