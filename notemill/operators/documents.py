@@ -63,6 +63,40 @@ def page_markdown(blocks: DataFrame, page: str = "page_id", ordinal: str = "ordi
     return made.groupBy(page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), "_md"))), lambda x: x["_md"]), "").alias("markdown"))
 
 
+def nested_marks(runs: DataFrame, paragraph: str, ordinal: str, text: str, marks: dict[str, str]) -> DataFrame:
+    """``paragraph, markdown``: styled runs in order as text whose marks are well nested, and no more than needed.
+
+    ``marks``: columns that tell whether a run has a style, outermost first, with the mark to write. Where
+    styles change, those from the first changed one inward are closed, and those that go on or
+    begin are opened. White space stands outside of marks that begin or end beside it; a run of white space alone keeps the styles before it.
+    """
+    order = Window.partitionBy(paragraph).orderBy(ordinal)
+    own = F.coalesce(text, F.lit(""))
+    blank = F.trim(F.regexp_replace(own, r"\s", " ")) == ""
+    styles = F.array(*[F.coalesce(F.col(c), F.lit(False)) for c in marks])
+    rows = runs.select(paragraph, ordinal, own.alias("_text"), F.when(~blank, styles).alias("_styles"))
+    none = F.array(*[F.lit(False)] * len(marks))
+    # The styles of the last run that is not blank, up to each run and before it.
+    held = F.coalesce(F.last("_styles", ignorenulls=True).over(order), none)
+    rows = rows.withColumn("_now", held)
+    rows = rows.withColumn("_was", F.coalesce(F.lag("_now").over(order), none)).withColumn("_after", F.lead("_now").over(order).isNull())
+    signs = list(marks.values())
+    changed = F.array_position(F.transform(F.arrays_zip("_was", "_now"), lambda x: x["_was"] != x["_now"]), True)
+    inward = lambda held, k: (changed > 0) & (changed <= k + 1) & F.get(held, F.lit(k))
+    close = F.concat(*[F.when(inward(F.col("_was"), k), signs[k]).otherwise("") for k in reversed(range(len(signs)))])
+    opened = F.concat(*[F.when(inward(F.col("_now"), k), signs[k]).otherwise("") for k in range(len(signs))])
+    # White space at the end waits for the marks that close there; that of a blank run too.
+    lead = F.when(F.col("_styles").isNull(), "").otherwise(F.regexp_extract("_text", r"^(\s*)", 1))
+    tail = F.when(F.col("_styles").isNull(), F.col("_text")).otherwise(F.regexp_extract("_text", r"(\s*)$", 1))
+    core = F.regexp_replace("_text", r"^\s+|\s+$", "")
+    rows = rows.withColumns({"_tail": tail, "_lead": lead, "_core": core})
+    before = F.coalesce(F.lag("_tail").over(order), F.lit(""))
+    end = F.concat(*[F.when(F.get("_now", F.lit(k)), signs[k]).otherwise("") for k in reversed(range(len(signs)))])
+    piece = F.concat(close, before, F.col("_lead"), opened, F.col("_core"), F.when(F.col("_after"), F.concat(end, F.col("_tail"))).otherwise(""))
+    made = rows.select(paragraph, F.col(ordinal).alias("_o"), piece.alias("_piece"))
+    return made.groupBy(paragraph).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_piece"))), lambda x: x["_piece"]), "").alias("markdown"))
+
+
 def nearest_colour(rgb: Column, inks: dict[str, tuple[int, int, int]]) -> Column:
     """The name of the ink nearest to a ``RRGGBB`` colour by squared distance; ties to the first."""
     part = lambda i: F.conv(F.substring(rgb, 1 + 2 * i, 2), 16, 10).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from notemill import formula_queries, function_queries, reader_queries, rule_queries  # noqa: F401  (they register here as well)
+from notemill import formula_queries, function_queries, note_queries, reader_queries, rule_queries  # noqa: F401  (they register here as well)
 from notemill.catalogue import QUERIES, SQL, query, table  # noqa: F401
 from notemill.functions import formulas as fx
 from notemill.functions import text as tx

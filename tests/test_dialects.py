@@ -54,3 +54,25 @@ def test_to_do_holds_up_to_a_heading_of_its_level(spark):
     assert got["m", 0] == "- x**y**" and got["m", 1] == ""
     plain = {(r.note, r.ordinal): r.markdown for r in documents.sized_lines(df, todo=False).collect()}
     assert plain["n", 2] == "- ~~b~~"
+
+
+def test_marks_are_nested(spark):
+    rows = [
+        ("P", 1, "one ", True, False, None), ("P", 2, "two", True, True, None), ("P", 3, " ", False, False, None), ("P", 4, "three", False, True, None), ("P", 5, " four", False, False, False),
+        ("Q", 1, " all ", True, True, True), ("R", 1, "a", True, False, False), ("R", 2, "b", True, False, True), ("R", 3, "c", False, False, True), ("S", 1, " ", True, True, True), ("S", 2, None, True, False, False), ("T", 1, "x", False, False, False),
+    ]
+    df = spark.createDataFrame(rows, "p string, o int, t string, bold boolean, italic boolean, struck boolean")
+    got = {r.p: r.markdown for r in documents.nested_marks(df, "p", "o", "t", {"bold": "**", "italic": "*", "struck": "~~"}).collect()}
+    assert got == {"P": "**one *two*** *three* four", "Q": " ***~~all~~*** ", "R": "**a~~b~~**~~c~~", "S": " ", "T": "x"}
+
+
+def test_tag_queries():
+    import pytest
+
+    from notemill.operators.tag_queries import QueryError, parse, tags_of
+
+    assert parse("{{query: {and: [[A b]] {not: #c #[[d]]}} }}") == ("and", ("tag", "a b"), ("not", ("tag", "c"), ("tag", "d")))
+    assert tags_of(parse("{or: [[x]] {and: #y [[x]]}}")) == {"x", "y"}
+    for text in ("", "[[a]]", "{and: }", "{and: [[a]]", "{and: [[a]]} {or: [[b]]}", "{and: a}", "}", "{xor: [[a]]}"):
+        with pytest.raises(QueryError):
+            parse(text)
