@@ -8,7 +8,6 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +21,8 @@ from notemill.staging import Scratch, stage, unstage
 BANDS, ROWS = 32, 4
 #: Hashes compared before each look at the posterior, and the probability below which a pair is given up.
 BATCH, MISS = 16, 1e-6
-#: Sets that one task compares with each other; larger groups are dealt again.
-GROUP = 2_000
+#: Sets that one task compares with each other, and shingles in them all; larger groups are dealt again.
+GROUP, GROUP_SHINGLES = 2_000, 4_000_000
 #: Sets checked against one set in one go; those of a set with more partners are dealt out.
 PARTNERS = 256
 #: Bits at most of the map that tells scans which rows are wanted.
@@ -122,7 +121,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             keys = band_keys(_signatures(batch["sig"]))
             who = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch["node"].take(who)], names=["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch["node"].take(who), batch["n"].take(who)], names=["key", "node", "n"])
 
 
 def _rekeyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,23 +145,70 @@ def _pruned(pruner: Pruner):
     return run
 
 
-def _across(pruner: Pruner):
-    """Pairs within each group of rows (sorted by ``key``, ``x``, ``y``) that are not in one component; from two blocks, if ``x`` and ``y`` differ."""
-
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = rows.combine_chunks()
-        sig, n = _signatures(rows["sig"].combine_chunks()), rows["n"].to_numpy()
-        part = rows["component"].combine_chunks().dictionary_encode().indices.to_numpy()
-        block = rows["block"].to_numpy()
-        apart = rows["x"][0].as_py() != rows["y"][0].as_py()
-        for i in range(len(n) - 1):
-            j = i + 1 + np.flatnonzero((part[i + 1 :] != part[i]) & ((block[i + 1 :] != block[i]) | (not apart)))
+def _survivors(rows: pa.Table, pruner: Pruner, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a group, each with later ones of other parts (and blocks) whose signatures survive, where this is the first band that they share."""
+    sig, n, block = _signatures(rows["sig"].combine_chunks()), rows["n"].to_numpy(), rows["block"].to_numpy()
+    apart = rows["x"][0].as_py() != rows["y"][0].as_py()
+    here = np.flatnonzero(band_keys(sig[:1])[0].view(np.int64) == rows["key"][0].as_py())
+    bands = sig.reshape(-1, BANDS, ROWS)
+    for i in range(len(n) - 1):
+        other = part[i + 1 :] != part[i]
+        j = i + 1 + np.flatnonzero(other & (block[i + 1 :] != block[i]) if apart else other)
+        if len(j):
             j = j[pruner.survivors(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], np.broadcast_to(n[i], len(j)), n[j])]
-            if len(j):
-                nodes = rows["node"].combine_chunks()
-                one, other = nodes.take(pa.array(np.full(len(j), i))), nodes.take(pa.array(j))
-                less = pc.less(one, other)
-                yield pa.RecordBatch.from_arrays([pc.if_else(less, other, one), pc.if_else(less, one, other)], names=["a", "b"])
+        if len(j) and len(here):  # else the group is of two bands, and may repeat a pair
+            j = j[(bands[j] == bands[i]).all(2).argmax(1) == here[0]]
+        if len(j):
+            yield i, j
+
+
+def _parts(rows: pa.Table) -> np.ndarray:
+    return rows["component"].combine_chunks().dictionary_encode().indices.to_numpy().copy()
+
+
+def _meeting(pruner: Pruner):
+    """The rows of a group that have a surviving partner in it."""
+
+    def of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        there = np.zeros(len(rows), bool)
+        for i, j in _survivors(rows, pruner, _parts(rows)):
+            there[i] = there[j] = True
+        if there.any():
+            yield from rows.filter(pa.array(there)).combine_chunks().to_batches()
+
+    return _by_group(of)
+
+
+def _linking(pruner: Pruner, similarity: Fraction):
+    """``a, b``: similar sets of a group that connect its components; what is connected already is not compared."""
+
+    def of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows["set"]]
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        begin = np.concatenate([[0], np.cumsum(size)])
+        mark = np.zeros(int(ids.max()) + 1, bool)
+        part, one, other = _parts(rows), [], []
+        for i, js in _survivors(rows, pruner, part):
+            mark[ids[begin[i] : begin[i + 1]]] = True
+            for j in js.tolist():
+                if part[j] == part[i]:
+                    continue
+                both = int(mark[ids[begin[j] : begin[j + 1]]].sum())
+                if both * similarity.denominator >= (size[i] + size[j] - both) * similarity.numerator:
+                    one.append(i)
+                    other.append(j)
+                    part[part == part[j]] = part[i]
+            mark[ids[begin[i] : begin[i + 1]]] = False
+        if one:
+            nodes = rows["node"].combine_chunks()
+            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(one)), nodes.take(pa.array(other))], names=["a", "b"])
+
+    return _by_group(of)
+
+
+def _by_group(of):
+    """``of`` each group of rows, sorted by ``key``, ``x``, ``y``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, name = [], None
@@ -171,12 +217,12 @@ def _across(pruner: Pruner):
             cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(key)]) if len(key) else ():
                 if (key[a], x[a], y[a]) != name and held:
-                    yield from pairs(pa.Table.from_batches(held))
+                    yield from of(pa.Table.from_batches(held))
                     held = []
                 name = key[a], x[a], y[a]
                 held.append(batch.slice(a, b - a))
         if held:
-            yield from pairs(pa.Table.from_batches(held))
+            yield from of(pa.Table.from_batches(held))
 
     return run
 
@@ -228,52 +274,62 @@ class _Links:
         self.pruner, self.group, self.keep = Pruner(similarity, miss), group, Scratch()
 
     def candidates(self) -> DataFrame:
-        """``key, node, n`` of all bands that several sets share."""
-        keys = small_batches(self.nodes.select("node", "sig")).mapInArrow(tidy(_keyed), "key long, node binary")
-        shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        return self.keep(keys.join(shared, "key"), "bands")
+        """``key, node, n, met``: the bands that several sets share; ``met`` tells how often a set meets others."""
+        keys = small_batches(self.nodes.select("node", "sig", F.col("n_shingles").alias("n"))).mapInArrow(tidy(_keyed), "key long, node binary, n long")
+        shared = keys.groupBy("key").agg(F.count("*").alias("together")).where("together > 1")
+        # A set has BANDS keys at most: gathered and spread again, they need one shuffle less than a join.
+        own = keys.join(shared, "key").groupBy("node", "n").agg(F.collect_list("key").alias("keys"), F.sum("together").alias("met"))
+        return self.keep(own.select(F.explode("keys").alias("key"), "node", "n", "met"), "bands")
 
     def stars(self, bands: DataFrame) -> DataFrame:
         """``a, b``: in each band the set that meets most others (``a``), with each of the rest."""
-        met = bands.groupBy("node").agg(F.sum("n").alias("met"))
-        first = bands.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("first"))
+        first = bands.groupBy("key").agg(F.max(F.struct("met", "node")).alias("first"))
         return bands.join(first.select("key", F.col("first.node").alias("a")), "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
     def prune(self, pairs: DataFrame) -> DataFrame:
         side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidy(_pruned(self.pruner)), "a binary, b binary")
 
-    def across(self, bands: DataFrame, groups: DataFrame) -> DataFrame:
-        """Surviving pairs of sets that share a band, but no component yet."""
-        labelled = bands.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        labelled = self.keep(labelled, "labelled")
-        open_ = lambda rows: rows.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "size")
-        sig = self.nodes.select("node", "sig", F.col("n_shingles").alias("n"))
-        rows = self.keep(labelled.join(open_(labelled), "key").join(sig, "node").select("key", "node", "component", "sig", "n", "size"), "open")
+    def across(self, bands: DataFrame, links: DataFrame) -> DataFrame:
+        """``a, b``, staged: similar sets that share a band, but no set that both are known to be linked with, as many as connect these.
+
+        Signatures alone tell first which sets of a band have a partner there; only the sets of
+        those are sent to it, and compared.
+        """
+        both = links.select("b", "a").union(links.select("a", F.col("a")))
+        known = both.toDF("node", "to").groupBy("node").agg(F.min("to").alias("to"))
+        labelled = self.keep(bands.join(known, "node", "left").select("key", "node", "n", F.coalesce("to", "node").alias("component")), "labelled")
+        span = lambda rows: rows.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("words"), F.min("component").alias("low"), F.max("component").alias("high"))
+        mixed = lambda rows: span(rows).where("low <> high").select("key", "size", "words")
+        sized = labelled.join(mixed(labelled), "key").join(self.nodes.select("node", "sig"), "node")
+        sized = self.keep(sized.select("key", "node", "component", "sig", "n", "size", "words"), "open")
+        fits = (F.col("size") <= self.group) & (F.col("words") <= GROUP_SHINGLES)
         whole = "array(struct(0 AS x, 0 AS y, 0 AS block)) AS places"
-        small = rows.where(F.col("size") <= self.group).selectExpr("*", whole)
-        large = rows.where(F.col("size") > self.group).select("key", "node", "component", "sig", "n")
-        again = self.keep(small_batches(large).mapInArrow(tidy(_rekeyed), large.schema), "again")
-        again = again.join(open_(again), "key").select(*rows.columns)
-        # What is still large is cut into blocks by hash; each pair of blocks is a group.
-        blocks = F.ceil(F.col("size") / (self.group // 2)).cast("int")
-        block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, block).alias("x"), F.greatest(o, block).alias("y"), block.alias("block")))
-        rest = again.where(F.col("size") > self.group).withColumn("places", meets)
-        dealt = small.unionByName(again.where(F.col("size") <= self.group).selectExpr("*", whole)).unionByName(rest)
+        columns = ["key", "node", "component", "sig", "n", "places"]
+        dealt, large = sized.where(fits).selectExpr("*", whole).select(columns), sized.where(~fits).drop("size", "words")
+        if not large.isEmpty():
+            again = self.keep(small_batches(large).mapInArrow(tidy(_rekeyed), large.schema), "again")
+            again = again.join(mixed(again), "key")
+            # What is still large is cut into blocks by hash; each pair of blocks is a group.
+            blocks = F.ceil(F.greatest(F.col("size") / (self.group // 2), F.col("words") / (GROUP_SHINGLES // 2))).cast("int")
+            block = F.pmod(F.xxhash64("node"), blocks).cast("int")
+            meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, block).alias("x"), F.greatest(o, block).alias("y"), block.alias("block")))
+            dealt = dealt.unionByName(again.where(fits).selectExpr("*", whole).select(columns)).unionByName(again.where(~fits).withColumn("places", meets).select(columns))
         dealt = dealt.select("key", "node", "component", "sig", "n", F.explode("places").alias("p")).select("key", "p.x", "p.y", "p.block", "node", "component", "sig", "n")
-        dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-        return small_batches(dealt).mapInArrow(tidy(_across(self.pruner)), "a binary, b binary").distinct()
-
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole sets are similar, staged.
-
-        A map of bits, of bounded size, tells the scan which rows' sets are
-        wanted; others that share a bit are dropped by the join. A set with many
-        partners is sent to each part of them, so every task holds one set.
+        grouped = lambda df: small_batches(df.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y"))
+        meeting = self.keep(grouped(dealt).mapInArrow(tidy(_meeting(self.pruner)), dealt.schema), "meeting")
+        if meeting.isEmpty():
+            return meeting.select(F.col("node").alias("a"), F.col("node").alias("b"))
+        sets = self.sets(meeting.select("node"))
+        return self.keep(grouped(meeting.join(sets, "node")).mapInArrow(tidy(_linking(self.pruner, self.similarity)), "a binary, b binary"), "links")
+
+    def sets(self, ends: DataFrame) -> DataFrame:
+        """``node, set``, staged, of the nodes in ``ends``, from another scan.
+
+        A map of bits, of bounded size, tells the scan which rows are wanted;
+        others that share a bit are among the result.
         """
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = self.keep(ends.join(self.nodes.select("node", "row"), "node").select("row"), "wanted")
+        wanted = self.keep(ends.distinct().join(self.nodes.select("node", "row"), "node").select("row"), "wanted")
         n, bits = wanted.count(), 1 << 15
         while bits < MAP_BITS and bits < 16 * n:
             bits *= 2
@@ -284,7 +340,14 @@ class _Links:
         for r in parts.toLocalIterator():
             there[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
         sets = small_batches(self.rows.select("_row", "_text")).mapInArrow(tidy(_wanted(self.shingle, there)), "node binary, set binary")
-        sets = self.keep(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
+        return self.keep(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose whole sets are similar, staged.
+
+        A set with many partners is sent to each part of them, so every task holds one set.
+        """
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         count = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
         partners = pairs.join(count, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
         partners = partners.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "set")
@@ -298,15 +361,8 @@ def _components(rows: DataFrame, nodes: DataFrame, shingle: int, similarity: Fra
     """``node, component``, staged, of the sets that are linked with others."""
     steps = _Links(rows, nodes, shingle, similarity, miss, group)
     bands = steps.candidates()
-    tried = steps.keep(steps.prune(steps.keep(steps.stars(bands), "stars")), "pairs")
-    links = steps.verify(tried)
-    groups = stage(connected_components(links, "a", "b"), "groups")
-    both = F.struct(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    more = steps.across(bands, groups).select(both.alias("p")).join(tried.select(both.alias("p")), "p", "left_anti")
-    more = steps.keep(more.select(F.col("p.u").alias("a"), F.col("p.v").alias("b")), "pairs")
-    if not more.isEmpty():
-        unstage(groups)
-        groups = stage(connected_components(links.unionByName(steps.verify(more)), "a", "b"), "groups")
+    links = steps.verify(steps.keep(steps.prune(steps.keep(steps.stars(bands), "stars")), "pairs"))
+    groups = stage(connected_components(links.unionByName(steps.across(bands, links)), "a", "b"), "groups")
     steps.keep.clear()
     return groups
 
@@ -319,8 +375,8 @@ def near_duplicate_sets(
     Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased; a text of fewer words
     than ``shingle`` is one shingle, one without words has none and is linked with nothing. Equal
     sets are one class. MinHash bands bring classes together: first each with the class of its
-    band that meets most others; then, where a band still holds several components, classes of
-    different components with each other, large bands after they are dealt again by their other
+    band that meets most others; then, where a band holds classes not linked with one such class,
+    these with each other, large bands after they are dealt again by their other
     bands and, what stays large, by pairs of blocks. A pair's signatures are compared batch by
     batch until its posterior probability of reaching ``similarity`` falls below ``miss``;
     survivors are verified on their whole sets of 64-bit shingle hashes.
@@ -340,10 +396,9 @@ def near_duplicate_sets(
     nodes = keep(classes, "nodes")
     groups = _components(rows, nodes, shingle, exact, miss, group)
     keep.frames.append(groups)
-    linked = keep(nodes.select("node", "id").join(groups, "node").select("node", "id", "component"), "linked")
-    least = linked.groupBy("component").agg(F.min("id").alias("least"))
-    named = nodes.select("node", "id").join(linked.join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "id").alias("component_id"))
-    # Documents whose set is alone name themselves: only the others are joined.
+    labelled = keep(nodes.select("node", "id").join(groups, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component")), "labelled")
+    least = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = labelled.join(least, "component").select("node", "component_id")
     out = sketched.select("id", "n_shingles", "node").join(named, "node", "left")
     out = stage(out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id")), "near")
     keep.clear()
