@@ -23,13 +23,13 @@ _PLACE[LETTERS] = np.arange(LENGTH)
 #: Words, of at most so many letters, that the cells are fitted to; every word is then put into its cell.
 SAMPLE, SAMPLE_LETTERS = 50_000, 64
 #: Words that a cell should hold, and cells at most.
-CELL, CELLS = 1_000, 4096
+CELL, CELLS = 2_000, 4096
 #: Words of a cell, and words that search it, in one group; more are dealt to several groups.
-HELD, SEARCHED = 4_000, 40_000
+HELD, SEARCHED = 10_000, 60_000
 #: Words of a leaf within a group.
-LEAF = 12
-#: Letters compared at once.
-STEP = 1 << 21
+LEAF = 48
+#: Pairs looked at at once.
+STEP = 1 << 19
 #: Roles of a row in a group: the word is held; it searches for substitutions in another cell, for insertions, for substitutions in its own cell.
 HELD_HERE, SUBSTITUTED, INSERTED, AT_HOME = 0, 1, 2, 3
 
@@ -130,54 +130,73 @@ class KdTree:
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (point, node)
 
 
+def _halves(letters: np.ndarray, begin: np.ndarray, size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first half of ``length`` letters, and of as many as its second half has at the end, of words of ``size`` letters."""
+    first, last = np.zeros(len(begin), np.uint64), np.zeros(len(begin), np.uint64)
+    for k in range(length // 2):
+        first = first * np.uint64(0x100000001B3) + letters[begin + k]
+    for k in range(size - length + length // 2, size):
+        last = last * np.uint64(0x100000001B3) + letters[begin + k]
+    return first, last
+
+
+class _Length:
+    """The words of a group that have one length, in a k-d tree."""
+
+    def __init__(self, counts: np.ndarray, own: np.ndarray):
+        self.tree = KdTree(counts[own], LEAF, lengths=False)
+        self.sizes = np.fromiter(map(len, self.tree.members), np.int64, len(self.tree.members))
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.flat = own[np.concatenate(self.tree.members)]
+        self.halves: dict[int, tuple] = {}
+
+
 class Group:
-    """Some words, searched by length pair: each length has a k-d tree of its own."""
+    """Some words, searched by length pair."""
 
     def __init__(self, words: list[str]):
-        self.words = words
         self.letters, self.begin = _codes(words)
         counts = letter_counts(words)
-        self.trees: dict[int, tuple[np.ndarray, KdTree]] = {}
-        for length in np.unique(counts[:, LENGTH]).tolist():
-            own = np.flatnonzero(counts[:, LENGTH] == length)
-            self.trees[length] = own, KdTree(counts[own], LEAF, lengths=False)
+        self.lengths = {n: _Length(counts, np.flatnonzero(counts[:, LENGTH] == n)) for n in np.unique(counts[:, LENGTH]).tolist()}
 
     def near(self, words: list[str], mode: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of places in ``words`` and in the group: the second word is made from the first by one edit."""
         letters, begin = _codes(words)
         counts = letter_counts(words)
-        lengths = counts[:, LENGTH]
-        for length in np.unique(lengths).tolist():
-            if length + (mode == INSERTED) not in self.trees:
+        for length in np.unique(counts[:, LENGTH]).tolist():
+            size = length + (mode == INSERTED)
+            held = self.lengths.get(size)
+            if held is None:
                 continue
-            own, tree = self.trees[length + (mode == INSERTED)]
-            asked = np.flatnonzero(lengths == length)
-            point, leaf = tree.search(counts[asked], mode)
-            sizes = np.fromiter(map(len, tree.members), np.int64, len(tree.members))
-            first = np.concatenate([[0], np.cumsum(sizes)])
-            flat = np.concatenate(tree.members)
-            ends = np.cumsum(sizes[leaf])
-            total, step = int(ends[-1]) if len(ends) else 0, max(1, STEP // (length + 1))
-            for low in range(0, total, step):
-                k = np.arange(low, min(low + step, total))
-                pair = np.searchsorted(ends, k, "right")
-                a, b = asked[point[pair]], own[flat[first[leaf[pair]] + k - (ends[pair] - sizes[leaf[pair]])]]
+            if mode not in held.halves:
+                held.halves[mode] = _halves(self.letters, self.begin[held.flat], size, length)
+            asked = np.flatnonzero(counts[:, LENGTH] == length)
+            first, last = _halves(letters, begin[asked], length, length)
+            point, leaf = held.tree.search(counts[asked], mode)
+            step = max(1, STEP // max(LEAF, int(held.sizes.max())))
+            for low in range(0, len(point), step):
+                own, size_of = point[low : low + step], held.sizes[leaf[low : low + step]]
+                shift = held.first[leaf[low : low + step]] - (np.cumsum(size_of) - size_of)
+                a, at = np.repeat(own, size_of), np.repeat(shift, size_of) + np.arange(int(size_of.sum()))
+                # One edit leaves one half as it is; what agrees in one is compared letter by letter.
+                half = np.flatnonzero((first[a] == held.halves[mode][0][at]) | (last[a] == held.halves[mode][1][at]))
+                a, b = asked[a[half]], held.flat[at[half]]
                 hit = self._one_edit(letters, begin[a], b, length, mode)
                 yield a[hit], b[hit]
 
     def _one_edit(self, letters: np.ndarray, begin: np.ndarray, b: np.ndarray, length: int, mode: int) -> np.ndarray:
         """Which words of ``length`` letters that begin there become the group's words ``b`` by one edit."""
-        differ = np.zeros(len(b), np.int64)  # substitution: places; insertion: 1 once the rest is behind by one
-        hit = np.ones(len(b), bool)
         other = self.begin[b]
+        if mode == SUBSTITUTED:
+            differ = np.zeros(len(b), np.int64)
+            for k in range(length):
+                differ += letters[begin + k] != self.letters[other + k]
+            return differ == 1
+        behind, hit = np.zeros(len(b), bool), np.ones(len(b), bool)  # behind: the added letter is passed
         for k in range(length):
-            x = letters[begin + k]
-            if mode == SUBSTITUTED:
-                differ += x != self.letters[other + k]
-            else:
-                differ |= x != self.letters[other + k]
-                hit &= (differ == 0) | (x == self.letters[other + k + 1])
-        return differ == 1 if mode == SUBSTITUTED else hit
+            behind |= letters[begin + k] != self.letters[other + k]
+            hit &= ~behind | (letters[begin + k] == self.letters[other + k + 1])
+        return hit
 
 
 def letter_runs(text_col: str = "text", min_letters: int = 1) -> Column:
