@@ -238,3 +238,18 @@ def nested_marks(spark, sf_dir):
     """The orders of a customer as runs of one paragraph, some bold, some italic."""
     runs = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", (F.col("o_orderkey") % 3 > 0).alias("bold"), (F.col("o_orderkey") % 2 == 0).alias("italic"))
     return documents.nested_marks(runs, "o_custkey", "o_orderkey", "o_orderpriority", {"bold": "**", "italic": "*"})
+
+
+@query(
+    """WITH t AS (SELECT 'r' || r_regionkey AS id, lower(r_name) AS a, '' AS b, '' AS c FROM region UNION ALL SELECT 'n' || n_nationkey, lower(r_name), lower(n_name), '' FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'c' || c_custkey, lower(r_name), lower(n_name), lower(c_name) FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT id, row_number() OVER (ORDER BY a, b, c) AS place FROM t"""
+)
+def siblings_in_order(spark, sf_dir):
+    """Regions, nations and customers as a tree, titles of mixed case."""
+    mixed = lambda name, key: F.when(F.col(key) % 2 == 0, F.lower(name)).otherwise(F.upper(name)).alias("title")
+    part = lambda t, kind, key, up, name: table(spark, sf_dir, t).select(F.concat(F.lit(kind), F.col(key).cast("string")).alias("id"), up.alias("parent_id"), mixed(name, key))
+    nodes = part("region", "r", "r_regionkey", F.lit(None).cast("string"), "r_name")
+    nodes = nodes.unionByName(part("nation", "n", "n_nationkey", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), "n_name"))
+    nodes = nodes.unionByName(part("customer", "c", "c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), "c_name"))
+    return trees.in_order(nodes).select("id", "place")

@@ -216,3 +216,14 @@ def test_first_imports_and_repeated_rows(spark):
         spark.createDataFrame([("f/x.md",), ("g/y.md",), ("x.md",)], "path string"),
     )
     assert {r.n: r.path for r in found.collect()} == {1: "f/x.md", 2: "f/x.md", 3: "g/y.md", 4: None}
+
+
+def test_siblings_by_a_readers_order(spark):
+    rows = [(1, None, "zebra"), (2, None, "Äpfel"), (3, None, "apple"), (4, 3, "éclair"), (5, 3, "Eclair"), (6, 3, "echo"), (7, 5, "b"), (8, 5, "B"), (9, 99, "apple"), (10, 3, "ECLAIR"), (11, 1, None), (12, 8, "x")]
+    df = spark.createDataFrame(rows, "id int, parent_id int, title string").repartition(3)
+    got = [r.id for r in trees.in_order(df).orderBy("place").collect()]
+    # Of the children of 3 echo, then eclair by accent and case; the roots are Äpfel, apple twice by id, zebra.
+    assert got == [2, 3, 6, 5, 7, 8, 12, 10, 4, 9, 1, 11]
+    assert trees.in_order(df.limit(0)).collect() == []
+    deep = spark.range(300).selectExpr("id", "CASE WHEN id > 0 THEN id - 1 END AS parent_id", "'t' AS title")
+    assert [r.place for r in trees.in_order(deep).orderBy("id").collect()] == list(range(1, 301))
