@@ -546,23 +546,41 @@ def csv_round_trip(spark, sf_dir):
     return tables.read_csv(spark, out)
 
 
-@query("SELECT 'csv' AS importer, CAST(3 AS BIGINT) AS taken, CAST(1 AS BIGINT) AS claims UNION ALL SELECT 'archive', 2, 1 UNION ALL SELECT 'keep', 2, 2 UNION ALL SELECT 'outliner', 2, 2 UNION ALL SELECT 'bundle', 2, 3")
+_ENDINGS = ["csv", "zip", "json", "md", "enex", "htm", "xyz"]
+
+
+@query(
+    """WITH f AS (SELECT ['csv', 'zip', 'json', 'md', 'enex', 'htm', 'xyz'][o_custkey % 7 + 1] AS e, count(*) AS n FROM orders GROUP BY 1),
+c(importer, e) AS (VALUES ('csv', 'csv'), ('keep', 'zip'), ('keep', 'json'), ('outliner', 'zip'), ('outliner', 'json'), ('xml-notes', 'enex'), ('html', 'html'), ('html', 'htm'), ('markdown', 'md'), ('markdown', 'markdown'), ('markdown', 'txt'),
+  ('bundle', 'textbundle'), ('bundle', 'textpack'), ('bundle', 'zip'), ('archive', 'zip'), ('sqlite', 'sqlite'), ('sqlite', 'db')),
+k AS (SELECT importer, count(*) AS claims FROM c GROUP BY 1) SELECT importer, CAST(sum(n) AS BIGINT) AS taken, claims FROM c JOIN f USING (e) JOIN k USING (importer) GROUP BY importer, claims"""
+)
 def importer_match(spark, sf_dir):
-    dropped = spark.createDataFrame([(e,) for e in ["csv", "csv", "csv", "zip", "zip", "xyz"]], "extension string")
-    return grouping.importer_ranks(dropped, registry.claims(spark))
+    """A dropped file for every order, of endings that some importers claim and one that none does."""
+    ending = F.get(F.array(*map(F.lit, _ENDINGS)), (F.col("o_custkey") % len(_ENDINGS)).cast("int"))
+    return grouping.importer_ranks(table(spark, sf_dir, "orders").select(ending.alias("extension")), registry.claims(spark))
+
+
+#: Heads of files, and what they are.
+_HEADS = [
+    ("89504E470D0A", "png"), ("FFD8FFE0", "jpg"), ("52494646000000005745425000", "webp"), ("5249464600000000574156450000", "wav"), ("0000001866747970686569630000", "heic"), ("0000001866747970686569730000", "heic"),
+    ("000000186674797061766966", "avif"), ("00000018667479706176696F", "avif"), ("0000001466747970717420200000", "mov"), ("000000186674797069736F6D", "mp4"), ("504B030400", "zip"), ("474946383761", "gif"), ("00", None), ("", None),
+]
 
 
-@query("SELECT * FROM (VALUES ('89504E470D0A', 'png'), ('FFD8FFE0', 'jpg'), ('52494646000000005745425000', 'webp'), ('0000001866747970686569630000', 'heic'), ('504B030400', 'zip'), ('00', NULL)) AS t(head, extension)")
+@query("SELECT event_id, [" + ", ".join(f"'{kind}'" if kind else "NULL" for _, kind in _HEADS) + f"][event_id % {len(_HEADS)} + 1] AS extension FROM events")
 def filetype_magic(spark, sf_dir):
-    heads = ["89504E470D0A", "FFD8FFE0", "52494646000000005745425000", "0000001866747970686569630000", "504B030400", "00"]
-    rows = spark.createDataFrame([(h,) for h in heads], "head string")
-    return rows.select("head", tx.file_type(F.unhex("head")).alias("extension"))
+    """Files that begin like those of known formats and hold an event's properties after that."""
+    head = F.get(F.array(*[F.lit(h) for h, _ in _HEADS]), (F.col("event_id") % len(_HEADS)).cast("int"))
+    content = F.unhex(F.concat(head, F.when(head == "", "").otherwise(F.hex(F.encode("props", "UTF-8")))))
+    return table(spark, sf_dir, "events").select("event_id", tx.file_type(content).alias("extension"))
 
 
-@query("SELECT * FROM (VALUES ('image/png', 'png'), ('Text/HTML; charset=utf-8', 'html'), ('no/such', NULL)) AS t(mime, extension)")
+@query("SELECT event_id, ['png', 'html', NULL, 'json', NULL][event_id % 5 + 1] AS extension FROM events")
 def mime_join(spark, sf_dir):
-    rows = spark.createDataFrame([("image/png",), ("Text/HTML; charset=utf-8",), ("no/such",)], "mime string")
-    return files.with_extension(rows, files.mime_extensions(spark))
+    types = F.array(F.lit("image/png"), F.lit("Text/HTML; charset=utf-8"), F.lit("no/such"), F.lit(" application/json "), F.lit(None).cast("string"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.get(types, (F.col("event_id") % 5).cast("int")).alias("mime"))
+    return files.with_extension(rows, files.mime_extensions(spark)).select("event_id", "extension")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
