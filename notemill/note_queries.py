@@ -9,6 +9,7 @@ from notemill.functions import text as tx
 from notemill.functions.rollups import rollup
 from notemill.operators import documents, grouping, links, notes, trees
 from notemill.operators import tag_queries as tagged
+from notemill.operators.claims import in_arrival_order
 from notemill.plans import upsert, views
 from notemill.sources import exports
 from notemill.staging import new_path
@@ -253,3 +254,14 @@ def siblings_in_order(spark, sf_dir):
     nodes = nodes.unionByName(part("nation", "n", "n_nationkey", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), "n_name"))
     nodes = nodes.unionByName(part("customer", "c", "c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), "c_name"))
     return trees.in_order(nodes).select("id", "place")
+
+
+@query(
+    """WITH r AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_brand, lower(p_name) ORDER BY p_partkey) - 1 AS j FROM part)
+SELECT p_partkey, p_name || CASE j WHEN 0 THEN '' WHEN 1 THEN ' 2' ELSE ' ' || (j + 2) END AS given FROM r"""
+)
+def names_in_arrival_order(spark, sf_dir):
+    """Parts as notes of a folder per brand, where the first and the third number of every name are taken."""
+    claims = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("folder"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ordinal"))
+    taken = claims.select("folder", F.explode(F.array(F.concat("name", F.lit(" 1")), F.concat(F.upper("name"), F.lit(" 3")))).alias("name")).distinct()
+    return in_arrival_order(claims, taken).select("p_partkey", "given")
