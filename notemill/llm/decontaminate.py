@@ -15,10 +15,18 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from notemill.llm.workers import small_batches, tidy
 
-#: Words of a seed.
-SEED_WORDS = 3
-#: Share of the score of a perfect copy from which an alignment counts.
-MIN_SCORE = 0.5
+#: Words of a seed. An alignment of half a perfect score leaves pairs of words of any item as they are.
+SEED_WORDS = 2
+#: Documents up to which an n-gram is rare for any item: so few may all be copies, and tell nothing about how common it is.
+ALWAYS_RARE = 50
+#: Items of fewer words count only where a whole line is equal to them.
+LINE_WORDS = 3
+#: Items of so many words need two seeds at different places near each other; shorter ones need one.
+TWO_SEEDS = 9
+#: Items of fewer words than this count from one substituted word, those under ``EXACT_WORDS`` without any.
+ONE_EDIT_WORDS, EXACT_WORDS = 8, 5
+#: Share of the score of a perfect copy from which an alignment counts; of items under ``FEW_WORDS`` words half counts.
+MIN_SCORE, FEW_WORDS = 0.4, 20
 #: Text of the benchmark, in bytes, that is sent to tasks at once; a larger one is handled in so many blocks.
 BLOCK_BYTES = 8_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -36,11 +44,12 @@ class Seeds:
     def __init__(self, items: list[tuple], n: int = SEED_WORDS):
         self.n = n
         split = [(item, words(text)) for item, text in items]
-        self.items = [(item, ws) for item, ws in split if len(ws) >= n]
-        #: Items of fewer words than a seed, by their words: a whole line must be equal.
+        least = max(n, LINE_WORDS)
+        self.items = [(item, ws) for item, ws in split if len(ws) >= least]
+        #: Shorter items by their words.
         self.short: dict[tuple, list] = {}
         for item, ws in split:
-            if 0 < len(ws) < n:
+            if 0 < len(ws) < least:
                 self.short.setdefault(tuple(ws), []).append(item)
         vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in self.items for w in ws}))}
         self.code = vocabulary.get
@@ -82,11 +91,12 @@ class Seeds:
         return at[found], k[found]
 
     def rare(self, frequency: np.ndarray) -> np.ndarray:
-        """Which n-grams seed: those no more frequent than the median of an item that has them, so at least half of every item's."""
+        """Which n-grams seed: of those that the corpus has, the ones no more frequent than the median of an item, or than ALWAYS_RARE; at least half of every item's."""
         out = np.zeros(len(self.keys), bool)
         for at in self.by_item:
-            if len(at):
-                out[at[frequency[at] <= np.median(frequency[at])]] = True
+            there = at[frequency[at] > 0]
+            if len(there):
+                out[there[frequency[there] <= max(ALWAYS_RARE, np.median(frequency[there]))]] = True
         return out
 
 
@@ -116,11 +126,22 @@ def align(text: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), end - length, end
 
 
-def _clusters(place: np.ndarray, reach: int) -> Iterator[tuple[int, int]]:
-    place = np.unique(place)
-    cuts = np.flatnonzero(np.diff(place) > reach) + 1
-    for part in np.split(place, cuts):
-        yield int(part[0]), int(part[-1])
+def least_score(size: int, min_score: float) -> float:
+    """The score that a copy of an item of ``size`` words needs."""
+    if size < EXACT_WORDS:
+        return 1.0
+    if size < ONE_EDIT_WORDS:
+        return max(min_score, 1 - (MATCH - MISMATCH) / (MATCH * size))
+    return max(min_score, 0.5) if size < FEW_WORDS else min_score
+
+
+def _clusters(begin: np.ndarray, place: np.ndarray, reach: int, need: int) -> Iterator[tuple[int, int]]:
+    """Ranges of places where an item seems to begin, no further apart than ``reach``, told by seeds at ``need`` places of the item or more."""
+    order = np.argsort(begin, kind="stable")
+    begin, place = begin[order], place[order]
+    for part in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(begin) > reach) + 1):
+        if need < 2 or place[part].min() != place[part].max():
+            yield int(begin[part[0]]), int(begin[part[-1]])
 
 
 def _frequencies(seeds: Seeds, text_col: str):
@@ -148,7 +169,7 @@ def _matcher(seeds: Seeds, rare: np.ndarray, min_score: float):
         at = 0
         for line in text.split("\n"):
             ws = words(line)
-            if 0 < len(ws) < seeds.n:
+            if ws:
                 for item in seeds.short.get(tuple(ws), ()):
                     yield item, at, at + len(ws), 1.0
             at += len(ws)
@@ -164,17 +185,17 @@ def _matcher(seeds: Seeds, rare: np.ndarray, min_score: float):
             return
         n = seeds.first[gram + 1] - seeds.first[gram]
         pick = np.repeat(seeds.first[gram] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item, begin = owner_item[pick], np.repeat(at, n) - owner_place[pick]
+        item, place = owner_item[pick], owner_place[pick]
         order = np.argsort(item, kind="stable")
-        item, begin = item[order], begin[order]
+        item, place, begin = item[order], place[order], (np.repeat(at, n) - place)[order]
         for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
             k = int(item[part[0]])
             size = len(seeds.coded[k])
             slack = size // 2 + seeds.n
-            for low, high in _clusters(begin[part], size):
+            for low, high in _clusters(begin[part], place[part], size, 2 if size >= TWO_SEEDS else 1):
                 a, b = max(0, low - slack), min(len(coded), high + size + slack)
                 score, start, end = scored(coded[a:b].tobytes(), k)
-                if score >= min_score:
+                if score >= least_score(size, min_score):
                     yield seeds.items[k][0], a + start, a + end, score
 
     return found
@@ -224,9 +245,9 @@ def contaminated(
 ) -> DataFrame:
     """Copies of test items in documents, edited ones included.
 
-    The benchmark's n-grams are counted over all documents. Those that are rare
-    for an item seed it: a passage around the places where a document has such
-    an n-gram is aligned with the item by Smith-Waterman, and counts from
+    The benchmark's n-grams are counted over all documents. Of those that occur,
+    the rare ones of an item seed it: a passage around places where a document has
+    two of them (one, of items under ``TWO_SEEDS`` words) is aligned with the item by Smith-Waterman, and counts from
     ``min_score`` of a perfect copy's score. The seeds join to the documents
     inside the scans (two of them: counts, then alignments), so no text is
     shuffled and a passage that very many documents share makes no hot key. A
@@ -235,8 +256,9 @@ def contaminated(
 
     Returns a row per copy: ``id_col, item_col, start_word, end_word, score``
     (words of ``words()``; copies of one item nearer than its length count once).
-    Items under ``seed_words`` words have a copy where a whole line is equal to
-    them. Null and empty texts and items have no copies. Repeated rows give
+    Items under ``LINE_WORDS`` words have a copy where a whole line is equal to
+    them, those under ``EXACT_WORDS`` where all their words stand, those under
+    ``ONE_EDIT_WORDS`` where at most one is another. Null and empty texts and items have no copies. Repeated rows give
     repeated results; an empty table gives an empty one; other columns are ignored.
     """
     names = [id_col, item_col, "start_word", "end_word", "score"]
