@@ -72,7 +72,9 @@ def format_turns(
     Null roles and texts count as empty. Turns order by ``turn``, nulls first,
     ties by role, then by the SHA-256 of the text; repeated rows stay. Rows with a null conversation
     are one conversation. Encoding needs no grouping, and turns are streamed,
-    never gathered, so a very long conversation costs no memory.
+    never gathered, so a very long conversation costs no memory; one very long
+    text is encoded in one piece. An empty table gives an empty one; other
+    columns, whatever their names, are ignored.
     """
     path = tokenizer or default_tokenizer()
     kind = turns.schema[conv_col].dataType
@@ -131,7 +133,10 @@ class _Reader:
 
 
 def read_back(formatted: DataFrame, template: ChatTemplate = ChatTemplate(), tokenizer: str | None = None) -> DataFrame:
-    """Decode what ``format_turns`` laid out: per conversation its turns' and its loss text's digests and sizes."""
+    """Decode what ``format_turns`` laid out: per conversation its turns' and its loss text's digests and sizes.
+
+    Turns stream by, so a long conversation costs no memory; the null conversation is one, an empty table gives an empty one.
+    """
     path = tokenizer or default_tokenizer()
     schema = T.StructType([
         formatted.schema["conv_id"], T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()),

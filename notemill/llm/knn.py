@@ -211,7 +211,8 @@ def top_k(
     id can be in an answer, behind others of its score; a query without one has no
     answer. Repeated queries are answered once, repeated data rows are candidates each.
 
-    Returns ``query_id, rank, id, score``. Empty tables give an empty result.
+    Returns ``query_id, rank, id, score``. Empty tables give an empty result; other
+    columns are ignored. Scores are 64-bit: the scaled products of one pair must fit.
     """
     want = k + 1
     data = quantised(data, id_col, vec_col, scale)

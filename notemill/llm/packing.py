@@ -132,6 +132,7 @@ def pack_documents(
     One row per piece: the columns of ``token_pieces`` plus ``sequence_id`` and
     ``offset``; the offsets of a sequence have no gaps. Null and empty texts are
     one end token; repeated rows are packed one by one; an empty table gives an
-    empty one; other columns are ignored.
+    empty one; other columns are ignored. A very long text is cut into full
+    sequences, of which only the first piece may be shorter.
     """
     return pack(stage(token_pieces(docs, id_col, text_col, capacity, tokenizer, with_ids=with_ids), "pieces"), id_col, capacity)

@@ -11,6 +11,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents`` in 40 shards of nearly equal bytes; null texts weigh 16 bytes, an empty table gives no rows."""
     from notemill.llm.sharding import shard_documents
 
     out = shard_documents(_table(spark, sf_dir, "documents"), 40)
@@ -18,18 +19,21 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of ``benchmark`` items in ``documents``, edited ones too: a row per document, item and span; none for null or empty texts."""
     from notemill.llm.decontaminate import contaminated
 
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of ``documents`` that stand in several places: the place that stays and those that can go."""
     from notemill.llm.substring_dedup import duplicate_spans
 
     return duplicate_spans(_table(spark, sf_dir, "documents")).drop("th")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each text of ``documents``, learnt from three in four of them; ``und`` without a letter."""
     from notemill.llm.langid import held_out, identify, language_samples
 
     docs = _table(spark, sf_dir, "documents")
@@ -38,6 +42,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from ``conversations``, formatted, and from one conversation that spells the template's marks."""
     from notemill.llm.chat import format_turns, read_back
 
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -47,6 +52,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of the texts of ``documents`` under a model of six in seven of them; an empty text is its end token."""
     from notemill.llm.langid import held_out
     from notemill.llm.ngram_lm import score, train
 
@@ -57,6 +63,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of each text of ``documents`` and the smallest id that it is linked with."""
     from notemill.llm.near_dup import near_duplicates
 
     out = near_duplicates(_table(spark, sf_dir, "documents"))
@@ -64,6 +71,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the tokenized ``documents`` and their places in sequences of at most 2,048 tokens."""
     from notemill.llm.packing import pack_documents
 
     out = pack_documents(_table(spark, sf_dir, "documents"))
@@ -71,12 +79,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that the texts of ``documents`` state, with the sentences that tell."""
     from notemill.llm.licences import licence_scan
 
     return licence_scan(_table(spark, sf_dir, "documents"))
 
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For one ``embeddings`` row in a hundred its ten rows of highest inner product."""
     from notemill.llm.knn import top_k
 
     vectors = _table(spark, sf_dir, "embeddings")

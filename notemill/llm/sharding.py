@@ -65,7 +65,8 @@ def shard_documents(
 
     Returns ``id_col, size, text_crc32, shard, slot``; slots run from 0 without
     gaps. Fewer groups than shards leave shards empty. Repeated rows get a slot
-    each; an empty table gives an empty one; other columns are ignored.
+    each; an empty table gives an empty one; other columns are ignored. A text
+    larger than an even share fills a shard by itself.
     """
     text = F.col(text_col)
     rows = docs.select(
