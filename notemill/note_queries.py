@@ -265,3 +265,16 @@ def names_in_arrival_order(spark, sf_dir):
     claims = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("folder"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ordinal"))
     taken = claims.select("folder", F.explode(F.array(F.concat("name", F.lit(" 1")), F.concat(F.upper("name"), F.lit(" 3")))).alias("name")).distinct()
     return in_arrival_order(claims, taken).select("p_partkey", "given")
+
+
+@query(
+    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '---' || chr(10) || 'a: 1' || chr(10) || 'tags: "$' || c_name || '"' || chr(10) || 'b: 2' || chr(10) || '---' || chr(10) || 'body' WHEN 1 THEN '---' || chr(10) || 'a: 1' || chr(10) || 'tags: "$' || c_name || '"' || chr(10) || '---' || chr(10) || 'body'
+  WHEN 2 THEN '---' || chr(10) || 'a: 1' || chr(10) || 'b: 2' || chr(10) || '---' || chr(10) || 'body' ELSE '---' || chr(10) || 'tags: "$' || c_name || '"' || chr(10) || '---' || chr(10) || 'tags: in the body' END AS note FROM customer"""
+)
+def property_set(spark, sf_dir):
+    """A property replaced with its list, added, taken away, and set in a note without front matter."""
+    kind = F.col("c_custkey") % 4
+    listed = F.lit("---\na: 1\ntags:\n  - x\n  - y\nb: 2\n---\nbody")
+    text = F.when(kind.isin(0, 2), listed).when(kind == 1, F.lit("---\na: 1\n---\nbody")).otherwise(F.lit("tags: in the body"))
+    value = F.when(kind != 2, F.concat(F.lit("$"), "c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.with_property(text, "tags", value).alias("note"))
