@@ -278,3 +278,13 @@ def property_set(spark, sf_dir):
     text = F.when(kind.isin(0, 2), listed).when(kind == 1, F.lit("---\na: 1\n---\nbody")).otherwise(F.lit("tags: in the body"))
     value = F.when(kind != 2, F.concat(F.lit("$"), "c_name"))
     return table(spark, sf_dir, "customer").select("c_custkey", tx.with_property(text, "tags", value).alias("note"))
+
+
+@query(
+    """SELECT c_custkey, 'x ![[' || CASE c_custkey % 3 WHEN 0 THEN 'Files $' || c_custkey || '/' ELSE '' END || c_name || ' a.png]] y ![[' || CASE c_custkey % 3 WHEN 0 THEN 'Files $' || c_custkey || '/' ELSE '' END || '$1.pdf]] ![](other/b.png) ![t](assets/c.png)' AS text FROM customer"""
+)
+def asset_embeds(spark, sf_dir):
+    """Links of a bundle's text to its assets, put into a folder whose name looks like a pattern, or into the root."""
+    folder = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Files $"), F.col("c_custkey").cast("string"))).when(F.col("c_custkey") % 3 == 1, "/")
+    text = F.concat(F.lit("x ![](assets/"), "c_name", F.lit(" a.png) y ![](assets/$1.pdf) ![](other/b.png) ![t](assets/c.png)"))
+    return table(spark, sf_dir, "customer").select("c_custkey", exports.asset_embeds(text, folder).alias("text"))

@@ -97,7 +97,9 @@ def bundle_round_trip(spark, sf_dir):
 )
 def xml_round_trip(spark, sf_dir):
     escaped = F.replace(F.replace(F.concat_ws("", "o_orderstatus", F.lit(" & <"), "o_orderpriority", F.lit(">")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    clip = F.when(F.col("o_orderkey") % 4 == 0, "<note-attributes><source>web.clip</source></note-attributes>").otherwise("")
+    # Both marks of a clip, and a source that only sounds like one.
+    marks = [(8, 0, "<source>web.clip7</source>"), (8, 4, "<source>desktop</source><source-application>webclipper.evernote</source-application>"), (4, 1, "<source>my web clip folder</source>")]
+    clip = F.coalesce(*[F.when(F.col("o_orderkey") % n == k, f"<note-attributes>{inner}</note-attributes>") for n, k, inner in marks], F.lit(""))
     note = F.concat(
         F.lit("<note><title>Order "), F.col("o_orderkey").cast("string"), F.lit("</title><content>"), escaped, F.lit("</content><created>"), F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss"), F.lit("Z</created><tag>a</tag><tag>"), F.col("o_orderstatus"), F.lit("</tag>"), clip, F.lit("</note>")
     )

@@ -112,6 +112,12 @@ def bundle_notes(entries: DataFrame, suffix: str = "textbundle") -> DataFrame:
     )
 
 
+def asset_embeds(text: Column, folder: Column) -> Column:
+    """A bundle's links to its own assets as embeds of the files in ``folder`` (null or ``/``: the root); other images stay."""
+    prefix = F.when(F.coalesce(folder, F.lit("/")).isin("", "/"), "").otherwise(F.concat(F.regexp_replace(folder, r"([\\$])", r"\\$1"), F.lit("/")))
+    return F.regexp_replace(text, F.lit(r"!\[\]\(assets/([^)]*)\)"), F.concat(F.lit("![["), prefix, F.lit("$1]]")))
+
+
 def bundle_times(notes: DataFrame, key: str = "net.shinyfrog.bear") -> DataFrame:
     """Add the id, times and states that a bundle's ``info.json`` holds under ``key``."""
     at = lambda f: F.get_json_object("info", f"$['{key}'].{f}")

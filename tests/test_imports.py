@@ -119,7 +119,7 @@ def test_outline_and_xml(spark, tmp_path):
     (tmp_path / "g.json").write_text(json.dumps(graph))
     got = {r.uid: (r.parent_uid, r.path, r.heading) for r in tables.outline_blocks(spark, str(tmp_path / "g.json")).collect()}
     assert got == {"a": ("p", [0], None), "b": ("a", [0, 0], 2), "c": ("p", [1], None)}
-    (tmp_path / "n.enex").write_text("<en-export><note><title>A</title><content>x</content><created>20240102T030405Z</created><tag>one</tag></note><note><title>B</title><tag>one</tag><tag>two</tag><note-attributes><source>web.clip</source></note-attributes></note></en-export>")
+    (tmp_path / "n.enex").write_text("<en-export><note><title>A</title><content>x</content><created>20240102T030405Z</created><tag>one</tag></note><note><title>B</title><tag>one</tag><tag>two</tag><note-attributes><source>web.clip7</source></note-attributes></note></en-export>")
     notes = tables.xml_notes(spark, str(tmp_path / "n.enex"))
     assert {r.title: r.tag for r in notes.collect()} == {"A": ["one"], "B": ["one", "two"]}
     assert [(r.title, str(r.created)) for r in tables.without_clips(notes).collect()] == [("A", "2024-01-02 03:04:05")]
