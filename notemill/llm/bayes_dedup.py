@@ -23,8 +23,12 @@ BANDS, ROWS = 32, 4
 BATCH, MISS = 16, 1e-6
 #: Sets that one task compares with each other, and shingles in them all; larger groups are dealt again.
 GROUP, GROUP_SHINGLES = 2_000, 4_000_000
+#: Pairs whose signatures are compared at once.
+PAIRS = 1 << 17
 #: Sets checked against one set in one go; those of a set with more partners are dealt out.
 PARTNERS = 256
+#: Links that make a task of the components.
+TASK_LINKS = 50_000
 #: Bits at most of the map that tells scans which rows are wanted.
 MAP_BITS = 1 << 27
 _rng = np.random.default_rng(20_24)
@@ -75,13 +79,13 @@ class Pruner:
         self.bounds = [(n - BATCH, n, least_matches(float(similarity), n, miss)) for n in steps]
         self.similarity = similarity
 
-    def survivors(self, left: np.ndarray, right: np.ndarray, left_n: np.ndarray, right_n: np.ndarray) -> np.ndarray:
-        """Places of the pairs (rows of the matrices) that survive; sizes too far apart go first."""
-        low, high = np.minimum(left_n, right_n), np.maximum(left_n, right_n)
+    def survivors(self, left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, left_n: np.ndarray, right_n: np.ndarray) -> np.ndarray:
+        """Which of the pairs of rows ``i`` of the one matrix and ``j`` of the other survive; sizes too far apart go first."""
+        low, high = np.minimum(left_n[i], right_n[j]), np.maximum(left_n[i], right_n[j])
         alive = np.flatnonzero(low * self.similarity.denominator >= high * self.similarity.numerator)
         same = np.zeros(len(alive), np.int64)
         for begin, end, least in self.bounds:
-            same += (left[alive, begin:end] == right[alive, begin:end]).sum(1)
+            same += (left[i[alive], begin:end] == right[j[alive], begin:end]).sum(1)
             stay = same >= least
             alive, same = alive[stay], same[stay]
         return alive
@@ -139,27 +143,36 @@ def _pruned(pruner: Pruner):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                stay = pruner.survivors(_signatures(batch["sig_a"]), _signatures(batch["sig_b"]), batch["n_a"].to_numpy(), batch["n_b"].to_numpy())
+                each = np.arange(batch.num_rows)
+                stay = pruner.survivors(_signatures(batch["sig_a"]), _signatures(batch["sig_b"]), each, each, batch["n_a"].to_numpy(), batch["n_b"].to_numpy())
                 yield batch.select(["a", "b"]).take(pa.array(stay))
 
     return run
 
 
-def _survivors(rows: pa.Table, pruner: Pruner, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of a group, each with later ones of other parts (and blocks) whose signatures survive, where this is the first band that they share."""
+def _survivors(rows: pa.Table, group: np.ndarray, part: np.ndarray, pruner: Pruner) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group, but of different parts (and blocks), whose signatures survive, where this is the first band that they share.
+
+    ``group`` ascends. Pairs are made for some rows at a time.
+    """
     sig, n, block = _signatures(rows["sig"].combine_chunks()), rows["n"].to_numpy(), rows["block"].to_numpy()
-    apart = rows["x"][0].as_py() != rows["y"][0].as_py()
-    here = np.flatnonzero(band_keys(sig[:1])[0].view(np.int64) == rows["key"][0].as_py())
-    bands = sig.reshape(-1, BANDS, ROWS)
-    for i in range(len(n) - 1):
-        other = part[i + 1 :] != part[i]
-        j = i + 1 + np.flatnonzero(other & (block[i + 1 :] != block[i]) if apart else other)
-        if len(j):
-            j = j[pruner.survivors(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], np.broadcast_to(n[i], len(j)), n[j])]
-        if len(j) and len(here):  # else the group is of two bands, and may repeat a pair
-            j = j[(bands[j] == bands[i]).all(2).argmax(1) == here[0]]
-        if len(j):
-            yield i, j
+    apart = rows["x"].to_numpy() != rows["y"].to_numpy()
+    hit = band_keys(sig).view(np.int64) == rows["key"].to_numpy()[:, None]
+    band = np.where(hit.any(1), hit.argmax(1), -1)  # none: the group is of two bands, and may repeat a pair
+    later = np.searchsorted(group, group, "right") - np.arange(len(group)) - 1
+    upto, begin = np.cumsum(later), 0
+    while begin < len(group):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PAIRS, "right")))
+        i = np.repeat(np.arange(begin, end), later[begin:end])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[begin:end]) - later[begin:end], later[begin:end])
+        keep = (part[i] != part[j]) & (~apart[i] | (block[i] != block[j]))
+        i, j = i[keep], j[keep]
+        keep = pruner.survivors(sig, sig, i, j, n, n)
+        i, j = i[keep], j[keep]
+        shared = (sig[i] == sig[j]).reshape(-1, BANDS, ROWS).all(2)
+        keep = (band[i] < 0) | (shared.argmax(1) == band[i])
+        yield i[keep], j[keep]
+        begin = end
 
 
 def _parts(rows: pa.Table) -> np.ndarray:
@@ -167,66 +180,80 @@ def _parts(rows: pa.Table) -> np.ndarray:
 
 
 def _meeting(pruner: Pruner):
-    """The rows of a group that have a surviving partner in it."""
+    """The rows that have a surviving partner in their group."""
 
-    def of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def of(rows: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         there = np.zeros(len(rows), bool)
-        for i, j in _survivors(rows, pruner, _parts(rows)):
+        for i, j in _survivors(rows, group, _parts(rows), pruner):
             there[i] = there[j] = True
         if there.any():
             yield from rows.filter(pa.array(there)).combine_chunks().to_batches()
 
-    return _by_group(of)
+    return _by_groups(of)
 
 
 def _linking(pruner: Pruner, similarity: Fraction):
     """``a, b``: similar sets of a group that connect its components; what is connected already is not compared."""
 
-    def of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def of(rows: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows["set"]]
         size = np.fromiter(map(len, sets), np.int64, len(sets))
         ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        begin = np.concatenate([[0], np.cumsum(size)])
-        mark = np.zeros(int(ids.max()) + 1, bool)
+        begin = np.concatenate([[0], np.cumsum(size)]).tolist()
+        mark, last = np.zeros(int(ids.max()) + 1, bool), -1
         part, one, other = _parts(rows), [], []
-        for i, js in _survivors(rows, pruner, part):
-            mark[ids[begin[i] : begin[i + 1]]] = True
-            for j in js.tolist():
-                if part[j] == part[i]:
+        first = np.searchsorted(group, group)
+        behind = np.searchsorted(group, group, "right")
+        for left, right in _survivors(rows, group, part.copy(), pruner):
+            for i, j in zip(left.tolist(), right.tolist()):
+                if part[i] == part[j]:
                     continue
-                both = int(mark[ids[begin[j] : begin[j + 1]]].sum())
+                if i != last:
+                    if last >= 0:
+                        mark[ids[begin[last] : begin[last + 1]]] = False
+                    mark[ids[begin[i] : begin[i + 1]]], last = True, i
+                both = int(np.count_nonzero(mark[ids[begin[j] : begin[j + 1]]]))
                 if both * similarity.denominator >= (size[i] + size[j] - both) * similarity.numerator:
                     one.append(i)
                     other.append(j)
-                    part[part == part[j]] = part[i]
-            mark[ids[begin[i] : begin[i + 1]]] = False
+                    own = part[first[i] : behind[i]]
+                    own[own == part[j]] = part[i]
         if one:
             nodes = rows["node"].combine_chunks()
             yield pa.RecordBatch.from_arrays([nodes.take(pa.array(one)), nodes.take(pa.array(other))], names=["a", "b"])
 
-    return _by_group(of)
+    return _by_groups(of)
 
 
-def _by_group(of):
-    """``of`` each group of rows, sorted by ``key``, ``x``, ``y``."""
+def _by_groups(of):
+    """``of`` some whole groups of rows at a time, sorted by ``key``, ``x``, ``y``, with the group of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, name = [], None
+        held, size = [], 0
         for batch in batches:
-            key, x, y = (batch[c].to_numpy() for c in ("key", "x", "y"))
-            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(key)]) if len(key) else ():
-                if (key[a], x[a], y[a]) != name and held:
-                    yield from of(pa.Table.from_batches(held))
-                    held = []
-                name = key[a], x[a], y[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from of(pa.Table.from_batches(held))
+            held.append(batch)
+            size += batch.num_rows
+            if size < GROUP // 2:
+                continue
+            rows = pa.Table.from_batches(held)
+            group = _group_numbers(rows)
+            done = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
+            if done:
+                yield from of(rows.slice(0, done), group[:done])
+            held = rows.slice(done).combine_chunks().to_batches()
+            size = len(rows) - done
+        if size:
+            rows = pa.Table.from_batches(held)
+            yield from of(rows, _group_numbers(rows))
 
     return run
 
 
+def _group_numbers(rows: pa.Table) -> np.ndarray:
+    key, x, y = (rows[c].to_numpy() for c in ("key", "x", "y"))
+    return np.concatenate([[0], np.cumsum((np.diff(key) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0))])
+
+
 def _wanted(shingle: int, bits: np.ndarray):
     """The sets of the rows whose bit is set, each once in a task."""
     mask = np.uint64(len(bits) * 8 - 1)
@@ -337,7 +364,7 @@ class _Links:
         place = wanted.select((F.col("row").bitwiseAND(F.lit(bits - 1)) + 1).alias("p"))
         parts = place.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
         there = np.zeros(bits // 8, np.uint8)
-        for r in parts.toLocalIterator():
+        for r in parts.collect():  # MAP_BITS at most
             there[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
         sets = small_batches(self.rows.select("_row", "_text")).mapInArrow(tidy(_wanted(self.shingle, there)), "node binary, set binary")
         return self.keep(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
@@ -362,7 +389,7 @@ def _components(rows: DataFrame, nodes: DataFrame, shingle: int, similarity: Fra
     steps = _Links(rows, nodes, shingle, similarity, miss, group)
     bands = steps.candidates()
     links = steps.verify(steps.keep(steps.prune(steps.keep(steps.stars(bands), "stars")), "pairs"))
-    groups = stage(connected_components(links.unionByName(steps.across(bands, links)), "a", "b"), "groups")
+    groups = stage(connected_components(links.unionByName(steps.across(bands, links)), "a", "b", task_rows=TASK_LINKS), "groups")
     steps.keep.clear()
     return groups
 
