@@ -193,7 +193,7 @@ class RecordedExport(DataSource):
         return RECORDS
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        return (_FilteringReader if self.options.get("push") == "true" else _Reader)(self.options)
 
 
 class _Reader(DataSourceReader):
@@ -202,14 +202,6 @@ class _Reader(DataSourceReader):
         self.only = json.loads(options.get("only", "null"))
         self.tests: list[tuple[str, object]] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Comparisons of a record's table, id and time are made here: of a table before its ranges are read, the others before a row is built."""
-        for f in filters:
-            if type(f) in _TESTS and len(f.attribute) == 1 and f.attribute[0] in ("table_id", "record_id", "created_time"):
-                self.tests.append((f.attribute[0], f))
-            else:
-                yield f
-
     def partitions(self) -> list[_Part]:
         block, out = self.index["block"], []
         for _, owner, name, begin, end, depth in self.index["arrays"]:
@@ -224,7 +216,9 @@ class _Reader(DataSourceReader):
                     low, (inside, level) = high, self.index["states"][k]
         return out
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
+    def read(self, partition: _Part | None) -> Iterator[tuple]:
+        if partition is None:  # no ranges
+            return
         tests = [(column, _TESTS[type(f)](f)) for column, f in self.tests if column != "table_id"]
         for at, text in elements(self.path, *partition.range):
             record = json.loads(text)
@@ -235,6 +229,18 @@ class _Reader(DataSourceReader):
                 yield partition.owner, own["record_id"], at, own["created_time"], kept
 
 
+class _FilteringReader(_Reader):
+    """Spark takes a reader that makes comparisons only where the session lets it."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Comparisons of a record's table, id and time are made here: of a table before its ranges are read, the others before a row is built."""
+        for f in filters:
+            if type(f) in _TESTS and len(f.attribute) == 1 and f.attribute[0] in ("table_id", "record_id", "created_time"):
+                self.tests.append((f.attribute[0], f))
+            else:
+                yield f
+
+
 def export_records(spark: SparkSession, path: str, only: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """The records of one recorded export: ``table_id, record_id, at, created_time, fields``.
 
@@ -245,6 +251,7 @@ def export_records(spark: SparkSession, path: str, only: list[str] | None = None
     """
     spark.dataSource.register(RecordedExport)
     reader = spark.read.format("recorded_export").option("path", path).option("index", json.dumps(index_of(spark, path, block)))
+    reader = reader.option("push", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
     return (reader.option("only", json.dumps(only)) if only is not None else reader).load()
 
 

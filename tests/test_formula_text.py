@@ -29,7 +29,7 @@ def test_precedence():
     ("text", "said"),
     [
         ("", "the formula is empty"), ("1 +", "the formula ends too soon"), ("(1", "expected ')' at the end"), ("1 2", "unexpected '2' at 2"), ("f(1,,2)", "unexpected ',' at 4"), ("'open", "unexpected \"'\" at 0"),
-        ("a.1", "expected a name after '.' at 2"), ("#", "unexpected '#' at 0"), ("(" * 200 + "1" + ")" * 200, "nested more than 100 deep"), ("x ? 1", "expected ':' at the end"),
+        ("a.(1)", "expected a name after '.' at 2"), ("#", "unexpected '#' at 0"), ("(" * 200 + "1" + ")" * 200, "nested more than 100 deep"), ("x ? 1", "expected ':' at the end"),
     ],
 )
 def test_what_is_not_well_formed(text, said):
