@@ -28,6 +28,8 @@ CUT_REACH = 5
 LONG_PARAGRAPH = 16
 #: Neighbouring duplicate parts count from so many words together.
 MIN_WORDS = 15
+#: Words between two duplicate parts that both first stand in one document, about as far apart there (within the second number): an edited stretch of one passage.
+BRIDGE_WORDS, BRIDGE_SHIFT = 30, 8
 #: Contents of one key that are compared in one task; larger keys are dealt again.
 GROUP_ROWS = 2000
 #: Elements of sets compared at once.
@@ -337,7 +339,10 @@ def duplicate_spans(
     pair in them meets. Parts of long paragraphs are matched
     where their words are equal, so that passages pasted into a line are seen.
     Of each component the first place (by id) is kept, the others are removable;
-    neighbouring parts count from ``min_words`` words together.
+    neighbouring parts count from ``min_words`` words together. Parts with up to
+    ``BRIDGE_WORDS`` other words between belong together, and these words with
+    them, where they first stand in one document about as far apart: edits cut a
+    passage into such parts.
 
     Returns ``id_col, th`` (xxhash64 of the text), ``removed`` (False for the
     place that is kept), ``start_word, end_word, start_byte, end_byte, n_words,
@@ -375,11 +380,16 @@ def duplicate_spans(
     stage.clear()
     firsts = result(found.groupBy("component").agg(F.min(place).alias("first")), "sd-first")
     hits = found.join(firsts, "component").withColumn("removed", place != F.col("first"))
-    hits = hits.select(id_col, "th", "w0", "w1", "b0", "b1", "component", "n", "removed").distinct()
-    order = Window.partitionBy(id_col, "th", "removed").orderBy("w0", "w1")
+    source = F.xxhash64(f"first.{id_col}", "first.th").alias("source")
+    hits = hits.select(id_col, "th", "w0", "w1", "b0", "b1", "component", "n", "removed", source, F.col("first.w0").alias("f0"), F.col("first.w1").alias("f1")).distinct()
+    order = Window.partitionBy(id_col, "th", "removed").orderBy("w0", "w1", "component")
     before = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    run = F.sum(F.when(F.col("w0") <= F.col("before"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    runs = hits.withColumn("before", before).withColumn("run", run)
+    last = F.lag(F.struct("source", "w1", "f1")).over(order)
+    apart = F.col("w0") - F.col("last.w1")
+    shift = F.abs(F.col("f0") - F.col("last.f1") - apart)
+    bridged = (F.col("source") == F.col("last.source")) & (apart <= BRIDGE_WORDS) & (shift <= BRIDGE_SHIFT)
+    run = F.sum(F.when((F.col("w0") <= F.col("before")) | F.coalesce(bridged, F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    runs = hits.withColumn("before", before).withColumn("last", last).withColumn("run", run)
     spans = runs.groupBy(id_col, "th", "removed", "run").agg(
         F.min("w0").alias("start_word"), F.max("w1").alias("end_word"), F.min("b0").alias("start_byte"), F.max("b1").alias("end_byte"),
         F.min("component").alias("cluster"), F.max("n").alias("copies"),

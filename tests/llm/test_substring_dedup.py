@@ -191,6 +191,32 @@ def test_recall_of_passages_inside_lines(spark, length, least):
     assert {r.doc_id % 2 for r in got} == {1} and len({r.doc_id for r in got}) >= least * 150
 
 
+@pytest.mark.parametrize(("share", "least"), [(0.05, 0.9), (0.1, 0.45)])
+def test_recall_of_edited_passages_inside_lines(spark, share, least):
+    """Share of passages of 100 words, pasted into the middle of two lines each and edited in one, which are found; nothing else is."""
+    rng = random.Random(3)
+    rows = []
+    for d in range(150):
+        passage = prose(rng, 100, 100_000)
+        edited = [f"new{rng.randrange(10**6)}" if rng.random() < share else w for w in passage]
+        rows += [(2 * d + k, " ".join(prose(rng, 80, 100_000) + own + prose(rng, 80, 100_000))) for k, own in enumerate((passage, edited))]
+    got = duplicate_spans(spark.createDataFrame(rows, "doc_id long, text string")).where("removed").collect()
+    assert {r.doc_id % 2 for r in got} == {1} and len({r.doc_id for r in got}) >= least * 150
+    assert all(80 <= r.start_word and r.end_word <= 180 for r in got)
+
+
+def test_parts_of_other_passages_are_not_bridged(spark):
+    """Two passages from two sources, and two that stand elsewhere far apart, stay two spans with other words between."""
+    rng = random.Random(12)
+    one, other, between = prose(rng, 60, 100_000), prose(rng, 60, 100_000), prose(rng, 20, 100_000)
+    far = one + prose(rng, 200, 100_000) + other
+    rows = [(1, " ".join(one)), (2, " ".join(other)), (3, " ".join(prose(rng, 40, 100_000) + one + between + other + prose(rng, 40, 100_000)))]
+    text = lambda rows: sorted((r.start_word, r.end_word) for r in duplicate_spans(spark.createDataFrame(rows, "doc_id long, text string")).where("removed AND doc_id = 3").collect())
+    for own in (rows, [(1, " ".join(prose(rng, 50, 100_000) + far + prose(rng, 50, 100_000))), rows[2]]):
+        spans = text(own)
+        assert len(spans) == 2 and spans[0][1] <= 101 and spans[1][0] >= 119
+
+
 def test_columns_of_any_name_stay(spark):
     line = " ".join(prose(random.Random(8), 30))
     rows = [(1, line, "a", "b", "c", "d", 5), (2, line + "\nmore words", "e", "f", "g", "h", 6)]
