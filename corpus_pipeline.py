@@ -16,7 +16,7 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those that are null or have no letter go."""
+    """Documents in a language of the labelled ones; those that are null, have no letter or are in none of these languages go."""
     return in_known_language(docs, language_samples(docs))
 
 
@@ -57,8 +57,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` through all stages: a row per piece of each document that is left, with its place in a sequence.
 
-    Each stage is written as Parquet and read again. Null texts and texts without a
-    letter go with the first stage; an empty table gives an empty one; columns that
+    Each stage is written as Parquet and read again. Null texts, texts without a letter and
+    texts in none of the labelled languages go with the first stage; an empty table gives an empty one; columns that
     are not known to a stage pass it as they are, whatever their names.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from notemill.llm.langid import STRETCH, LanguageModel, has_letter, held_out, identify, language_samples, normalise
+from notemill.llm.langid import LEAST_SAMPLE, STRETCH, LanguageModel, has_letter, held_out, identify, in_known_language, language_samples, normalise
 
 
 def plain_phrases(text, sample):
@@ -62,6 +62,27 @@ def test_held_out_accuracy_and_edges(spark):
     assert identify(df.limit(0), samples).collect() == [] and language_samples(df.limit(0)) == {}
 
 
+def test_texts_in_other_languages_go(spark):
+    rng = random.Random(4)
+    parts = {"en": "th er on an re he in ed nd ha at en es of or".split(), "de": "ein sch ver er ung keit lich heit zu ä über der".split()}
+    invented = lambda lang, n: " ".join("".join(rng.choices(parts[lang], k=rng.randint(1, 4))) for _ in range(n))
+    rows = [(i, invented(lang, rng.randint(1, 80)), lang) for i in range(400) for lang in [("en", "de")[i % 2]]]
+    other = [
+        "Suomen kieli on uralilaisten kielten itämerensuomalaiseen ryhmään kuuluva kieli jota puhutaan", "Wikipedia jest wielojęzyczną encyklopedią internetową redagowaną przez ochotników",
+        "Ласкаво просимо до нашого міста, де кожен може знайти щось цікаве", "中国的首都是北京，人口很多。", "qwx zzkp vbnj wqpk xxjv kkqz bvbv pqpq wjwj " * 200, None, "12 !",
+    ]
+    keep = [(1000, "in", "en"), (1001, "ver", None), (1002, invented("de", 20_000), "de"), (1003, invented("en", 60) + " password=39886b6a3ae06c044d", "en"), (None, invented("en", 30), None)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = language_samples(labelled)
+    assert all(len(x) >= LEAST_SAMPLE for x in samples.values())
+    docs = spark.createDataFrame([*rows, *keep, *[(2000 + k, t, None) for k, t in enumerate(other)]], labelled.schema)
+    kept = in_known_language(docs, samples)
+    assert sorted(kept.collect(), key=str) == sorted(docs.where("doc_id IS NULL OR doc_id < 2000").collect(), key=str)
+    # Of too small a sample nothing but texts without letters is rejected.
+    assert in_known_language(docs, {"en": samples["en"][:500]}).count() == docs.count() - 2
+    assert in_known_language(docs, {}).count() == in_known_language(docs.limit(0), samples).count() == 0
+
+
 def test_letters():
     assert has_letter("1 é") and not has_letter("½ 1_ 😀")
     assert normalise("ÉA1b") == "éa b".encode()
