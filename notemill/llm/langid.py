@@ -16,9 +16,9 @@ from notemill.llm.workers import kept, small_batches, tidy
 UNKNOWN = "und"
 #: The bounded sample that each language's automaton is built from: so many whole labelled texts of so many bytes at most, so many bytes in all.
 SAMPLE_TEXTS, TEXT_BYTES, SAMPLE_BYTES = 64, 1024, 32_768
-#: Bits a byte, beside two whole phrases, up to which a text counts as written in the language that parses it best.
-#: (Texts of the check tables need at most 4.7 in their own language; Finnish, Polish and random letters take 6.5 to 10 there.)
-KNOWN_BITS = 5.5
+#: Bits a byte, beside three whole phrases, up to which a text counts as written in the language that parses it best.
+#: (Texts of the check tables need at most 5 in their own language, up to 6.2 a short one that holds a key; Finnish, Polish and random letters take 6.5 to 10 there.)
+KNOWN_BITS = 5.75
 #: Bytes of a sample at least for that: of less, a text in the language is mostly new.
 LEAST_SAMPLE = 8_192
 #: Bytes of the parts of a text that are parsed side by side; phrases go on from one to the next.
@@ -269,7 +269,7 @@ def in_known_language(docs: DataFrame, samples: dict[str, bytes], text_col: str
 
     Those go that ``identify`` gives no language, and those that even the
     language that parses them best needs more than ``known_bits`` a byte for,
-    with two phrases allowed to any text, however short: text in none of the
+    with three phrases allowed to any text, however short: text in none of the
     languages falls into phrases of two or three bytes. A language known from
     fewer than ``LEAST_SAMPLE`` bytes rejects nothing.
     """
@@ -281,7 +281,7 @@ def in_known_language(docs: DataFrame, samples: dict[str, bytes], text_col: str
             for k, name in enumerate(lang):
                 if name != UNKNOWN and len(samples[name]) >= LEAST_SAMPLE:
                     size = len(normalise(batch[text_col][k].as_py()))
-                    keep.append(bits[k] * size <= known_bits * size + 2 * weight[name])
+                    keep.append(bits[k] * size <= known_bits * size + 3 * weight[name])
                 else:
                     keep.append(name != UNKNOWN)
             yield batch.filter(pa.array(keep, pa.bool_()))
