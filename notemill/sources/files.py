@@ -7,8 +7,10 @@ import mimetypes
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,9 @@ def accepted(files: DataFrame, extensions: list[str], hidden: bool = False) -> D
 
 
 _ENTRY = "archive string, entry string, mtime timestamp_ntz, size long, content binary, error string"
+_KINDS = {"archive": pa.string(), "entry": pa.string(), "mtime": pa.timestamp("us"), "size": pa.int64(), "content": pa.binary(), "error": pa.string()}
+#: Entries that are handed on at once: so many, or of so many bytes.
+_ROWS, _BYTES = 1_000, 8_000_000
 
 
 def zip_entries(archives: DataFrame, path: str = "path", content: str = "content", nested: bool = False) -> DataFrame:
@@ -51,18 +56,29 @@ def zip_entries(archives: DataFrame, path: str = "path", content: str = "content
                     if deeper and at.lower().endswith(".zip") and "/" not in at:
                         yield from opened(f"{name}/{at}", body, False)
                     else:
-                        yield name, at, pd.Timestamp(*info.date_time), info.file_size, body, None
+                        yield name, at, datetime(*info.date_time), info.file_size, body, None
         except (zipfile.BadZipFile, OSError, RuntimeError, ValueError) as e:
             yield name, None, None, None, None, f"{type(e).__name__}: {e}"
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in _ENTRY.split(", ")]
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Small entries go many at a time; only so many bytes are held.
+        rows, held = [], 0
         for part in parts:
             for name, data in zip(part[path], part[content]):
-                for row in opened(name, data, nested):
-                    yield pd.DataFrame([row], columns=names)
+                for row in opened(name.as_py(), data.as_py(), nested):
+                    rows.append(row)
+                    held += len(row[4] or b"")
+                    if len(rows) >= _ROWS or held >= _BYTES:
+                        yield _entries(rows)
+                        rows, held = [], 0
+        if rows:
+            yield _entries(rows)
 
-    return archives.select(path, content).mapInPandas(run, _ENTRY)
+    return archives.select(path, content).mapInArrow(run, _ENTRY)
+
+
+def _entries(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*rows), _KINDS.values())], names=list(_KINDS))
 
 
 def decoded(content: Column) -> Column:

@@ -225,3 +225,16 @@ def test_late_events_do_not_reopen_windows(spark):
     events = spark.createDataFrame([("2024-01-01 10:05", "a", 1.0), ("2024-01-01 10:55", "a", 2.0), ("2024-01-01 11:00", "a", 4.0)], "t string, event_type string, value double").withColumn("ts", F.to_timestamp_ntz("t"))
     got = {str(r.start): (r.n, r.total) for r in imports.window_counts(events).collect()}
     assert got == {"2024-01-01 10:00:00": (2, 3.0), "2024-01-01 11:00:00": (1, 4.0)}
+
+
+def test_small_entries_go_many_at_a_time(spark, tmp_path):
+    """An archive of many files is handed on in large parts: one part a file took over 20 s."""
+    import time
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "many.zip", "w") as archive:
+        for k in range(10_000):
+            archive.writestr(f"f{k}.txt", f"text {k}")
+    began = time.perf_counter()
+    rows = files.zip_entries(files.scan(spark, str(tmp_path), "*.zip")).selectExpr("count(*) AS n", "sum(size) AS size", "count(DISTINCT entry, content, mtime) AS different", "count(error) AS failed").first()
+    assert tuple(rows) == (10_000, sum(len(f"text {k}") for k in range(10_000)), 10_000, 0) and time.perf_counter() - began < 10
