@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notemill.catalogue import query, table
@@ -175,7 +175,7 @@ def page_export_round_trip(spark, sf_dir):
     """SELECT o_orderkey, o_totalprice AS price, o_orderstatus AS status, o_orderstatus = 'O' AS shown FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01'"""
 )
 def recorded_export(spark, sf_dir):
-    """Customers and orders as the tables of one JSON document; orders of some time are read from its ranges of bytes."""
+    """Customers and orders as the tables of one JSON document, written in parts that follow each other; orders of some time are read from its ranges of bytes."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     record = lambda id_, time, **fields: F.to_json(F.struct(id_.alias("id"), time.alias("createdTime"), F.struct(*[v.alias(k) for k, v in fields.items()]).alias("fields")))
@@ -185,14 +185,14 @@ def recorded_export(spark, sf_dir):
     made = made.unionByName(orders.select(F.lit(3).alias("part"), F.col("o_orderkey").alias("n"), record(order, time, Status=F.col("o_orderstatus"), Price=F.col("o_totalprice"), Note=F.lit('a ] , "records": [ \\')).alias("line")))
     made = made.unionByName(orders.where("o_orderstatus = 'O'").select(F.lit(5).alias("part"), F.col("o_orderkey").alias("n"), F.to_json(F.array(order)).alias("line")).withColumn("line", F.regexp_replace("line", r"^\[|\]$", "")))
     around = ['{"tables": [{"id": "tC", "name": "Customers", "records": [', None, ']}, {"name": "Orders", "records": [', None, '], "id": "tO", "fields": []}], "viewRecords": {"open": [', None, '], "none": []}}']
-    first = Window.partitionBy("part").orderBy("n")
-    lines = made.withColumn("line", F.concat(F.when(F.row_number().over(first) > 1, ",").otherwise(""), "line"))
+    first = made.groupBy("part").agg(F.min("n").alias("first"))
+    lines = made.join(F.broadcast(first), "part").select("part", "n", F.concat(F.when(F.col("n") > F.col("first"), ",").otherwise(""), "line").alias("line"))
     lines = lines.unionByName(spark.createDataFrame([(k, 0, text) for k, text in enumerate(around) if text], "part int, n long, line string"))
     out = new_path(spark, "recorded")
-    lines.orderBy("part", "n").select("line").coalesce(1).write.text(out)
-    path = next(f for f in spark.read.format("binaryFile").load(out).select("path").toLocalIterator()).path
-    records = recorded.export_records(spark, path, only=["Price", "Status"], block=200_000).where("table_id = 'tO' AND created_time >= '1995-01-01'")
-    shown = recorded.view_records(spark, path, block=200_000).where("view_id = 'open'").select("record_id", F.lit(True).alias("shown"))
+    lines.orderBy("part", "n").select("line").write.text(out)
+    index = recorded.index_of(spark, out, block=200_000)
+    records = recorded.export_records(spark, out, only=["Price", "Status"], index=index).where("table_id = 'tO' AND created_time >= '1995-01-01'")
+    shown = recorded.view_records(spark, out, index=index).where("view_id = 'open'").select("record_id", F.lit(True).alias("shown"))
     field = lambda name, kind: field_value(F.col("fields")[name], kind)
     return records.join(shown, "record_id", "left").select(
         F.substring("record_id", 2, 20).cast("long").alias("o_orderkey"), field("Price", "number").alias("price"), field("Status", "singleSelect").alias("status"), F.coalesce("shown", F.lit(False)).alias("shown")

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith,
 )
 
+#: Blocks of a document at most: of a larger one they are longer, so that its index does not grow with it.
+MOST_BLOCKS = 1_000
 #: Bytes of a block, at which a range can begin; bytes read at once; bytes looked back at for a run of backslashes.
 BLOCK, CHUNK, BACK = 16_000_000, 1_000_000, 4_096
 #: Depth of the arrays that hang on an object in a top-level array, and of those on an object at the top.
@@ -26,12 +30,63 @@ _INNER, _OUTER = 4, 3
 RECORDS = "table_id string, record_id string, at long, created_time string, fields map<string,string>"
 
 
-def _open(path: str):
-    """A file of any file system that pyarrow knows, by its URI or a local path."""
+_STEPS = np.zeros(256, np.int8)
+_STEPS[[ord(c) for c in "[{"]], _STEPS[[ord(c) for c in "]}"]] = 1, -1
+
+
+def _file_system(uri: str):
     from pyarrow.fs import FileSystem
 
-    fs, at = FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    return fs.open_input_file(at)
+    return FileSystem.from_uri(uri)
+
+
+def parts_of(path: str) -> list[tuple[str, int]]:
+    """URI and size of the files that make up a document: one file, or those of a folder in the order of their names.
+
+    ``path`` is of any file system that pyarrow knows, a URI or a local path.
+    """
+    from pyarrow.fs import FileSelector, FileType
+
+    uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    fs, at = _file_system(uri)
+    info = fs.get_file_info(at)
+    if info.type != FileType.Directory:
+        return [(uri, fs.open_input_file(at).size())]
+    held = sorted((f.base_name, f.size) for f in fs.get_file_info(FileSelector(at)) if f.type == FileType.File and f.base_name[0] not in "_.")
+    return [(f"{uri.rstrip('/')}/{name}", size) for name, size in held if size]
+
+
+class _Document:
+    """The bytes of a document's parts, one behind the other."""
+
+    def __init__(self, parts: list[tuple[str, int]]):
+        self.parts, self.ends = parts, list(accumulate(size for _, size in parts))
+        self.at, self.open, self.file = 0, None, None
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.file is not None:
+            self.file.close()
+
+    def seek(self, at: int) -> None:
+        self.at = at
+
+    def read(self, n: int) -> bytes:
+        found = []
+        while n > 0 and (k := bisect_right(self.ends, self.at)) < len(self.parts):
+            if self.open != k:
+                self.__exit__()
+                fs, at = _file_system(self.parts[k][0])
+                self.open, self.file = k, fs.open_input_file(at)
+            self.file.seek(self.at - (self.ends[k] - self.parts[k][1]))
+            data = self.file.read(min(n, self.ends[k] - self.at))
+            if not data:
+                break
+            found.append(data)
+            n, self.at = n - len(data), self.at + len(data)
+        return b"".join(found)
 
 
 def structure(data: bytes, before: bytes, inside: bool, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
@@ -40,20 +95,22 @@ def structure(data: bytes, before: bytes, inside: bool, depth: int) -> tuple[np.
     ``before`` is what precedes ``data``: a quote behind an odd number of backslashes ends no text.
     """
     whole = np.frombuffer(before + data, np.uint8)
-    place = np.arange(len(whole))
-    plain = np.maximum.accumulate(np.where(whole == ord("\\"), -1, place))
-    escaped = np.concatenate([[False], (place[:-1] - plain[:-1]) % 2 == 1])[len(before) :]
+    slashes, escaped = np.flatnonzero(whole == ord("\\")), np.zeros(len(whole) + 1, bool)
+    if len(slashes):
+        first = np.concatenate([[True], np.diff(slashes) > 1])
+        begins, ends = slashes[first], slashes[np.concatenate([first[1:], [True]])]
+        escaped[ends[(ends - begins) % 2 == 0] + 1] = True
+    escaped = escaped[len(before) : -1]
     own = whole[len(before) :]
     quote = (own == ord('"')) & ~escaped
     within = (np.cumsum(quote) + inside) % 2 == 1
     outside = ~within & ~quote
-    step = np.where(outside, np.isin(own, (ord("["), ord("{"))).astype(np.int8) - np.isin(own, (ord("]"), ord("}"))), 0)
-    return own, outside, depth + np.cumsum(step), bool(within[-1]) if len(own) else inside
+    return own, outside, depth + np.cumsum(np.where(outside, _STEPS[own], 0), dtype=np.int64), bool(within[-1]) if len(own) else inside
 
 
-def _chunks(path: str, begin: int, end: int, inside: bool, depth: int) -> Iterator[tuple]:
+def _chunks(parts: list, begin: int, end: int, inside: bool, depth: int) -> Iterator[tuple]:
     """``structure`` of the bytes from ``begin`` to ``end``, with the place and bytes of each part, and whether a text goes on behind it."""
-    with _open(path) as file:
+    with _Document(parts) as file:
         file.seek(max(0, begin - BACK))
         before = file.read(begin - max(0, begin - BACK))
         while begin < end and (data := file.read(min(CHUNK, end - begin))):
@@ -62,30 +119,29 @@ def _chunks(path: str, begin: int, end: int, inside: bool, depth: int) -> Iterat
             depth, before, begin = int(level[-1]), (before + data)[-BACK:], begin + len(data)
 
 
-def _counted(path: str, size: int, block: int):
+def _counted(parts: list, size: int, block: int):
     """By block: the change of depth if it begins outside a text, and within one; whether the first ends within one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in (k for batch in batches for k in batch["id"].to_pylist()):
-            depths = {}
-            for within in (False, True):
-                depth, inside = 0, within
-                for *_, level, inside in _chunks(path, k * block, min(size, (k + 1) * block), within, 0):
-                    depth = int(level[-1])
-                depths[within] = depth, inside
-            yield pa.RecordBatch.from_pylist([{"block": k, "without": depths[False][0], "within": depths[True][0], "opens": depths[False][1]}])
+            depth, inside, all_steps = 0, False, 0
+            for _, data, *_, level, inside in _chunks(parts, k * block, min(size, (k + 1) * block), False, 0):
+                depth = int(level[-1])
+                all_steps += sum(data.count(c) for c in (b"[", b"{")) - sum(data.count(c) for c in (b"]", b"}"))
+            # Within a text, what stands outside texts is just the other brackets.
+            yield pa.RecordBatch.from_pylist([{"block": k, "without": depth, "within": all_steps - depth, "opens": inside}])
 
     return run
 
 
-def _outer(path: str, size: int, block: int, states: list[tuple[bool, int]]):
+def _outer(parts: list, size: int, block: int, states: list[tuple[bool, int]]):
     """The brackets that lead to or from a depth of ``_INNER`` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in (k for batch in batches for k in batch["id"].to_pylist()):
             inside, depth = states[k]
-            for begin, _, own, outside, level, _ in _chunks(path, k * block, min(size, (k + 1) * block), inside, depth):
-                opens, closes = np.isin(own, (ord("["), ord("{"))), np.isin(own, (ord("]"), ord("}")))
+            for begin, _, own, outside, level, _ in _chunks(parts, k * block, min(size, (k + 1) * block), inside, depth):
+                opens, closes = _STEPS[own] > 0, _STEPS[own] < 0
                 at = np.flatnonzero(outside & (opens & (level <= _INNER) | closes & (level < _INNER)))
                 yield pa.RecordBatch.from_arrays([pa.array(begin + at), pa.array(level[at].astype(np.int64)), pa.array([chr(c) for c in own[at]], pa.string())], names=["at", "depth", "bracket"])
 
@@ -99,19 +155,20 @@ def index_of(spark: SparkSession, path: str, block: int = BLOCK) -> dict:
     of arrays such as ``tables[i].records`` (the owner's id is its member ``id``) and ``viewRecords.x``.
     As large as the number of tables, views and blocks; both passes over the file are Spark jobs.
     """
-    with _open(path) as file:
-        size = file.size()
+    files = parts_of(path)
+    size = sum(n for _, n in files)
+    block = max(block, -(-size // MOST_BLOCKS))
     blocks = -(-size // block)
     each = spark.range(0, blocks, 1, max(1, blocks)).select("id")
-    rows = {r.block: r for r in each.mapInArrow(_counted(path, size, block), "block long, without long, within long, opens boolean").collect()}
+    rows = {r.block: r for r in each.mapInArrow(_counted(files, size, block), "block long, without long, within long, opens boolean").collect()}
     states, inside, depth = [], False, 0
     for k in range(blocks):
         states.append((inside, depth))
         depth += rows[k].within if inside else rows[k].without
         inside = inside != rows[k].opens
-    outer = each.mapInArrow(_outer(path, size, block, states), "at long, depth long, bracket string").orderBy("at")
+    outer = each.mapInArrow(_outer(files, size, block, states), "at long, depth long, bracket string").orderBy("at")
     arrays, opened = [], []
-    with _open(path) as file:
+    with _Document(files) as file:
         def text(begin: int, end: int) -> str:
             file.seek(max(0, begin))
             return file.read(max(0, end - max(0, begin))).decode("utf-8", "replace")
@@ -138,7 +195,7 @@ def index_of(spark: SparkSession, path: str, block: int = BLOCK) -> dict:
                 opened[-1]["made"].append(arrays[-1])
             elif r.bracket == "]" and len(opened) == _OUTER - 1 and len(opened) == 2:
                 arrays.append([opened[-1]["name"], None, own["name"], own["at"], r.at, _OUTER])
-    return {"block": block, "size": size, "states": states, "arrays": arrays}
+    return {"files": files, "block": block, "size": size, "states": states, "arrays": arrays}
 
 
 def _member_id(owner: dict, text, upto: int) -> None:
@@ -148,13 +205,13 @@ def _member_id(owner: dict, text, upto: int) -> None:
         owner["id"] = json.loads(m[1]) if m else None
 
 
-def elements(path: str, begin: int, end: int, low: int, high: int, inside: bool, depth: int, array_depth: int) -> Iterator[tuple[int, bytes]]:
+def elements(parts: list, begin: int, end: int, low: int, high: int, inside: bool, depth: int, array_depth: int) -> Iterator[tuple[int, bytes]]:
     """Place and text of the elements of an array (its brackets at ``begin`` and ``end``) whose preceding comma or bracket lies in [low, high).
 
     ``inside``, ``depth``: the state at ``low``.
     """
     held, since = b"", None
-    for at, data, own, outside, level, _ in _chunks(path, low, end + 1, inside, depth):
+    for at, data, own, outside, level, _ in _chunks(parts, low, end + 1, inside, depth):
         cuts = np.flatnonzero(outside & (((own == ord(",")) & (level == array_depth)) | ((own == ord("]")) & (level == array_depth - 1))))
         if at <= begin < at + len(data):
             cuts = np.concatenate([[begin - at], cuts[cuts > begin - at]])
@@ -198,7 +255,7 @@ class RecordedExport(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.index = options["path"], json.loads(options["index"])
+        self.index = json.loads(options["index"])
         self.only = json.loads(options.get("only", "null"))
         self.tests: list[tuple[str, object]] = []
 
@@ -220,7 +277,7 @@ class _Reader(DataSourceReader):
         if partition is None:  # no ranges
             return
         tests = [(column, _TESTS[type(f)](f)) for column, f in self.tests if column != "table_id"]
-        for at, text in elements(self.path, *partition.range):
+        for at, text in elements(self.index["files"], *partition.range):
             record = json.loads(text)
             own = {"record_id": record.get("id"), "created_time": record.get("createdTime")}
             if all(test(own[column]) for column, test in tests):
@@ -241,24 +298,25 @@ class _FilteringReader(_Reader):
                 yield f
 
 
-def export_records(spark: SparkSession, path: str, only: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+def export_records(spark: SparkSession, path: str, only: list[str] | None = None, block: int = BLOCK, index: dict | None = None) -> DataFrame:
     """The records of one recorded export: ``table_id, record_id, at, created_time, fields``.
 
-    ``path`` is one JSON document as ``exports.table_export`` reads it; ``at`` grows in the order of the
-    records. ``only`` names the fields to keep. A task reads about ``block`` bytes, whatever the
-    tables' sizes. With ``spark.sql.python.filterPushdown.enabled`` comparisons of ``table_id``,
+    ``path`` is one JSON document as ``exports.table_export`` reads it, a file or a folder of files that
+    make it up in the order of their names; ``index``, from ``index_of``, saves reading it for that again. ``at`` grows in the order of the
+    records. ``only`` names the fields to keep. A task reads about ``block`` bytes, or a thousandth of
+    the document if that is more, whatever the tables' sizes. With ``spark.sql.python.filterPushdown.enabled`` comparisons of ``table_id``,
     ``record_id`` and ``created_time`` with literals are made by the reader: records of other tables are not read at all.
     """
     spark.dataSource.register(RecordedExport)
-    reader = spark.read.format("recorded_export").option("path", path).option("index", json.dumps(index_of(spark, path, block)))
+    reader = spark.read.format("recorded_export").option("index", json.dumps(index or index_of(spark, path, block)))
     reader = reader.option("push", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
     return (reader.option("only", json.dumps(only)) if only is not None else reader).load()
 
 
-def view_records(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
+def view_records(spark: SparkSession, path: str, block: int = BLOCK, index: dict | None = None) -> DataFrame:
     """``view_id, record_id``: which records each view of a recorded export shows; a view's list is read in ranges of about ``block`` bytes."""
-    index = index_of(spark, path, block)
-    parts = []
+    index = index or index_of(spark, path, block)
+    block, files, parts = index["block"], index["files"], []
     for owner, _, view, begin, end, depth in index["arrays"]:
         if owner == "viewRecords" and depth == _OUTER:
             edges = [begin, *[k * block for k in range(begin // block + 1, end // block + 1)], end + 1]
@@ -268,7 +326,7 @@ def view_records(spark: SparkSession, path: str, block: int = BLOCK) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in (r for batch in batches for r in batch.to_pylist()):
-            ids = [json.loads(text) for _, text in elements(path, r["begin"], r["end"], r["low"], r["high"], r["inside"], r["level"], r["depth"])]
+            ids = [json.loads(text) for _, text in elements(files, r["begin"], r["end"], r["low"], r["high"], r["inside"], r["level"], r["depth"])]
             yield pa.RecordBatch.from_arrays([pa.array([r["view"]] * len(ids), pa.string()), pa.array(ids, pa.string())], names=["view_id", "record_id"])
 
     ranges = spark.createDataFrame(parts, "view string, begin long, end long, low long, high long, inside boolean, level long, depth long")

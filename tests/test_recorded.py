@@ -52,3 +52,21 @@ def test_other_documents(spark, tmp_path):
         path.write_text(text)
         assert export_records(spark, str(path), block=5).collect() == view_records(spark, str(path), block=5).collect() == []
     assert index_of(spark, str(tmp_path / "1.json"))["arrays"] == []
+
+
+def test_a_document_in_parts(spark, tmp_path, monkeypatch):
+    """Files of a folder, cut anywhere, are one document in the order of their names; its blocks are no more than allowed."""
+    from notemill.sources import recorded
+
+    text = json.dumps(document(4), ensure_ascii=False).encode()
+    (tmp_path / "whole.json").write_bytes(text)
+    (tmp_path / "parts").mkdir()
+    for k, at in enumerate(range(0, len(text), 1013)):
+        (tmp_path / "parts" / f"part-{k:05d}").write_bytes(text[at : at + 1013])
+    (tmp_path / "parts" / "_SUCCESS").write_bytes(b"")
+    monkeypatch.setattr(recorded, "MOST_BLOCKS", 7)
+    index = index_of(spark, str(tmp_path / "parts"), 97)
+    assert len(index["states"]) <= 7 and len(index["files"]) > 7
+    rows = lambda df: sorted((r[0], *map(str, r[1:])) for r in df.collect())
+    assert rows(export_records(spark, str(tmp_path / "parts"), index=index)) == rows(export_records(spark, str(tmp_path / "whole.json"))) != []
+    assert rows(view_records(spark, str(tmp_path / "parts"), index=index)) == rows(view_records(spark, str(tmp_path / "whole.json"))) != []
