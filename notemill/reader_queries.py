@@ -118,10 +118,12 @@ def outliner_round_trip(spark, sf_dir):
     key = F.col("c_custkey").cast("string")
     below = F.array(F.struct(F.col("c_mktsegment").alias("string"), F.concat(F.lit("d"), key).alias("uid")))
     block = F.struct(F.col("c_name").alias("string"), F.concat(F.lit("c"), key).alias("uid"), below.alias("children"))
-    pages = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", block.alias("b")))).alias("rows"))
+    # A page that many tasks wrote: a file for each 10,000 customers has its part of every page.
+    pages = table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 10_000).alias("file"), "c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", block.alias("b")))).alias("rows"))
     pages = pages.join(F.broadcast(table(spark, sf_dir, "nation")), F.expr("c_nationkey = n_nationkey"))
     graph = F.to_json(F.struct(F.col("n_name").alias("title"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("uid"), F.transform("rows", lambda r: r["b"]).alias("children")))
-    read = tables.outline_blocks(spark, _written(pages.select("n_nationkey", F.concat(F.lit("["), graph, F.lit("]")).alias("graph")), "graph", "outliner", "n_nationkey"))
+    graphs = pages.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(graph)), ","), F.lit("]")).alias("graph"))
+    read = tables.outline_blocks(spark, _written(graphs, "graph", "outliner", "file"))
     return read.select("page", "parent_uid", "uid", "text", F.size("path").alias("depth"))
 
 

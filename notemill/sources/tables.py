@@ -88,7 +88,11 @@ def outline_blocks(spark: SparkSession, path: str) -> DataFrame:
 
     Children are kept as JSON text and read one level at a time, until no block has any.
     """
-    level = spark.read.schema("title string, uid string, children array<string>").option("multiLine", "true").json(path)
+    files = spark.read.format("binaryFile").load(path).select("content")
+    wide = F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
+    text = F.when(wide, F.decode("content", "UTF-16")).otherwise(F.regexp_replace(F.col("content").cast("string"), "^\ufeff", ""))
+    # The reader of JSON files opens the file again for each value that is kept as text; from text in memory it is cut out.
+    level = files.select(F.inline(F.from_json(text, "array<struct<title:string, uid:string, children:array<string>>>")))
     level = level.select(F.col("title").alias("page"), F.col("uid").alias("parent_uid"), F.array().cast("array<int>").alias("path"), "children")
     columns = "page", "uid", "parent_uid", "path", "text", "heading"
     out = None

@@ -238,3 +238,32 @@ def test_small_entries_go_many_at_a_time(spark, tmp_path):
     began = time.perf_counter()
     rows = files.zip_entries(files.scan(spark, str(tmp_path), "*.zip")).selectExpr("count(*) AS n", "sum(size) AS size", "count(DISTINCT entry, content, mtime) AS different", "count(error) AS failed").first()
     assert tuple(rows) == (10_000, sum(len(f"text {k}") for k in range(10_000)), 10_000, 0) and time.perf_counter() - began < 10
+
+
+def test_outline_files_are_read_once(spark, tmp_path):
+    """One object or a list, with a byte order mark or in UTF-16, a broken file; reading takes no file's bytes again for each block."""
+    import json
+
+    page = lambda t, n: {"title": t, "uid": t, "children": [{"string": f"é {k}", "uid": f"{t}{k}", "children": [{"string": "x", "uid": f"{t}{k}x"}]} for k in range(n)]}
+    (tmp_path / "a.json").write_text(json.dumps([page("A", 2), page("B", 1)], ensure_ascii=False), "utf-8")
+    (tmp_path / "b.json").write_text(json.dumps(page("C", 1), ensure_ascii=False, indent=1), "utf-8-sig")
+    (tmp_path / "c.json").write_text(json.dumps([page("D", 1)], ensure_ascii=False), "utf-16")
+    (tmp_path / "d.json").write_text('[{"title": "E", "chil')
+    rows = tables.outline_blocks(spark, str(tmp_path)).select("page", "uid", "parent_uid", "path", "text").collect()
+    want = [(t, f"{t}{k}", t, [k], f"é {k}") for t, n in zip("ABCD", (2, 1, 1, 1)) for k in range(n)]
+    want += [(t, f"{u}x", u, [*at, 0], "x") for t, u, _, at, _ in want]
+    assert sorted(map(tuple, rows)) == sorted(want)
+
+
+def test_pages_of_an_outline_are_dealt_to_files(spark, tmp_path):
+    """Each page in a file of its own would be one task's, however large it is."""
+    import pathlib
+
+    from notemill.reader_queries import outliner_round_trip
+    from notemill.staging import shared_dir
+
+    spark.range(30_000).selectExpr("id AS c_custkey", "concat('C', id) AS c_name", "id % 2 AS c_nationkey", "'M' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("SELECT n AS n_nationkey, concat('N', n) AS n_name FROM VALUES (0L), (1L) AS t(n)").write.parquet(f"{tmp_path}/nation.parquet")
+    assert outliner_round_trip(spark, str(tmp_path)).count() == 60_000
+    made = max(pathlib.Path(shared_dir(spark).removeprefix("file://")).glob("outliner-*"), key=lambda p: p.stat().st_mtime)
+    assert len(list(made.glob("file=*/part-*"))) == 3
