@@ -11,6 +11,10 @@ _PIECE = re.compile(r"\s*(?:\[\[(?P<page>[^\[\]]+)\]\]|#\[\[(?P<wide>[^\[\]]+)\]
 _AROUND = re.compile(r"^\s*\{\{\s*(?:\[\[query\]\]|query)\s*:(.*)\}\}\s*$", re.I | re.S)
 
 
+#: Tags that one word of bits tells of.
+_WORD = 63
+
+
 class QueryError(ValueError):
     """A saved query that is not well formed."""
 
@@ -43,10 +47,10 @@ def tags_of(query: tuple) -> set[str]:
     return {query[1]} if query[0] == "tag" else set().union(*map(tags_of, query[1:]))
 
 
-def holds(query: tuple, present: Column) -> Column:
-    """Whether the query holds where these tags are present."""
+def holds(query: tuple, present: dict[str, Column]) -> Column:
+    """Whether the query holds; ``present`` tells of each tag whether it is there."""
     if query[0] == "tag":
-        return F.array_contains(present, query[1])
+        return present[query[1]]
     out = None
     for part in (holds(q, present) for q in query[1:]):
         part = ~part if query[0] == "not" else part
@@ -65,25 +69,23 @@ def _bare(query: tuple) -> bool:
 def matching(postings: DataFrame, queries: dict[str, str], block: str = "block_id", tag: str = "tag") -> DataFrame:
     """``query, block_id``: the blocks that each saved query finds.
 
-    ``postings`` has a row per block and tag, ``queries`` are texts by name. Only postings of tags that a
-    query names are read on; they are gathered by query and block, and each query is then one
-    expression over the tags that a block has of it. A query that holds where none of its tags is,
-    finds all other blocks as well. Tags count whatever their case; a block without a row is not known.
+    ``postings`` has a row per block and tag, ``queries`` are texts by name. Each tag that a query names is a
+    bit; the bits of a block are gathered once, whatever the number of queries, and each query is then one
+    expression over them. Postings of other tags only count if some query holds where none of its tags is.
+    Tags count whatever their case; a block without a row is not known.
     """
     known = {name: parse(text) for name, text in queries.items()}
     if not known:
         return postings.select(F.lit("").alias("query"), block).limit(0)
-    asked = [(t, sorted(name for name, q in known.items() if t in tags_of(q))) for t in sorted(set().union(*map(tags_of, known.values())))]
+    tags = sorted(set().union(*map(tags_of, known.values())))
     spark = postings.sparkSession
-    wanted = spark.createDataFrame(asked, "_tag string, _queries array<string>")
-    found = postings.withColumn("_tag", F.lower(tag)).join(wanted, "_tag").select(F.explode("_queries").alias("query"), block, "_tag")
-    have = found.groupBy("query", block).agg(F.collect_set("_tag").alias("_tags"))
-    test = F.lit(False)
-    for name, q in known.items():
-        test = F.when(F.col("query") == name, holds(q, F.col("_tags"))).otherwise(test)
-    hits = have.where(test).select("query", block)
-    bare = [name for name, q in known.items() if _bare(q)]
-    if bare:
-        every = postings.select(block).distinct().select(F.explode(F.array(*map(F.lit, bare))).alias("query"), block)
-        hits = hits.unionByName(every.join(have.select("query", block), ["query", block], "left_anti"))
-    return hits
+    # 63 bits a word: sums of bits in words need no room that grows, as lists of tags would.
+    wanted = spark.createDataFrame([(t, k // _WORD, 1 << k % _WORD) for k, t in enumerate(tags)], "_tag string, _word int, _bit long")
+    every = any(map(_bare, known.values()))
+    found = postings.select(block, F.lower(tag).alias("_tag")).join(F.broadcast(wanted), "_tag", "left" if every else "inner")
+    words = [f"_w{k}" for k in range(-(-len(tags) // _WORD))]
+    bits = [F.bit_or(F.when(F.col("_word") == k, F.col("_bit")).otherwise(F.lit(0))).alias(w) for k, w in enumerate(words)]
+    have = found.groupBy(block).agg(*bits)
+    present = {t: F.col(words[k // _WORD]).bitwiseAND(F.lit(1 << k % _WORD)) != 0 for k, t in enumerate(tags)}
+    held = F.array_compact(F.array(*[F.when(holds(q, present), F.lit(name)) for name, q in known.items()]))
+    return have.select(F.explode(held).alias("query"), block)

@@ -76,3 +76,20 @@ def test_tag_queries():
     for text in ("", "[[a]]", "{and: }", "{and: [[a]]", "{and: [[a]]} {or: [[b]]}", "{and: a}", "}", "{xor: [[a]]}"):
         with pytest.raises(QueryError):
             parse(text)
+
+
+def test_tag_queries_over_many_tags(spark):
+    """More tags than one word of bits holds, tags twice and in any case; lists of a block's tags are gathered nowhere."""
+    import random
+
+    from notemill.operators.tag_queries import matching
+
+    rng = random.Random(1)
+    blocks = {k: {f"Tag {t}" for t in rng.sample(range(150), 12)} for k in range(60)}
+    postings = spark.createDataFrame([(k, rng.choice([t, t.upper()])) for k, tags in blocks.items() for t in tags for _ in range(2)], "block_id long, tag string")
+    queries = {f"q{i}": f"{{or: [[tag {i}]] {{and: [[tag {149 - i}]] {{not: [[tag {i + 1}]]}}}}}}" for i in range(75)} | {"bare": "{not: [[tag 1]] [[tag 140]]}", "none": "{or: [[nowhere]]}"}
+    has = lambda k, t: f"Tag {t}" in blocks[k]
+    want = {(f"q{i}", k) for i in range(75) for k in blocks if has(k, i) or has(k, 149 - i) and not has(k, i + 1)} | {("bare", k) for k in blocks if not has(k, 1) and not has(k, 140)}
+    found = matching(postings, queries)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "collect_set" not in found._jdf.queryExecution().toString()
