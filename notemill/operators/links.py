@@ -63,11 +63,21 @@ def views_showing_all(record_view: DataFrame, records: DataFrame, view: str = "v
     return shown.join(totals, table).where("shown = in_table").select(view, table)
 
 
-def discovered(found: DataFrame, item: str = "id", parent: str = "parent_id", parent_type: str = "parent_type") -> DataFrame:
-    """Search results without those that hang on a block, and without children of those."""
+def discovered(found: DataFrame, item: str = "id", parent: str = "parent_id", parent_type: str = "parent_type", most: int = 10_000) -> DataFrame:
+    """Search results without those that hang on a block, and without children of those.
+
+    Parents of more than ``most`` items (all top pages name their workspace) are looked up
+    once, in a small table, so that no task gets all items of one.
+    """
     dropped = found.where(F.col(parent_type) == "block_id").select(item)
     kept = found.join(dropped, item, "left_anti")
-    return kept.join(dropped.select(F.col(item).alias(parent)), parent, "left_anti").select(*found.columns)
+    named = found.select(F.col(parent).alias("_parent"), F.lit(1).alias("_n"), F.lit(False).alias("_gone"))
+    every = named.unionByName(dropped.select(F.col(item).alias("_parent"), F.lit(0).alias("_n"), F.lit(True).alias("_gone")))
+    common = every.groupBy("_parent").agg(F.sum("_n").alias("_n"), F.bool_or("_gone").alias("_gone")).where(F.col("_n") > most).select("_parent", "_gone")
+    marked = kept.join(F.broadcast(common), F.col(parent) == F.col("_parent"), "left").where(~F.coalesce("_gone", F.lit(False)))
+    # The others ask for their parent; items whose parent is known or that have none go by their own id, which is not among the dropped ones.
+    asked = marked.withColumn("_asked", F.coalesce(F.when(F.col("_gone").isNull(), F.col(parent)), F.col(item)))
+    return asked.join(dropped.select(F.col(item).alias("_asked")), "_asked", "left_anti").select(*found.columns)
 
 
 def defined_and_mentioned(defined: DataFrame, mentioned: DataFrame, block: str = "block_id") -> DataFrame:

@@ -14,7 +14,7 @@ from notemill.catalogue import query, table
 from notemill.functions.values import field_value
 from notemill.operators import links
 from notemill.sources import exports, files, recorded, tables
-from notemill.staging import new_path
+from notemill.staging import new_path, stage
 from notemill.streaming import keyed
 
 
@@ -166,11 +166,11 @@ def page_export_round_trip(spark, sf_dir):
     page = F.struct(
         F.concat(F.lit("p"), key.cast("string")).alias("id"), F.lit("page").alias("object"), parent.alias("parent"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_time"), F.create_map(F.lit("Customer"), F.from_json(relation, "type string, relation array<struct<id:string>>")).alias("properties"),
     )
-    pages = exports.page_export(spark, _written(table(spark, sf_dir, "orders").select(F.to_json(page).alias("page")), "page", "pages"))
-    found = links.discovered(pages)
-    edges = exports.page_relations(found, "Customer")
+    pages = stage(exports.page_export(spark, _written(table(spark, sf_dir, "orders").select(F.to_json(page).alias("page")), "page", "pages")), "pages")
+    found = links.discovered(pages.select("id", "parent_type", "parent_id", "created_time"))  # without properties, which are wide
+    edges = exports.page_relations(pages, "Customer").join(found.select("id", F.col("created_time").cast("timestamp_ntz").alias("created")), "id")
     people = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("target"), F.concat(F.lit("Customers/"), "c_name").alias("path"))
-    return edges.join(people, "target").join(found.select("id", F.col("created_time").cast("timestamp_ntz").alias("created")), "id").select("id", "target", "path", "created")
+    return edges.join(people, "target").select("id", "target", "path", "created")
 
 
 @query(

@@ -41,6 +41,30 @@ def test_links(spark):
     assert rows(links.defined_and_mentioned(blocks, spark.createDataFrame([("b1",), ("b1",), ("b9",)], "block_id string")), "block_id") == [("b1",)]
 
 
+def test_items_of_one_parent_are_dealt_out(spark):
+    """All top pages name one workspace, a database its rows: a join on the parent alone would give them to one task."""
+    n, no_broadcast = 4_000, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    found = spark.range(n).selectExpr(
+        "concat('i', id) AS id", "CASE WHEN id IN (3, 7, 13) THEN 'block_id' WHEN id % 2 = 0 THEN 'workspace' WHEN id % 4 = 1 THEN 'page_id' ELSE 'database_id' END AS parent_type",
+        "CASE WHEN id IN (3, 7, 13) THEN 'b' WHEN id % 40 = 0 THEN NULL WHEN id % 2 = 0 THEN 'true' WHEN id % 100 = 1 THEN 'i13' WHEN id % 4 = 1 THEN 'i5' WHEN id % 500 < 300 THEN 'i3' ELSE concat('i', id - 4) END AS parent_id",
+    )
+    found = found.unionByName(found.where("id IN ('i3', 'i8')"))  # results can come twice
+    rows_ = [tuple(r) for r in found.collect()]
+    gone = {i for i, kind, _ in rows_ if kind == "block_id"}
+    want = sorted(i for i, _, p in rows_ if i not in gone and p not in gone)
+    before = {k: spark.conf.get(k) for k in no_broadcast}
+    try:
+        for k, v in no_broadcast.items():
+            spark.conf.set(k, v)
+        for most in (0, 100, n):
+            assert sorted(r.id for r in links.discovered(found, most=most).collect()) == want
+        spread = [r["count"] for r in links.discovered(found, most=100).groupBy(F.spark_partition_id()).count().collect()]
+        assert len(spread) == 4 and max(spread) < 0.4 * len(want)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_paths_resolve_in_turn(spark):
     files = spark.createDataFrame([("d/a.md",), ("b.html",), ("X.md",), ("x.md",), ("d/sub/Pic.png",)], "path string")
     hrefs = spark.createDataFrame([("a", "d"), ("/b#top", "d"), ("X.md", ""), ("../d/sub/pic.png", "d"), ("none", "d"), ("a%2Emd", "d")], "href string, folder string")
