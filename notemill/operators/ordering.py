@@ -21,11 +21,13 @@ def unique_names(rows: DataFrame, folder: str, name: str, ordinal: str, taken: D
     if taken is not None:
         used = taken.select(F.col(folder), F.lower(F.col(name)).alias("_key")).distinct().withColumn("_used", F.lit(1))
         base = base.join(used, [folder, "_key"], "left").withColumn("_n", F.col("_n") + F.coalesce("_used", F.lit(0))).drop("_used")
-    first = base.where("_n = 0").select(folder, "_key")
-    fixed = first if taken is None else first.unionByName(used.select(folder, "_key"))
     # A number is free if no natural or existing name of the folder spells it: the n-th row takes the n-th free number.
-    numbered = fixed.withColumn("_stem", F.regexp_extract("_key", rf"(?s)^(.*) ([1-9][0-9]{{0,8}}){_quoted(extension.lower())}$", 1)).withColumn("_num", F.regexp_extract("_key", rf"(?s)^(.*) ([1-9][0-9]{{0,8}}){_quoted(extension.lower())}$", 2).try_cast("int"))
-    blocked = numbered.where(F.col("_num").isNotNull()).groupBy(folder, (F.concat("_stem", F.lit(extension.lower()))).alias("_key")).agg(F.array_sort(F.collect_set("_num")).alias("_blocked"))
+    # Few names end in a number, and one look at the end tells; only theirs are taken apart.
+    keys = rows.select(folder, F.lower(with_ext(F.col(name))).alias("_key"))
+    keys = keys if taken is None else keys.unionByName(taken.select(folder, F.lower(F.col(name)).alias("_key")))
+    number_at_end = rf" ([1-9][0-9]{{0,8}}){_quoted(extension.lower())}$"
+    numbered = keys.where(F.col("_key").rlike(number_at_end)).select(folder, F.regexp_extract("_key", f"(?s)^(.*){number_at_end}", 1).alias("_stem"), F.regexp_extract("_key", number_at_end, 1).cast("int").alias("_num"))
+    blocked = numbered.groupBy(folder, F.concat("_stem", F.lit(extension.lower())).alias("_key")).agg(F.array_sort(F.collect_set("_num")).alias("_blocked"))
     base = base.join(blocked, [folder, "_key"], "left")
     shifted = F.aggregate(F.coalesce("_blocked", F.array().cast("array<int>")), F.col("_n"), lambda n, b: F.when(b <= n, n + 1).otherwise(n))
     number = F.when(F.col("_n") == 0, F.col("_n")).otherwise(shifted)

@@ -52,28 +52,32 @@ def plan(incoming: DataFrame, state: DataFrame, mode: str = "update") -> DataFra
         raise ValueError(f"mode is one of {MODES}")
     parent = F.nullif(F.col("folder"), F.lit(""))
     name = F.concat(F.regexp_replace(file_name(F.col("title")), r"(?i)\.md$", ""), F.lit(".md"))
-    notes = incoming.withColumn("desired_path", F.concat_ws("/", parent, name)).withColumn("_hash", F.sha2("content", 256))
+    notes = incoming.withColumn("desired_path", F.concat_ws("/", parent, name)).withColumn("_hash", F.when(F.col("mtime").isNull(), F.sha2("content", 256)))  # asked for only without a time
     held = state.select(F.col("path").alias("_path"), F.col("source_id").alias("_owner"), F.col("mtime").alias("_kept"), (F.col("hash") if "hash" in state.columns else F.sha2("content", 256)).alias("_held"))
     light = notes.drop("content")
+    none = F.lit(None).cast("string")
     if mode == "copy":
-        matched = light.withColumn("_match", F.lit(None).cast("string"))
+        wanted = stage(light.withColumn("_want", none), "plan")
+        matched = wanted.withColumn("_match", none)
     else:
         found = light.join(imported_index(state), light.source_id == F.col("_id"), "left")
         by_path = held.groupBy(F.lower("_path").alias("_key")).agg(F.min_by("_path", "_path").alias("_at"), F.min_by("_owner", "_path").alias("_at_owner"))
         found = found.join(by_path, F.lower("desired_path") == F.col("_key"), "left")
         foreign = F.col("_at_owner").isNotNull() & F.col("source_id").isNotNull() & (F.col("_at_owner") != F.col("source_id"))
-        wanted = found.withColumn("_want", F.coalesce("_by_id", F.when(~foreign, F.col("_at"))))
+        wanted = stage(found.withColumn("_want", F.coalesce("_by_id", F.when(~foreign, F.col("_at")))).select(*light.columns, "_by_id", "_want"), "plan")
         # A match by id goes before one by path; then the order of arrival decides. Notes
-        # that want none, on a first import all, are dealt out by their own number.
-        turn = Window.partitionBy("_want", F.when(F.col("_want").isNull(), F.col("ordinal"))).orderBy(F.col("_by_id").isNull(), "ordinal")
-        matched = wanted.withColumn("_match", F.when(F.row_number().over(turn) == 1, F.col("_want")))
-    matched = stage(matched.select(*light.columns, "_match"), "plan")
+        # that want none, on a first import all, take no turn.
+        turn = Window.partitionBy("_want").orderBy(F.col("_by_id").isNull(), "ordinal")
+        asking = wanted.where("_want IS NOT NULL").withColumn("_match", F.when(F.row_number().over(turn) == 1, F.col("_want")))
+        matched = wanted.where("_want IS NULL").withColumn("_match", none).unionByName(asking).drop("_by_id")
+    matched = matched.drop("_want")
     fresh = matched.where("_match IS NULL").withColumn("_folder", F.coalesce("folder", F.lit(""))).withColumn("_stem", F.regexp_replace(F.substring_index("desired_path", "/", -1), r"\.md$", ""))
     taken = held.select(F.regexp_extract("_path", r"^(.*)/[^/]*$", 1).alias("_folder"), F.substring_index("_path", "/", -1).alias("_stem"))
     named = unique_names(fresh, "_folder", "_stem", "ordinal", taken, out="_name", extension=".md")
     named = named.withColumn("path", F.concat_ws("/", F.nullif("_folder", F.lit("")), F.col("_name"))).drop("_folder", "_stem", "_name")
-    known = matched.where("_match IS NOT NULL").withColumn("path", F.col("_match"))
-    every = named.unionByName(known).join(held, F.col("_match") == F.col("_path"), "left")
+    # New notes match no row of the state and stay out of the join, where they would all have one key.
+    known = matched.where("_match IS NOT NULL").withColumn("path", F.col("_match")).join(held, F.col("_match") == F.col("_path"), "left")
+    every = named.unionByName(known, allowMissingColumns=True)
     how = disposition(mode, F.col("_match").isNotNull(), F.col("path"), F.col("desired_path"), F.col("_kept"), F.col("mtime"), F.col("_held") == F.col("_hash"))
     return every.withColumn("disposition", how).drop("_match", "_path", "_owner", "_kept", "_held", "_hash").withColumn("outcome", _outcome())
 
@@ -92,7 +96,7 @@ def applied(planned: DataFrame, incoming: DataFrame, state: DataFrame) -> DataFr
     """The next state: planned writes over the former notes."""
     writes = written(planned).select("path", "ordinal")
     new = incoming.join(writes, "ordinal").select("path", "source_id", "mtime", "content")
-    return state.select("path", "source_id", "mtime", "content").join(new.select("path"), "path", "left_anti").unionByName(new)
+    return state.select("path", "source_id", "mtime", "content").join(writes.select("path"), "path", "left_anti").unionByName(new)
 
 
 def report(planned: DataFrame) -> DataFrame:

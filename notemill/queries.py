@@ -594,7 +594,7 @@ def window_counts(spark, sf_dir):
 def streamed_import(spark, sf_dir):
     notes, _ = _events_as_notes(spark, sf_dir)
     source, state, marks = (new_path(spark, x) for x in ("stream", "state", "marks"))
-    notes.drop("ordinal").repartition(3).write.parquet(source)
+    notes.drop("ordinal").repartition(3).write.option("parquet.block.size", 16 << 20).parquet(source)  # several tasks share a large file
     stream = spark.readStream.schema("folder string, title string, source_id string, mtime long, content string").option("maxFilesPerTrigger", 2).parquet(source)
     imports.start_import(stream, state, marks).awaitTermination()
     return imports.current_state(spark, state)[1].select("path", "source_id", "mtime")

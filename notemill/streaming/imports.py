@@ -83,7 +83,7 @@ def apply_batch(batch: DataFrame, batch_id: int, folder: str, mode: str = "updat
     key = F.coalesce("source_id", F.concat_ws("/", "folder", "title"))
     newest = F.max_by(F.struct(*batch.columns), F.struct("mtime", F.sha2("content", 256).alias("h"), F.xxhash64(*batch.columns).alias("x")))
     latest = batch.withColumn("_key", key).groupBy("_key").agg(newest.alias("n")).select("n.*")
-    incoming = latest.drop("ordinal").withColumn("ordinal", F.xxhash64("source_id", "folder", "title"))
+    incoming = stage(latest.drop("ordinal").withColumn("ordinal", F.xxhash64("source_id", "folder", "title")), "incoming")
     bucket = F.pmod(F.xxhash64("path"), F.lit(before["buckets"])).cast("int")
     planned = stage(plan(incoming, _read(spark, folder, before["wrote"]), mode).select("ordinal", "path", "disposition"), "planned")
     changed = [str(r.b) for r in written(planned).select(bucket.alias("b")).distinct().collect()]
@@ -93,7 +93,7 @@ def apply_batch(batch: DataFrame, batch_id: int, folder: str, mode: str = "updat
     after.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(to)
     wrote = before["wrote"] | {b: version + 1 for b in changed}
     _mark(spark, to, {"runs": before["runs"] | {run: batch_id}, "buckets": before["buckets"], "wrote": wrote})
-    unstage(planned)
+    unstage(planned, incoming)
     kept = {v: versions[v]["wrote"] for v in sorted(versions)[len(versions) + 1 - keep :]} | {version + 1: wrote}
     _clear(spark, folder, version, kept)
 

@@ -46,6 +46,28 @@ def test_a_second_run_changes_nothing(spark):
     assert sorted(map(tuple, upsert.applied(again, notes, first).collect())) == sorted(map(tuple, first.collect()))
 
 
+def test_new_notes_are_dealt_out(spark):
+    """Notes that match none of a held state have one and the same key in a join on the match: it would give them all to one task."""
+    notes = spark.range(2_000).selectExpr("'F' AS folder", "concat('n', id % 1500) AS title", "concat('s', id) AS source_id", "5L AS mtime", "'c' AS content", "id AS ordinal")
+    state = spark.range(1_900, 2_100).selectExpr("concat('Old/n ', id, '.md') AS path", "concat('s', id) AS source_id", "5L AS mtime", "'c' AS content")
+    state = state.unionByName(spark.createDataFrame([("F/N3.md", "else", 5, "x"), ("F/n3 1.md", None, 5, "x"), ("F/n4 2.MD", None, 5, "x")], STATE))
+    settings_ = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings_}
+    try:
+        for k, v in settings_.items():
+            spark.conf.set(k, v)
+        planned = upsert.plan(notes, state)
+        spread = [r["count"] for r in planned.groupBy(F.spark_partition_id()).count().collect()]
+        got = {r.ordinal: (r.path, r.disposition) for r in planned.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(spread) == 2_000 and max(spread) < 1_000
+    want = {k: (f"F/n{k % 1500}{' 1' if k >= 1500 else ''}.md", "create") for k in range(1_900)} | {k: (f"Old/n {k}.md", "unchanged") for k in range(1_900, 2_000)}
+    want |= {3: ("F/n3 2.md", "create"), 1503: ("F/n3 3.md", "create")}
+    assert got == want
+
+
 def test_attachments_and_types(spark):
     found = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("c", 3, "z")], "path string, size int, digest string")
     there = spark.createDataFrame([("a", 1, "x"), ("b", 9, "y")], "path string, size int, digest string")
