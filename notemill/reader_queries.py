@@ -14,7 +14,7 @@ from notemill.catalogue import query, table
 from notemill.functions.values import field_value
 from notemill.operators import links
 from notemill.sources import exports, files, recorded, tables
-from notemill.staging import new_path, stage
+from notemill.staging import move_path, new_path, stage
 from notemill.streaming import keyed
 
 
@@ -222,9 +222,16 @@ def keyed_reimports(spark, sf_dir):
     batches = [note(orders.where(F.col("y") == y), F.col("m"), False) for y in years]
     ends = orders.groupBy("o_custkey", "y").agg(F.max("m").alias("m")).groupBy("o_custkey").agg(F.min("m").alias("first"), F.max("m").alias("last"))
     batches += [note(ends.where("o_custkey % 5 = 0"), F.col("last") + 7, True), note(ends, F.col("first"), False)]
-    for batch in batches:  # the query ends with each, and goes on from its checkpoint
-        batch.write.mode("append").parquet(source)
-        keyed.start_reimport(spark.readStream.schema(keyed.INCOMING).parquet(source), log, marks).awaitTermination()
+    run = None
+    try:
+        for k, batch in enumerate(batches):  # a micro-batch reads a batch's files together, as their folder is seen when it is whole
+            batch.write.parquet(f"{source}/next-{k}")
+            move_path(spark, f"{source}/next-{k}", f"{source}/batch-{k}")
+            run = run or keyed.start_reimport(spark.readStream.schema(keyed.INCOMING).parquet(f"{source}/batch-*"), log, marks, once=False)
+            run.processAllAvailable()
+    finally:
+        if run is not None:
+            run.stop()
     changes = spark.read.schema(keyed.CHANGES).parquet(log)
     count = lambda what: F.count_if(F.col("disposition") == what)
     kept = changes.groupBy("source_id", "path").agg(count("create").alias("created"), count("update").alias("updated"), count("preserve").alias("preserved"), count("unchanged").alias("unchanged"))

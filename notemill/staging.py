@@ -82,3 +82,10 @@ def unstage(*frames: DataFrame) -> None:
 def remove_path(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def move_path(spark: SparkSession, path: str, to: str) -> None:
+    """Give a folder another name within its file system, at once."""
+    at, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(at, new):
+        raise OSError(f"{path} can't be moved to {to}")
