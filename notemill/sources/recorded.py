@@ -16,7 +16,6 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith,
 )
@@ -28,6 +27,7 @@ BLOCK, CHUNK, BACK = 16_000_000, 1_000_000, 4_096
 #: Depth of the arrays that hang on an object in a top-level array, and of those on an object at the top.
 _INNER, _OUTER = 4, 3
 RECORDS = "table_id string, record_id string, at long, created_time string, fields map<string,string>"
+VIEWS = "view_id string, record_id string"
 
 
 _STEPS = np.zeros(256, np.int8)
@@ -313,21 +313,45 @@ def export_records(spark: SparkSession, path: str, only: list[str] | None = None
     return (reader.option("only", json.dumps(only)) if only is not None else reader).load()
 
 
-def view_records(spark: SparkSession, path: str, block: int = BLOCK, index: dict | None = None) -> DataFrame:
-    """``view_id, record_id``: which records each view of a recorded export shows; a view's list is read in ranges of about ``block`` bytes."""
-    index = index or index_of(spark, path, block)
-    block, files, parts = index["block"], index["files"], []
-    for owner, _, view, begin, end, depth in index["arrays"]:
-        if owner == "viewRecords" and depth == _OUTER:
-            edges = [begin, *[k * block for k in range(begin // block + 1, end // block + 1)], end + 1]
-            for low, high in zip(edges, edges[1:]):
-                inside, level = (False, depth - 1) if low == begin else index["states"][low // block]
-                parts.append((view, begin, end, low, high, inside, level, depth))
+class RecordedViews(DataSource):
+    """``spark.read.format("recorded_views")``: which records the views of a table export show, ``VIEWS``; see ``view_records``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in (r for batch in batches for r in batch.to_pylist()):
-            ids = [json.loads(text) for _, text in elements(files, r["begin"], r["end"], r["low"], r["high"], r["inside"], r["level"], r["depth"])]
-            yield pa.RecordBatch.from_arrays([pa.array([r["view"]] * len(ids), pa.string()), pa.array(ids, pa.string())], names=["view_id", "record_id"])
+    @classmethod
+    def name(cls) -> str:
+        return "recorded_views"
+
+    def schema(self) -> str:
+        return VIEWS
+
+    def reader(self, schema) -> DataSourceReader:
+        return _ViewReader(json.loads(self.options["index"]))
+
+
+class _ViewReader(DataSourceReader):
+    def __init__(self, index: dict):
+        self.index = index
 
-    ranges = spark.createDataFrame(parts, "view string, begin long, end long, low long, high long, inside boolean, level long, depth long")
-    return ranges.repartition(max(1, len(parts)), F.col("view"), F.col("low")).mapInArrow(run, "view_id string, record_id string")
+    def partitions(self) -> list[_Part]:
+        block, out = self.index["block"], []
+        for owner, _, view, begin, end, depth in self.index["arrays"]:
+            if owner == "viewRecords" and depth == _OUTER:
+                edges = [begin, *[k * block for k in range(begin // block + 1, end // block + 1)], end + 1]
+                for low, high in zip(edges, edges[1:]):
+                    inside, level = (False, depth - 1) if low == begin else self.index["states"][low // block]
+                    out.append(_Part(view, begin, end, low, high, inside, level, depth))
+        return out
+
+    def read(self, partition: _Part | None) -> Iterator[tuple]:
+        if partition is not None:  # there are ranges
+            for _, text in elements(self.index["files"], *partition.range):
+                yield partition.owner, json.loads(text)
+
+
+def view_records(spark: SparkSession, path: str, block: int = BLOCK, index: dict | None = None) -> DataFrame:
+    """``view_id, record_id``: which records each view of a recorded export shows; a view's list is read in ranges of about ``block`` bytes.
+
+    A source of its own, whose size Spark does not know: taken from the few rows that name the ranges, however many
+    records they hold, it would have the driver gather and broadcast them for a join.
+    """
+    spark.dataSource.register(RecordedViews)
+    return spark.read.format("recorded_views").option("index", json.dumps(index or index_of(spark, path, block))).load()

@@ -70,3 +70,19 @@ def test_a_document_in_parts(spark, tmp_path, monkeypatch):
     rows = lambda df: sorted((r[0], *map(str, r[1:])) for r in df.collect())
     assert rows(export_records(spark, str(tmp_path / "parts"), index=index)) == rows(export_records(spark, str(tmp_path / "whole.json"))) != []
     assert rows(view_records(spark, str(tmp_path / "parts"), index=index)) == rows(view_records(spark, str(tmp_path / "whole.json"))) != []
+
+
+def test_views_are_joined_by_their_own_size(spark, tmp_path):
+    """The few ranges that hold a view's records do not make it small: its records are not broadcast beyond the limit."""
+    path = tmp_path / "base.json"
+    path.write_text(json.dumps({"tables": [{"id": "t", "records": [{"id": f"r{k}", "createdTime": "2024"} for k in range(3000)]}], "viewRecords": {"v": [f"r{k}" for k in range(0, 3000, 2)]}}))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        index = index_of(spark, str(path), 10_000)
+        joined = export_records(spark, str(path), index=index).join(view_records(spark, str(path), index=index), "record_id", "left")
+        assert sorted((r.record_id, r.view_id) for r in joined.collect()) == sorted((f"r{k}", None if k % 2 else "v") for k in range(3000))
+        plan = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
